@@ -74,6 +74,11 @@ def summarize(points: DataFrame, *keys: str, id_column: str = "row_id",
     )
 
 
+def whole(number: Column, divisor: int) -> Column:
+    """Integer division of non-negative BIGINTs, exact for all of them."""
+    return ((number - F.pmod(number, F.lit(divisor))) / F.lit(divisor)).cast("long")
+
+
 @dataclass(frozen=True)
 class Grid:
     """Cells for one radius, numbered by one BIGINT each.
@@ -92,6 +97,14 @@ class Grid:
     cells: tuple[int, ...]  # fine cells per axis
     flips: tuple[int, ...]
 
+    @staticmethod
+    def fits(scale: Scale, radius: float) -> bool:
+        try:
+            Grid.fit(scale, radius)
+        except ValueError:
+            return False
+        return True
+
     @staticmethod
     def fit(scale: Scale, radius: float, batches: int = 1) -> "Grid":
         used = [c for c in FEATURES if c not in FLAG_FEATURES and scale.high[c] > scale.low[c]]
@@ -120,6 +133,14 @@ class Grid:
     def cell(self) -> Column:
         return self._number(self._indexes(), list(self.cells))
 
+    def batch_of(self, cell: str) -> Column:
+        return whole(F.col(cell), 4 * math.prod(self.cells))
+
+    def index_of(self, cell: str, axis: int) -> Column:
+        """Index of a cell on one axis, counted from the lowest cell."""
+        below = 4 * math.prod(self.cells[axis + 1:])
+        return F.pmod(whole(F.col(cell), below), F.lit(self.cells[axis]))
+
     def tile(self) -> Column:
         digits = [F.floor(i / F.lit(self.per_tile)) + 1 for i in self._indexes()]
         return self._number(digits, self._tiles)

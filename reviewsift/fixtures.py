@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewsift.functions.text import compose_review_data
+from reviewsift.operators.enrich import enrich, product_lookup
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _seconds(ts: str):
+    """Whole seconds since 1970 of a zoneless timestamp."""
+    days = F.date_diff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def scored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored reviews without their texts: one row per event."""
     parts = table(spark, sf_dir, "part").count()
@@ -27,22 +36,25 @@ def scored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(0).cast("bigint").alias("helpful_vote"),
         (F.col("event_type") == "purchase").alias("verified_purchase"),
         (F.col("event_type") == "view").alias("has_images"),
-        F.col("ts").alias("timestamp"),
+        _seconds("ts").alias("timestamp"),
     ).withColumn("rating_diff", F.abs(F.col("rating") - F.col("predicted_rating")))
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored reviews with category, title and text."""
+def with_texts(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Add category, title, text and review_data to rows of the review table."""
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
     texts = docs.select(
         F.col("doc_id").alias("_doc"), F.col("lang").alias("category"),
         F.substring("text", 1, 40).alias("title"), "text",
     )
-    return (
-        scored_reviews(spark, sf_dir).withColumn("_doc", F.col("row_id") % n)
-        .join(texts, "_doc").drop("_doc")
-    )
+    joined = df.withColumn("_doc", F.col("row_id") % n).join(texts, "_doc").drop("_doc")
+    return joined.withColumn("review_data", compose_review_data("category", "title", "text"))
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored reviews with category, title and text."""
+    return with_texts(spark, sf_dir, scored_reviews(spark, sf_dir))
 
 
 def product_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,16 +84,13 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(every(23), F.lit("  ")).otherwise(F.col("asin").cast("string")).alias("asin"),
         F.col("parent_asin").cast("string").alias("parent_asin"),
         F.concat(F.lit(" "), F.col("user_id").cast("string")).alias("user_id"),
-        F.when(every(41), F.lit(0)).otherwise(F.unix_seconds(F.col("timestamp").cast("timestamp")))
-        .cast("bigint").alias("timestamp"),
+        F.when(every(41), F.lit(0)).otherwise(F.col("timestamp")).cast("bigint").alias("timestamp"),
         "verified_purchase",
         F.when(every(29), F.lit("-2")).otherwise(F.col("helpful_vote").cast("string")).alias("helpful_vote"),
     )
 
 
-def enriched(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
-    """Reviews with product deviation and reviewer activity."""
-    from reviewsift.operators.enrich import enrich, product_lookup
-
-    base = reviews(spark, sf_dir) if texts else scored_reviews(spark, sf_dir)
-    return enrich(base, product_lookup(scored_reviews(spark, sf_dir), product_meta(spark, sf_dir)))
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews with product deviation and reviewer activity, without texts."""
+    base = scored_reviews(spark, sf_dir)
+    return enrich(base, product_lookup(base, product_meta(spark, sf_dir)))

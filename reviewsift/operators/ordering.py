@@ -74,8 +74,13 @@ def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str
     Rows of hot keys are spread over ``salts`` buckets and only those rows of ``right`` are
     repeated. Without a hot key this is a plain join.
     """
+    return spread_join(left, right, keys, hot_keys(right, keys, weight, floor), spread_by, how, salts)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame | None,
+                spread_by: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Equi-join with the rows of ``hot`` keys spread over ``salts`` buckets of ``left``."""
     keys = list(keys)
-    hot = hot_keys(right, keys, weight, floor)
     if hot is None:
         return left.join(right, keys, how)
     hot = hot.withColumn("_hot", F.lit(True))

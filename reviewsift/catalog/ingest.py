@@ -63,7 +63,7 @@ def save_sample(spark, sf):
 def load_complete_rows(spark, sf):
     raw = fx.raw_reviews(spark, sf).select(*RAW_COLUMNS)
     path = scratch_path(spark, "csv")
-    raw.write.option("header", True).option("escape", '"').csv(path)
+    sinks.csv_writer(raw).csv(path)
     return readers.read_csv(spark, path, raw.schema, max_rows=5000)
 
 
@@ -222,7 +222,7 @@ ORACLES = {
     "category_slug": """SELECT p_partkey, lower(replace(replace(p_name || ' & ' || p_brand, ' ', '_'), '&', 'and')) AS slug
         FROM part""",
     "category_from_path": """SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '),
-        w -> upper(w[1]) || lower(w[2:])), ' ') AS category FROM part""",
+        lambda w: upper(w[1]) || lower(w[2:])), ' ') AS category FROM part""",
     "combine_sources": """SELECT text, lang, source, url, min(source_file) AS source_file FROM (
         SELECT text, lang, source, NULL AS url, 'a' AS source_file FROM documents
         UNION ALL SELECT text, lang, source, NULL, 'b' FROM documents

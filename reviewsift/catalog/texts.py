@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewsift import fixtures as fx
+from reviewsift.catalog import profiles
 from reviewsift.catalog.base import (
     NON_SPACES, REVIEWS, anomaly_texts, enriched_texts, on_anomalies, r, remember, rounded, spam, with_views, words,
 )
@@ -139,14 +140,14 @@ user_terms AS MATERIALIZED (
   SELECT u.user_id, u.text_id, u.row_id, u.posts, v.term, v.weight
   FROM user_texts u JOIN vectors v ON v.text_id = u.text_id
 ),
-similar AS MATERIALIZED (
+alike AS MATERIALIZED (
   SELECT a.user_id, a.row_id AS row_a, b.row_id AS row_b, a.posts AS posts_a, b.posts AS posts_b,
     round(sum(a.weight * b.weight), 12) AS similarity
   FROM user_terms a JOIN user_terms b ON a.user_id = b.user_id AND a.term = b.term AND a.row_id < b.row_id
   GROUP BY ALL HAVING round(sum(a.weight * b.weight), 12) > 0.9
 ),
 pair_sums AS (
-  SELECT user_id, posts_a * posts_b AS pairs, posts_a * posts_b * similarity AS total FROM similar
+  SELECT user_id, posts_a * posts_b AS pairs, posts_a * posts_b * similarity AS total FROM alike
   UNION ALL
   SELECT user_id, posts * (posts - 1) / 2, posts * (posts - 1) / 2 FROM user_texts
   WHERE posts > 1 AND text_id IN (SELECT text_id FROM vectors)
@@ -178,6 +179,39 @@ def _on_reviews(body: str) -> str:
 _SPAM_LENGTHS = f"""{r('avg(avg_words)', 'mean_avg_length')}, {r('median(avg_words)', 'median_avg_length')},
     {r('stddev_pop(avg_words)', 'std_avg_length')}"""
 
+_SPAM_REPORT = on_anomalies(f"""SELECT (SELECT count(*) FROM spam_users) AS count,
+        (SELECT CAST(coalesce(sum(review_count), 0) AS BIGINT) FROM spam_users) AS nodes,
+        (SELECT CAST(coalesce(sum(review_count * (review_count - 1) // 2), 0) AS BIGINT) FROM spam_users) AS edges,
+        {_SPAM_LENGTHS} FROM user_lengths""", _patterns("anomalies"))
+
+_PARTS = {  # section, SQL of the part, its columns, the column that leads the key
+    "rate": ("anomaly_characteristics", profiles.ORACLES["anomaly_rate"], "total_anomalies anomaly_rate", None),
+    "stats": ("anomaly_characteristics", profiles.ORACLES["feature_stats"], "mean std min max", "feature"),
+    "categories": ("anomaly_characteristics", profiles.ORACLES["category_distribution"], "n pct", "category"),
+    "ratings": ("anomaly_characteristics", profiles.ORACLES["rating_distribution"], "n pct", "'rating_' || rating"),
+    "patterns": ("basic_metrics", profiles.ORACLES["anomaly_patterns"],
+                 "positive_diff_pct negative_diff_pct mean_rating_diff " + " ".join(
+                     f"{n}_count {n}_pct" for n in ("zero_votes", "low_votes", "high_votes", "verified",
+                                                    "unverified", "with_images", "without_images")), None),
+    "people": ("user_analysis", profiles.ORACLES["user_anomaly_summary"],
+               "users reviews avg_anomalies max_anomalies avg_total_reviews avg_normal_reviews "
+               "all_anomalous_users high_rate_users", None),
+    "spam": ("coordinated_attacks", None,
+             "count nodes edges mean_avg_length median_avg_length std_avg_length", None),
+    "compared": ("comparison_with_original", profiles.ORACLES["compare_features"], "mean_diff std_ratio", "feature"),
+}
+
+
+def _report_sql() -> str:
+    parts, rows = [], []
+    for name, (section, sql, columns, lead) in _PARTS.items():
+        parts.append(f"part_{name} AS MATERIALIZED ({sql or _SPAM_REPORT})")
+        for c in columns.split():
+            key = f"{lead} || '_{c}'" if lead else f"'{c}'"
+            rows.append(f"SELECT '{section}' AS section, {key} AS key, CAST({c} AS DOUBLE) AS value FROM part_{name}")
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(rows)
+
+
 ORACLES = {
     "tokenize_text": f"""SELECT row_id, CAST(len(t) AS BIGINT) AS tokens, array_to_string(t, ' ') AS joined
         FROM (SELECT doc_id AS row_id, {_TOKENS} AS t FROM documents)""",
@@ -188,7 +222,7 @@ ORACLES = {
     "tfidf_vocabulary": _on_documents(f"SELECT term, df, tf, {r('idf', 'idf')} FROM vocabulary"),
     "tfidf_weights": _on_documents(f"SELECT text_id, copies, term, {r('weight', 'weight')} FROM vectors"),
     "user_pair_similarity": _on_reviews(
-        f"SELECT user_id, row_a, row_b, posts_a, posts_b, {r('similarity', 'similarity')} FROM similar"),
+        f"SELECT user_id, row_a, row_b, posts_a, posts_b, {r('similarity', 'similarity')} FROM alike"),
     "spam_patterns": _on_reviews(f"SELECT user_id, review_count, {r('avg_similarity', 'avg_similarity')} FROM patterns"),
     "spam_users": _on_reviews(f"SELECT user_id, review_count, {r('avg_similarity', 'avg_similarity')} FROM spam_users"),
     "spam_graph_nodes": _on_reviews(
@@ -198,8 +232,6 @@ ORACLES = {
     "spam_graph_size": _on_reviews("""SELECT CAST(coalesce(sum(review_count), 0) AS BIGINT) AS nodes,
         CAST(coalesce(sum(review_count * (review_count - 1) // 2), 0) AS BIGINT) AS edges FROM spam_users"""),
     "spam_length_stats": _on_reviews(f"SELECT {_SPAM_LENGTHS}, count(*) AS total_patterns FROM user_lengths"),
-    "spam_report": on_anomalies(f"""SELECT (SELECT count(*) FROM spam_users) AS count,
-        (SELECT CAST(coalesce(sum(review_count), 0) AS BIGINT) FROM spam_users) AS nodes,
-        (SELECT CAST(coalesce(sum(review_count * (review_count - 1) // 2), 0) AS BIGINT) FROM spam_users) AS edges,
-        {_SPAM_LENGTHS} FROM user_lengths""", _patterns("anomalies")),
+    "spam_report": _SPAM_REPORT,
+    "evaluation_report": _report_sql(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Character classes. Python's whitespace is Java's Unicode \s plus U+001C-U+001F.
@@ -32,6 +32,16 @@ ought cannot
 """.split()
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add (or replace) columns whose expressions are costly, evaluated once per row.
+
+    A one-element explode keeps the optimizer from copying the expressions into every filter
+    and projection that uses the columns.
+    """
+    packed = df.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return packed.drop(*columns).select("*", "_once.*").drop("_once")
+
+
 def clean_text(text: Column | str) -> Column:
     """Strip tags, squeeze whitespace runs to one space, drop unprintable characters.
 
@@ -89,8 +99,7 @@ def tokens(text: Column | str, stop_words: Sequence[str] = STOP_WORDS) -> Column
     found = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
     if not stop_words:
         return found
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(found, lambda t: ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: ~t.isin(*stop_words))  # a hash lookup per token
 
 
 def with_bigrams(words: Column | str) -> Column:

@@ -249,10 +249,8 @@ def k_distances(df: DataFrame, k: int = 16) -> DataFrame:
 
 def k_distance_curve(distances: DataFrame) -> DataFrame:
     """The k-distances in ascending order with their 0-based position."""
-    return with_position(
-        distances.where(F.col("k_distance").isNotNull())
-        .withColumn("k_distance", F.round("k_distance", DISTANCE_DIGITS)),
-        [F.asc("k_distance"), F.asc("row_id")]).select("pos", "row_id", "k_distance")
+    known = distances.where(F.col("k_distance").isNotNull())
+    return with_position(known, [F.asc("k_distance"), F.asc("row_id")]).select("pos", "row_id", "k_distance")
 
 
 def k_distance_stats(distances: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewsift.functions.text import clean_text, compose_review_data, piece_count, strip
+from reviewsift.functions.text import clean_text, computed_once, compose_review_data, piece_count, strip
 from reviewsift.schemas import DATASET_COLUMNS, require_columns
 
 REQUIRED = ["title", "text", "rating", "asin", "parent_asin", "user_id", "timestamp",
@@ -27,21 +27,16 @@ def check_reviews(raw: DataFrame, max_tokens: int = MAX_TOKENS, token_count=piec
     missing = F.lit(False)
     for c in REQUIRED:
         missing = missing | F.col(c).isNull()
-    rating = F.expr("try_cast(rating as double)")
-    votes = F.expr("try_cast(trunc_votes as bigint)")
+    votes = F.expr("try_cast(try_cast(helpful_vote as double) as bigint)")
+    typed = computed_once(raw.withColumn("_missing", missing), title=clean_text("title"), text=clean_text("text"))
     typed = (
-        raw.withColumn("_missing", missing)
-        .withColumn("title", clean_text("title"))
-        .withColumn("text", clean_text("text"))
-        .withColumn("rating", rating)
-        .withColumn("trunc_votes", F.expr("try_cast(helpful_vote as double)"))
+        typed.withColumn("rating", F.expr("try_cast(rating as double)"))
         .withColumn("helpful_vote", votes)
-        .drop("trunc_votes")
         .withColumns({c: strip(F.col(c).cast("string")) for c in ("asin", "parent_asin", "user_id")})
         .withColumn("has_images", has_images("images"))
         .withColumn("review_data", compose_review_data("category", "title", "text"))
-        .withColumn("token_count", token_count("review_data").cast("int"))
     )
+    typed = computed_once(typed, token_count=token_count("review_data").cast("int"))
     blank_id = (F.col("asin") == "") | (F.col("parent_asin") == "") | (F.col("user_id") == "")
     reason = (
         F.when(F.col("_missing"), "missing_field")

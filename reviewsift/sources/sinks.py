@@ -11,19 +11,24 @@ from reviewsift.operators.validate import take_first
 SAMPLE_FORMATS = ("json", "csv")
 
 
+def csv_writer(df: DataFrame):
+    """CSV with a header and doubled quotes; blanks around values are kept."""
+    return df.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                            ignoreTrailingWhiteSpace=False)
+
+
 def save_sample(df: DataFrame, path: str, num_samples: int = 1000, fmt: str = "csv") -> DataFrame:
     """Write the first rows by id as JSON or CSV; returns what was written."""
     if fmt.lower() not in SAMPLE_FORMATS:
         raise ValueError(f"unsupported format: {fmt}")
     sample = take_first(df, num_samples)
-    writer = sample.write.mode("error")
     if fmt.lower() == "json":
-        writer.json(path)
+        sample.write.json(path)
     else:
         # nested columns have no CSV form and are written as JSON text
         flat = sample.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c)
                                for c, t in sample.dtypes])
-        flat.write.mode("error").option("header", True).option("escape", '"').csv(path)
+        csv_writer(flat).csv(path)
     return sample
 
 
@@ -32,7 +37,7 @@ def write_splits(df: DataFrame, path: str, fmt: str = "parquet", csv_too: bool =
     named = df.withColumn("category_name", category_slug("category"))
     named.write.partitionBy("split", "category_name").format(fmt).save(f"{path}/{fmt}")
     if csv_too and fmt != "csv":
-        named.write.partitionBy("split", "category_name").option("header", True).option("escape", '"').csv(f"{path}/csv")
+        csv_writer(named).partitionBy("split", "category_name").csv(f"{path}/csv")
 
 
 def write_anomalies(anomalies: DataFrame, path: str, eps: float, min_samples: int,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,7 +16,7 @@ from reviewsift.operators.features import Z_COLUMNS, Scale, apply_scale, feature
 from reviewsift.operators.grid import (
     BOX_COLUMNS, MARGIN, REP_COLUMNS, Grid, distance_to_box, flags_column, squared_distance, summarize,
 )
-from reviewsift.operators.ordering import join_hot, with_position
+from reviewsift.operators.ordering import hot_keys, join_hot, spread_join, with_position
 from reviewsift.operators.quantiles import exact_quantiles, melt
 from reviewsift.schemas import FEATURES
 from reviewsift.session import materialize
@@ -64,11 +65,10 @@ def nearest_core(c: Clustering, step: int = 2) -> DataFrame:
     A noise row in a batch without core rows gets a null distance.
     """
     axes = range(len(c.grid.axes))
-    levels = [materialize(_core_cells(c), "core_cells")]
-    deepest = max([1, *c.grid.cells])
-    shifts = max(1, math.ceil(math.log2(deepest) / step)) if deepest > 1 else 1
-    for _ in range(shifts):
-        levels.append(materialize(_coarser(levels[-1], len(axes), step), "core_boxes"))
+    cells = materialize(_core_cells(c), "core_cells")
+    depth = math.ceil(math.log2(max([2, *c.grid.cells])) / step)
+    # the cells are few beside the rows, so every level is grouped from them directly
+    levels = [cells] + [_coarser(cells, len(axes), step * n) for n in range(1, depth + 1)]
 
     parent_of = lambda: [F.shiftright(f"i{n}", step).alias(f"i{n}") for n in axes]
     # the top level has one box per batch and flag combination
@@ -126,62 +126,115 @@ def rank_anomalies(c: Clustering) -> DataFrame:
 
 
 def _block_kernel(k: int, reach: float):
-    """For each query of a block: its up to ``k`` nearest targets in the block within ``reach``."""
+    """For each query of a bucket: its up to ``k`` nearest targets per tile block within ``reach``.
+
+    A bucket holds whole tile blocks; both sides are cut into them by sorting.
+    """
+
+    def slices(frame: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
+        frame = frame.sort_values(["tile", "block"], kind="stable")
+        tile, block = frame["tile"].to_numpy(), frame["block"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (block[1:] != block[:-1])])
+        return frame, {(tile[i], block[i]): (i, j) for i, j in zip(starts, np.r_[starts[1:], len(frame)])}
 
     def run(queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
         ids, dists, copies = [np.empty(0, "int64")], [np.empty(0)], [np.empty(0, "int64")]
-        t, w = targets[Z_COLUMNS].to_numpy(), targets["copies"].to_numpy()
-        step = max(1, 1_000_000 // max(1, len(t)))
-        for start in range(0, len(queries) if len(t) else 0, step):
-            part = queries.iloc[start:start + step]
-            q = part[Z_COLUMNS].to_numpy()
-            d2 = sum((q[:, n, None] - t[None, :, n]) ** 2 for n in range(q.shape[1]))
-            keep = min(k, len(t))
-            nearest = np.argpartition(d2, keep - 1, axis=1)[:, :keep]
-            found = np.take_along_axis(d2, nearest, axis=1)
-            rows, cols = np.nonzero(found <= reach * reach)
-            ids.append(part["vid"].to_numpy()[rows])
-            dists.append(found[rows, cols])
-            copies.append(w[nearest[rows, cols]])
+        if len(queries) and len(targets):
+            queries, asked = slices(queries)
+            targets, offered = slices(targets)
+            vid, qz = queries["vid"].to_numpy(), queries[Z_COLUMNS].to_numpy()
+            tw, tz = targets["copies"].to_numpy(), targets[Z_COLUMNS].to_numpy()
+            for key, (lo, hi) in asked.items():
+                if key not in offered:
+                    continue
+                t_lo, t_hi = offered[key]
+                t, w = tz[t_lo:t_hi], tw[t_lo:t_hi]
+                step = max(1, 1_000_000 // len(t))
+                for start in range(lo, hi, step):
+                    q = qz[start:min(hi, start + step)]
+                    d2 = sum((q[:, n, None] - t[None, :, n]) ** 2 for n in range(q.shape[1]))
+                    keep = min(k, len(t))
+                    nearest = np.argpartition(d2, keep - 1, axis=1)[:, :keep]
+                    found = np.take_along_axis(d2, nearest, axis=1)
+                    rows, cols = np.nonzero(found <= reach * reach)
+                    ids.append(vid[start + rows])
+                    dists.append(found[rows, cols])
+                    copies.append(w[nearest[rows, cols]])
         return pd.DataFrame({"vid": np.concatenate(ids), "d2": np.concatenate(dists),
                              "copies": np.concatenate(copies)})
 
     return run
 
 
+BUCKET_ROWS = 200_000  # queries that one call of the kernel takes at a time, about
+
+
+def _kth(near: DataFrame, k: int) -> DataFrame:
+    """``(vid, d2)``: where the copies, nearest first, reach ``k``."""
+    by_distance = Window.partitionBy("vid").orderBy("d2").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        near.withColumn("seen", F.sum("copies").over(by_distance))
+        .where(F.col("seen") >= k)
+        .groupBy("vid").agg(F.min("d2").alias("d2"))
+    )
+
+
 def _kth_within(queries: DataFrame, points: DataFrame, tiles: DataFrame, grid: Grid, k: int) -> DataFrame:
     """``(vid, d2)`` of the k-th neighbour of each query, where one tile side reaches it.
 
     Every query meets the points of its own and the adjacent tiles; tiles with many points are
     cut into blocks and each block returns at most ``k`` rows per query.
     """
-    meets = (
-        grid.near_tiles(queries.select(F.col("tile").alias("home"), "tile").distinct())
-        .join(tiles.select("tile", "points"), "tile")
-    )
-    meets = materialize(meets, "knn_tiles")
+    homes = queries.groupBy(F.col("tile").alias("home")).agg(F.count("*").alias("queries"))
+    meets = materialize(
+        grid.near_tiles(homes.withColumn("tile", F.col("home"))).join(tiles.select("tile", "points"), "tile"),
+        "knn_tiles")
     last_block = F.floor((F.col("points") - 1) / BLOCK_ROWS)
+    slices = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = meets.agg(F.sum(F.col("queries") * (last_block + 1))).first()[0] or 0
+    buckets = max(slices, math.ceil(work / BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64("tile", "block"), F.lit(buckets)).alias("bucket")
     asked = (
-        queries.select("vid", F.col("tile").alias("home"), *Z_COLUMNS).join(meets, "home")
+        queries.select("vid", F.col("tile").alias("home"), *Z_COLUMNS).join(meets.drop("queries"), "home")
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
-        .select("vid", "tile", "block", *Z_COLUMNS)
+        .select(bucket, "vid", "tile", "block", *Z_COLUMNS)
     )
-    wanted = materialize(meets.select("tile", "points").distinct(), "knn_wanted")
+    wanted = meets.select("tile", "points").distinct()
     offered = (
-        join_hot(points, wanted, ["tile"], "points", "vid", how="inner")
+        spread_join(points, wanted, ["tile"], hot_keys(tiles, ["tile"], "points"), "vid")
         .withColumn("block", F.pmod(F.xxhash64("vid"), last_block + 1))
-        .select("tile", "block", "copies", *Z_COLUMNS)
+        .select(bucket, "tile", "block", "copies", *[F.col(z).alias(z) for z in Z_COLUMNS])
     )
     near = (
-        asked.groupBy("tile", "block").cogroup(offered.groupBy("tile", "block"))
+        asked.groupBy("bucket").cogroup(offered.groupBy("bucket"))
         .applyInPandas(_block_kernel(k, grid.radius), "vid long, d2 double, copies long")
     )
-    by_distance = Window.partitionBy("vid").orderBy("d2").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        near.withColumn("seen", F.sum("copies").over(by_distance))
-        .where(F.col("seen") >= k)
-        .groupBy("vid").agg(F.min("d2").alias("d2"))
-    )
+    return _kth(near, k)
+
+
+FEW_QUERIES = 500  # so few points are compared with the whole table in one pass
+
+
+def _kth_of_few(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """``(vid, d2)`` for at most ``FEW_QUERIES`` points; each task returns its ``k`` nearest."""
+    rows = queries.select("vid", *Z_COLUMNS).toPandas()  # bounded by the caller's count
+    vid, q = rows["vid"].to_numpy(), rows[Z_COLUMNS].to_numpy()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, copies = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0)
+        for batch in batches:
+            t = batch[Z_COLUMNS].to_numpy()
+            d2 = sum((q[:, n, None] - t[None, :, n]) ** 2 for n in range(q.shape[1]))
+            best = np.concatenate([best, d2], axis=1)
+            copies = np.concatenate([copies, np.broadcast_to(batch["copies"].to_numpy(), d2.shape)], axis=1)
+            keep = min(k, best.shape[1])
+            nearest = np.argpartition(best, keep - 1, axis=1)[:, :keep]
+            best, copies = np.take_along_axis(best, nearest, 1), np.take_along_axis(copies, nearest, 1)
+        if best.shape[1]:
+            yield pd.DataFrame({"vid": np.repeat(vid, best.shape[1]), "d2": best.ravel(), "copies": copies.ravel()})
+
+    near = points.select("copies", *Z_COLUMNS).mapInPandas(scan, "vid long, d2 double, copies long")
+    return _kth(near, k)
 
 
 def _radii(points: DataFrame, scale: Scale, k: int, levels: int = 24) -> list[float]:
@@ -207,7 +260,8 @@ def k_distances(df: DataFrame, k: int = 16) -> DataFrame:
     Equal rows collapse to one weighted point. The search radius doubles from round to round.
     A point joins in when its own tile holds about ``k/4`` rows, so it meets few points
     wherever it lies; a k-th neighbour within the radius is final, as everything that near is
-    in an adjacent tile, and the rest go on. Null where there are fewer than ``k`` rows.
+    in an adjacent tile, and the rest go on. The last few outliers are compared with all
+    points. Null where there are fewer than ``k`` rows.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -218,27 +272,25 @@ def k_distances(df: DataFrame, k: int = 16) -> DataFrame:
         scaled.withColumn("flags", flags_column())
         .groupBy("flags", *Z_COLUMNS).agg(F.count("*").alias("copies"), F.min("row_id").alias("vid"))
         .withColumn("batch_id", F.lit(0).cast("long")), "knn_points")
-    waiting, unsettled, settled = points, None, []
+    waiting, settled = points, []
     radii = _radii(points, scale, k)
     for radius in radii:
+        left = waiting.count()
+        if left <= FEW_QUERIES:
+            if left:
+                settled.append(_kth_of_few(waiting, points, k))
+            break
         grid = Grid.fit(scale, radius)
         placed = points.withColumn("tile", grid.tile())
         tiles = materialize(
             placed.groupBy("tile").agg(F.count("*").alias("points"), F.sum("copies").alias("rows")), "tiles")
-        crowded = tiles.select("tile").where(F.col("rows") * 4 >= k)
         queries = waiting.withColumn("tile", grid.tile())
         if radius != radii[-1]:
+            crowded = tiles.select("tile").where(F.col("rows") * 4 >= k)
             queries = queries.join(crowded, "tile", "left_semi")
-        if unsettled is not None:
-            queries = queries.unionByName(unsettled.withColumn("tile", grid.tile()))
-        queries = materialize(queries, "knn_queries")
         found = materialize(_kth_within(queries, placed, tiles, grid, k), "knn_found")
         settled.append(found)
-        waiting = materialize(waiting.join(queries.select("vid"), "vid", "left_anti"), "knn_waiting")
-        unsettled = materialize(
-            queries.drop("tile").join(found.select("vid"), "vid", "left_anti"), "knn_unsettled")
-        if waiting.isEmpty() and unsettled.isEmpty():
-            break
+        waiting = materialize(waiting.join(found.select("vid"), "vid", "left_anti"), "knn_waiting")
     known = reduce(DataFrame.unionByName, settled)
     result = materialize(
         points.join(known, "vid", "left")

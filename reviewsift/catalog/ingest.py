@@ -98,7 +98,7 @@ def combine_sources(spark, sf):
 
 
 def clean_texts(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", clean_text("html").alias("cleaned"))
+    return fx.spread(fx.table(spark, sf, "pages"), "page_id").select("page_id", clean_text("html").alias("cleaned"))
 
 
 def validate_reviews(spark, sf):
@@ -114,7 +114,7 @@ def review_data(spark, sf):
 
 
 def filter_token_count(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.spread(fx.table(spark, sf, "documents"), "doc_id")
     return docs.select("doc_id", piece_count("text").cast("bigint").alias("token_count")).where(
         F.col("token_count") <= validate.MAX_TOKENS)
 
@@ -124,7 +124,7 @@ def reject_counts(spark, sf):
 
 
 def word_counts(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", word_count("text").cast("bigint").alias("words"))
+    return fx.spread(fx.table(spark, sf, "documents"), "doc_id").select("doc_id", word_count("text").cast("bigint").alias("words"))
 
 
 def _documents(spark, sf):

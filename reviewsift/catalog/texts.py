@@ -9,14 +9,14 @@ from reviewsift.catalog import profiles
 from reviewsift.catalog.base import (
     NON_SPACES, REVIEWS, anomaly_texts, enriched_texts, on_anomalies, r, remember, rounded, spam, with_views, words,
 )
-from reviewsift.functions.text import STOP_WORDS, tokens, with_bigrams
+from reviewsift.functions.text import STOP_WORDS, computed_once, tokens, with_bigrams
 from reviewsift.operators import text_spam as S
 from reviewsift.plans.evaluation import evaluation_report, spam_report
 from reviewsift.session import materialize
 
 
 def _documents(spark, sf):
-    return fx.table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
+    return fx.spread(fx.table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id"), "row_id")
 
 
 def tokenize_text(spark, sf):
@@ -25,7 +25,8 @@ def tokenize_text(spark, sf):
 
 
 def ngram_terms(spark, sf):
-    terms = _documents(spark, sf).select("row_id", F.explode(with_bigrams(tokens("text"))).alias("term"))
+    found = computed_once(_documents(spark, sf).select("row_id", "text"), words=tokens("text"))
+    terms = found.select("row_id", F.explode(with_bigrams("words")).alias("term"))
     return terms.groupBy("row_id", "term").agg(F.count("*").alias("tf"))
 
 

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for costly row work on a table that is read by fewer tasks than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def _seconds(ts: str):
     """Whole seconds since 1970 of a zoneless timestamp."""
     days = F.date_diff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
@@ -48,7 +54,7 @@ def with_texts(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_doc"), F.col("lang").alias("category"),
         F.substring("text", 1, 40).alias("title"), "text",
     )
-    joined = df.withColumn("_doc", F.col("row_id") % n).join(texts, "_doc").drop("_doc")
+    joined = spread(df, "row_id").withColumn("_doc", F.col("row_id") % n).join(texts, "_doc").drop("_doc")
     return joined.withColumn("review_data", compose_review_data("category", "title", "text"))
 
 

@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from reviewsift.operators.components import connected_components
 from reviewsift.operators.features import Z_COLUMNS, Scale, apply_scale, feature_matrix, fit_scale
 from reviewsift.operators.grid import (
-    MARGIN, Grid, box_diagonal, box_distances, distance_to_box, prepare_points, rep_distance,
-    squared_distance, summarize,
+    BOX_COLUMNS, MARGIN, REP_COLUMNS, Grid, box_diagonal, box_distances, distance_to_box,
+    prepare_points, rep_distance, squared_distance, summarize,
 )
 from reviewsift.operators.ordering import drop_members, join_hot, with_position
 from reviewsift.session import materialize
 
 BLOCK_ROWS = 100_000  # rows of one dense cell per task when its rows are needed
-PAIR_LIMIT = 10_000_000  # row pairs of two dense cells settled in one join
+PAIR_LIMIT = 10_000_000  # row pairs of two cells settled in one join
 
 
 @dataclass
@@ -160,49 +160,37 @@ class Clustering:
             .select("row_id", "tile", "node", *Z_COLUMNS), "core_nodes")
 
     @cached_property
-    def _links(self) -> DataFrame:
-        """``(row_id, from_node, to_node)``: sparse rows and core nodes within eps.
-
-        ``from_node`` is null for a row that is not core (a border candidate).
-        """
-        nodes = self._core_nodes
-        sources = (
-            self.sparse_core.select("row_id", "tile", *Z_COLUMNS)
-            .join(nodes.select("row_id", "node"), "row_id", "left")
-        )
-        source_id = F.when(F.col("p.node").isNull(), F.col("p.row_id")).alias("row_id")
+    def _border_links(self) -> DataFrame:
+        """``(row_id, node)``: rows that are not core, with the core nodes within eps."""
+        outer = self.sparse_core.where(~F.col("is_core")).select("row_id", "tile", *Z_COLUMNS)
         among = (
-            self.grid.near_tiles(sources).alias("p").join(nodes.alias("q"), "tile")
+            self.grid.near_tiles(outer).alias("p").join(self._core_nodes.alias("q"), "tile")
             .where(squared_distance("p", "q") <= F.lit(self.eps * self.eps))
-            .select(source_id, F.col("p.node").alias("from_node"), F.col("q.node").alias("to_node"))
+            .select("p.row_id", "q.node")
         )
-        to_dense = (
-            self.dense_links.alias("l").join(sources.select("row_id", "node").alias("p"), "row_id")
-            .select(F.when(F.col("p.node").isNull(), F.col("p.row_id")).alias("row_id"),
-                    F.col("p.node").alias("from_node"), F.col("l.first_row").alias("to_node"))
-        )
-        return materialize(among.unionByName(to_dense).distinct(), "links")
+        to_dense = self.dense_links.join(outer.select("row_id"), "row_id", "left_semi").select(
+            "row_id", F.col("first_row").alias("node"))
+        return materialize(among.unionByName(to_dense).distinct(), "border_links")
 
     @cached_property
     def components(self) -> DataFrame:
-        """``(node, component)``: core nodes, component = least core row of the cluster."""
-        selves = self._core_nodes.select("node").unionByName(
-            self.dense.select(F.col("first_row").alias("node"))).distinct()
-        sure, open_pairs = self._dense_pairs()
-        known = (
-            self._links.where(F.col("from_node").isNotNull() & (F.col("from_node") != F.col("to_node")))
-            .select(F.col("from_node").alias("u"), F.col("to_node").alias("v"))
-            .unionByName(sure)
-        )
-        parts = connected_components(known)
+        """``(node, component)``: core nodes, component = least core row of the cluster.
+
+        A node is the core rows of one cell, so the graph has cells, not rows.
+        """
+        kept = ["node", "tile", *BOX_COLUMNS, *REP_COLUMNS]
+        nodes = materialize(
+            summarize(self._core_nodes, "node", "tile").select(*kept)
+            .unionByName(self.dense.withColumn("node", F.col("first_row")).select(*kept)), "nodes")
+        sure, open_pairs = self._node_pairs(nodes)
         parts = materialize(
-            selves.join(parts, "node", "left")
+            nodes.select("node").join(connected_components(sure), "node", "left")
             .withColumn("component", F.coalesce("component", "node")), "components")
         # only pairs that would join two components still matter
         side = lambda n: parts.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
         undecided = materialize(
             open_pairs.join(side("u"), "u").join(side("v"), "v")
-            .where(F.col("cu") != F.col("cv")).drop("cu", "cv"), "undecided")
+            .where(F.col("cu") != F.col("cv")).select("u", "v"), "undecided")
         touching = self._touching(undecided)
         if touching is None:
             return parts
@@ -216,85 +204,82 @@ class Clustering:
             parts.join(merged, "component", "left")
             .select("node", F.coalesce("merged", "component").alias("component")), "components")
 
-    def _dense_pairs(self) -> tuple[DataFrame, DataFrame]:
-        """Pairs of dense cells that surely touch, and pairs their boxes cannot decide."""
+    def _node_pairs(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of nodes that surely touch, and pairs their boxes cannot decide."""
         limit = self.eps * self.eps
         near, far = box_distances("a", "b")
-        cells = self.dense
         met = (
-            self.grid.near_tiles(cells).alias("a").join(cells.alias("b"), "tile")
-            .where(F.col("a.first_row") < F.col("b.first_row"))
-            .select(F.col("a.first_row").alias("u"), F.col("b.first_row").alias("v"),
-                    F.col("a.cell").alias("cell_u"), F.col("b.cell").alias("cell_v"),
-                    near.alias("near"),
+            self.grid.near_tiles(nodes).alias("a").join(nodes.alias("b"), "tile")
+            .where((F.col("a.node") < F.col("b.node")) & (near <= limit * (1 + MARGIN)))
+            .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"),
                     (F.least(far * (1 + MARGIN), rep_distance("a", "b")) <= limit).alias("sure"))
-            .where(F.col("near") <= limit * (1 + MARGIN))
         )
-        met = materialize(met, "dense_pairs")
-        return met.where("sure").select("u", "v"), met.where(~F.col("sure")).drop("near", "sure")
+        met = materialize(met, "node_pairs")
+        return met.where("sure").select("u", "v"), met.where(~F.col("sure")).select("u", "v")
+
+    def _node_rows(self, nodes: DataFrame) -> DataFrame:
+        """``(node, row_id, z_*)``: the different points of the given nodes."""
+        sparse = self._core_nodes.join(nodes, "node", "left_semi").select("node", "row_id", *Z_COLUMNS)
+        cells = self.dense.join(nodes.withColumnRenamed("node", "first_row"), "first_row", "left_semi")
+        dense = self.rows_of(cells.select("cell", "rows")).join(
+            cells.select("cell", F.col("first_row").alias("node")), "cell")
+        return materialize(sparse.unionByName(dense.select("node", "row_id", *Z_COLUMNS)), "node_rows")
 
     def _touching(self, pairs: DataFrame) -> DataFrame | None:
-        """Of the undecided pairs of dense cells, those with two rows within eps.
+        """Of the undecided pairs of nodes, those with two rows within eps.
 
-        Each round cuts both cells of a pair four times finer per axis and settles sub-cells
+        Each round cuts both nodes of a pair four times finer per axis and settles the pieces
         by box and representative; small leftovers are settled row by row. Equal points are
-        collapsed, so sub-cells shrink to single points and the rounds end.
+        collapsed, so the pieces shrink to single points and the rounds end.
         """
         if pairs.isEmpty():
             return None
         limit, found = self.eps * self.eps, []
-        cells = pairs.select(F.explode(F.array("cell_u", "cell_v")).alias("cell")).distinct()
-        rows = materialize(
-            self.rows_of(self.dense.join(cells, "cell", "left_semi").select("cell", "rows"))
-            .select("row_id", "cell", *Z_COLUMNS), "dense_rows")
-        # the pair (u, v) is the task; its sides are groups of rows, refined round by round
-        side = lambda s: pairs.select("u", "v", F.lit(s).alias("side"), F.col(f"cell_{s}").alias("cell"))
-        members = (
-            side("u").unionByName(side("v")).join(rows, "cell")
-            .select("u", "v", "side", "row_id", *Z_COLUMNS, F.lit(0).cast("long").alias("grp"))
-        )
-        members, cut = materialize(members, "members"), self.grid.side
+        rows = self._node_rows(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        side = lambda s: pairs.select("u", "v", F.lit(s).alias("side"), F.col(s).alias("node"))
+        members = materialize(
+            side("u").unionByName(side("v")).join(rows, "node")
+            .select("u", "v", "side", "row_id", *Z_COLUMNS, F.lit(0).cast("long").alias("grp")), "members")
+        cut = self.grid.side
         while True:
             cut /= 4
-            sub = [F.floor(F.col(z) / F.lit(cut)) for z in self.grid.axes]
-            members = members.withColumn("sub", F.struct(
-                F.col("grp").alias("g"), *[s.alias(f"c{i}") for i, s in enumerate(sub)]))
-            groups = materialize(summarize(members, "u", "v", "side", "sub"), "groups")
+            members = members.withColumn("piece", F.struct(F.col("grp").alias("g"), *[
+                F.floor(F.col(z) / F.lit(cut)).alias(f"c{i}") for i, z in enumerate(self.grid.axes)]))
+            pieces = materialize(summarize(members, "u", "v", "side", "piece"), "pieces")
+            of = lambda df, s: df.where(F.col("side") == s)
             near, far = box_distances("a", "b")
-            met = (
-                groups.where("side = 'u'").alias("a").join(groups.where("side = 'v'").alias("b"), ["u", "v"])
-                .select("u", "v", F.col("a.sub").alias("sub_u"), F.col("b.sub").alias("sub_v"),
+            met = materialize(
+                of(pieces, "u").alias("a").join(of(pieces, "v").alias("b"), ["u", "v"])
+                .where(near <= limit * (1 + MARGIN))
+                .select("u", "v", F.col("a.piece").alias("piece_u"), F.col("b.piece").alias("piece_v"),
                         (F.col("a.rows") * F.col("b.rows")).alias("cost"),
-                        (F.least(far * (1 + MARGIN), rep_distance("a", "b")) <= limit).alias("sure"),
-                        near.alias("near"))
-                .where(F.col("near") <= limit * (1 + MARGIN))
-            )
-            met = materialize(met, "sub_pairs")
+                        (F.least(far * (1 + MARGIN), rep_distance("a", "b")) <= limit).alias("sure")),
+                "piece_pairs")
             hit = met.where("sure").select("u", "v").distinct()
-            left = met.join(hit, ["u", "v"], "left_anti").where(~F.col("sure"))
-            small = (
+            left = met.where(~F.col("sure")).join(hit, ["u", "v"], "left_anti")
+            end = lambda s: of(members, s).select(
+                "u", "v", F.col("piece").alias(f"piece_{s}"), F.struct(*Z_COLUMNS).alias(f"z_{s}"))
+            apart = reduce(lambda x, y: x + y, [
+                (F.col(f"z_u.{z}") - F.col(f"z_v.{z}")) * (F.col(f"z_u.{z}") - F.col(f"z_v.{z}")) for z in Z_COLUMNS])
+            settled = (
                 left.where(F.col("cost") <= PAIR_LIMIT)
-                .join(members.where("side = 'u'").alias("a"),
-                      (F.col("a.u") == left.u) & (F.col("a.v") == left.v) & (F.col("a.sub") == left.sub_u))
-                .join(members.where("side = 'v'").alias("b"),
-                      (F.col("b.u") == left.u) & (F.col("b.v") == left.v) & (F.col("b.sub") == left.sub_v))
-                .where(squared_distance("a", "b") <= F.lit(limit))
-                .select(left.u, left.v).distinct()
+                .join(end("u"), ["u", "v", "piece_u"]).join(end("v"), ["u", "v", "piece_v"])
+                .where(apart <= F.lit(limit)).select("u", "v").distinct()
             )
-            hit = materialize(hit.unionByName(small).distinct(), "touching")
+            hit = materialize(hit.unionByName(settled).distinct(), "touching")
             found.append(hit)
             rest = materialize(
                 left.where(F.col("cost") > PAIR_LIMIT).join(hit, ["u", "v"], "left_anti"), "rest")
             if rest.isEmpty():
                 return reduce(DataFrame.unionByName, found).distinct()
             keep = rest.select("u", "v", F.explode(F.array(
-                F.struct(F.lit("u").alias("side"), F.col("sub_u").alias("sub")),
-                F.struct(F.lit("v").alias("side"), F.col("sub_v").alias("sub")))).alias("k"))
-            keep = keep.select("u", "v", "k.side", "k.sub").distinct()
-            first = groups.select("u", "v", "side", "sub", F.col("first_row").alias("grp"))
+                F.struct(F.lit("u").alias("side"), F.col("piece_u").alias("piece")),
+                F.struct(F.lit("v").alias("side"), F.col("piece_v").alias("piece")))).alias("k"))
+            first = pieces.select("u", "v", "side", "piece", F.col("first_row").alias("grp"))
+            keys = ["u", "v", "side", "piece"]
             members = materialize(
-                members.drop("grp").join(keep.join(first, ["u", "v", "side", "sub"]),
-                                         ["u", "v", "side", "sub"]).drop("sub"), "members")
+                members.drop("grp").join(keep.select("u", "v", "k.*").distinct().join(first, keys), keys)
+                .drop("piece"), "members")
 
     @cached_property
     def cluster_ids(self) -> DataFrame:
@@ -313,8 +298,7 @@ class Clustering:
                             "named")
         core = self._core_nodes.join(named, "node").select("row_id", "cluster", F.lit("core").alias("kind"))
         border = (
-            self._links.where(F.col("row_id").isNotNull())
-            .join(named.withColumnRenamed("node", "to_node"), "to_node")
+            self._border_links.join(named, "node")
             .groupBy("row_id").agg(F.min("cluster").alias("cluster"))
             .withColumn("kind", F.lit("border"))
         )

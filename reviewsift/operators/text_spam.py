@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewsift.functions.text import STOP_WORDS, tokens, with_bigrams, word_count
+from reviewsift.functions.text import STOP_WORDS, computed_once, tokens, with_bigrams, word_count
 from reviewsift.operators.ordering import hot_keys, join_hot, spread_join
 from reviewsift.operators.quantiles import exact_quantiles, melt
 from reviewsift.session import materialize
@@ -36,7 +36,8 @@ def distinct_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
 def doc_terms(texts: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``(text_id, copies, term, tf)`` of unigrams and bigrams, stop words removed first."""
     return (
-        texts.select("text_id", "copies", F.explode(with_bigrams(tokens("text", stop_words))).alias("term"))
+        computed_once(texts, words=tokens("text", stop_words))
+        .select("text_id", "copies", F.explode(with_bigrams("words")).alias("term"))
         .groupBy("text_id", "copies", "term").agg(F.count("*").alias("tf"))
     )
 

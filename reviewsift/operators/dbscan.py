@@ -44,30 +44,56 @@ class Clustering:
     # --- who is a core row -----------------------------------------------------------
 
     @cached_property
-    def dense_links(self) -> DataFrame:
-        """``(row_id, cell, rows_near, first_row)``: sparse rows within eps of a dense cell."""
+    def _dense_meet(self) -> DataFrame:
+        """``(row_id, cell, rows, first_row, inside)``: sparse rows and dense cells whose box is
+        within eps; ``inside`` if all of the box is.
+        """
         limit = self.eps * self.eps
         near, far = distance_to_box("p", "d")
-        meet = (
-            self.sparse.alias("p").join(self.grid.near_tiles(self.dense).alias("d"), "tile")
-            .select("p.row_id", *[f"p.{z}" for z in Z_COLUMNS], F.col("d.cell").alias("cell"),
-                    "d.rows", "d.first_row", near.alias("near"), far.alias("far"))
-            .where(F.col("near") <= limit * (1 + MARGIN))
-            .withColumn("inside", F.col("far") <= limit * (1 - MARGIN))
+        return materialize(
+            self.sparse.alias("p").join(shuffled(self.grid.near_tiles(self.dense)).alias("d"), "tile")
+            .where(near <= limit * (1 + MARGIN))
+            .select("p.row_id", F.col("d.cell").alias("cell"), "d.rows", "d.first_row",
+                    (far <= limit * (1 - MARGIN)).alias("inside")), "dense_meet")
+
+    @cached_property
+    def _counted(self) -> DataFrame:
+        """Sparse rows with ``known``: neighbours in boxes that are wholly within eps and, where
+        these are too few to settle the row, among the sparse rows.
+        """
+        sure = self._dense_meet.where("inside").groupBy("row_id").agg(F.sum("rows").alias("sure"))
+        rows = materialize(
+            self.sparse.join(sure, "row_id", "left").withColumn("sure", F.coalesce("sure", F.lit(0))), "sure")
+        here = self.sparse.select("tile", *Z_COLUMNS)
+        thin = rows.where(F.col("sure") < self.min_samples).select("row_id", "tile", *Z_COLUMNS)
+        among = (
+            self.grid.near_tiles(thin).alias("p").join(shuffled(here).alias("q"), "tile")
+            .where(squared_distance("p", "q") <= F.lit(self.eps * self.eps))
+            .groupBy("p.row_id").agg(F.count("*").alias("among"))
         )
-        meet = materialize(meet, "dense_meet")
-        inside = meet.where("inside").select(
-            "row_id", "cell", F.col("rows").alias("rows_near"), "first_row")
-        unsure = meet.where(~F.col("inside"))
+        return materialize(
+            rows.join(among, "row_id", "left")
+            .withColumn("known", F.col("sure") + F.coalesce("among", F.lit(0))).drop("sure", "among"),
+            "counted")
+
+    @cached_property
+    def dense_links(self) -> DataFrame:
+        """``(row_id, first_row, rows_near, inside)``: rows not yet settled within eps of a dense
+        cell. Cells whose box does not decide are compared row by row.
+        """
+        unsettled = self._counted.where(F.col("known") < self.min_samples)
+        meet = self._dense_meet.join(unsettled.select("row_id"), "row_id", "left_semi")
+        inside = meet.where("inside").select("row_id", "first_row", F.col("rows").alias("rows_near"), "inside")
+        unsure = materialize(
+            meet.where(~F.col("inside")).join(unsettled.select("row_id", *Z_COLUMNS), "row_id"), "unsure")
         targets = self.rows_of(unsure.select("cell", "rows").distinct())
         blocks = unsure.withColumn("block", F.explode(F.sequence(
             F.lit(0), F.floor((F.col("rows") - 1) / BLOCK_ROWS).cast("int"))))
         counted = (
             blocks.alias("p").join(targets.alias("q"), ["cell", "block"])
-            .where(squared_distance("p", "q") <= F.lit(limit))
-            .groupBy("p.row_id", "cell", "p.first_row")
-            .agg(F.sum("q.copies").alias("rows_near"))
-            .select("row_id", "cell", "rows_near", "first_row")
+            .where(squared_distance("p", "q") <= F.lit(self.eps * self.eps))
+            .groupBy("p.row_id", "p.first_row").agg(F.sum("q.copies").alias("rows_near"))
+            .select("row_id", "first_row", "rows_near", F.lit(False).alias("inside"))
         )
         return materialize(inside.unionByName(counted), "dense_links")
 
@@ -88,22 +114,15 @@ class Clustering:
 
     @cached_property
     def sparse_core(self) -> DataFrame:
-        """Sparse rows with ``neighbours`` (self included) and ``is_core``."""
-        here = self.sparse.select("row_id", "tile", *Z_COLUMNS)
-        among = (
-            self.grid.near_tiles(here).alias("p").join(here.alias("q"), "tile")
-            .where(squared_distance("p", "q") <= F.lit(self.eps * self.eps))
-            .groupBy("p.row_id").agg(F.count("*").alias("among"))
-        )
-        dense = self.dense_links.groupBy("row_id").agg(F.sum("rows_near").alias("dense"))
-        neighbours = F.col("among") + F.coalesce(F.col("dense"), F.lit(0))
+        """Sparse rows with ``neighbours`` (self included, at least ``min_samples`` where there
+        are more) and ``is_core``.
+        """
+        more = self.dense_links.where(~F.col("inside")).groupBy("row_id").agg(F.sum("rows_near").alias("more"))
         return materialize(
-            self.sparse.join(among, "row_id").join(dense, "row_id", "left")
-            .withColumn("neighbours", neighbours)
+            self._counted.join(more, "row_id", "left")
+            .withColumn("neighbours", F.col("known") + F.coalesce("more", F.lit(0)))
             .withColumn("is_core", F.col("neighbours") >= self.min_samples)
-            .drop("among", "dense"),
-            "sparse_core",
-        )
+            .drop("known", "more"), "sparse_core")
 
     @cached_property
     def core_rows(self) -> DataFrame:
@@ -134,7 +153,7 @@ class Clustering:
             self.dense_links.select("row_id"), "row_id", "left_anti")
         reached = (
             self.grid.near_tiles(open_rows.select("row_id", "tile", *Z_COLUMNS)).alias("p")
-            .join(self.core_rows.select("tile", *Z_COLUMNS).alias("q"), "tile")
+            .join(shuffled(self.core_rows.select("tile", *Z_COLUMNS)).alias("q"), "tile")
             .where(squared_distance("p", "q") <= F.lit(self.eps * self.eps))
             .select("p.row_id").distinct()
         )
@@ -164,7 +183,7 @@ class Clustering:
         """``(row_id, node)``: rows that are not core, with the core nodes within eps."""
         outer = self.sparse_core.where(~F.col("is_core")).select("row_id", "tile", *Z_COLUMNS)
         among = (
-            self.grid.near_tiles(outer).alias("p").join(self._core_nodes.alias("q"), "tile")
+            self.grid.near_tiles(outer).alias("p").join(shuffled(self._core_nodes).alias("q"), "tile")
             .where(squared_distance("p", "q") <= F.lit(self.eps * self.eps))
             .select("p.row_id", "q.node")
         )
@@ -209,7 +228,7 @@ class Clustering:
         limit = self.eps * self.eps
         near, far = box_distances("a", "b")
         met = (
-            self.grid.near_tiles(nodes).alias("a").join(nodes.alias("b"), "tile")
+            self.grid.near_tiles(nodes).alias("a").join(shuffled(nodes).alias("b"), "tile")
             .where((F.col("a.node") < F.col("b.node")) & (near <= limit * (1 + MARGIN)))
             .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"),
                     (F.least(far * (1 + MARGIN), rep_distance("a", "b")) <= limit).alias("sure"))
@@ -316,6 +335,13 @@ class Clustering:
         return outside.unionByName(inside)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Join side that is to be shuffled: the work of these joins is in the pairs, and a small
+    side sent to the few tasks that read the other one would leave most cores idle.
+    """
+    return df.hint("merge")
+
+
 def with_batches(df: DataFrame, batch_size: int | None) -> DataFrame:
     """Add ``batch_id``: consecutive blocks of ``batch_size`` rows in row_id order."""
     if batch_size is None:

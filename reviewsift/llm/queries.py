@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewsift.llm import decontaminate, mixing, quality, secrets, simhash
+from reviewsift.llm import decontaminate, mixing, quality, secrets, simhash, tokens, warc
 from reviewsift.llm.common import table
 
 
@@ -16,11 +16,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_round_trip(spark, sf: str) -> DataFrame:
+    out = warc.archive_round_trip(table(spark, sf, "pages"))
+    # a response is judged by the payload read back
+    digest = F.when(F.col("record_type") == "revisit", F.col("payload_digest")).otherwise(warc.base32_sha1(F.col("payload")))
+    size = F.when(F.col("record_type") == "revisit", F.col("payload_bytes")).otherwise(F.octet_length("payload"))
+    return out.select("page_id", size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"),
+                      "record_type", "refers_to")
+
+
 def op2_mix_sources(spark, sf: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_count_tokens(spark, sf: str) -> DataFrame:
+    out = tokens.count_tokens(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op4_scan_secrets(spark, sf: str) -> DataFrame:
     out = secrets.scan_secrets(table(spark, sf, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex",
@@ -47,10 +61,21 @@ def op10_decontaminate(spark, sf: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_mix_sources, op4_scan_secrets, op5_quality, op9_simhash, op10_decontaminate)}
+    op1_warc_round_trip, op2_mix_sources, op3_count_tokens, op4_scan_secrets, op5_quality, op9_simhash, op10_decontaminate)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+_DIGITS = ", ".join(
+    f"substr('{warc.BASE32}', CAST(1 + ((CAST('0x' || substr(h, {1 + 5 * i}, 5) AS BIGINT) >> {s}) & 31) AS BIGINT), 1)"
+    for i in range(8) for s in (15, 10, 5, 0))
+OP1 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, concat({_DIGITS}) AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM f"""
+
 OP2 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
@@ -149,4 +174,4 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in se
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id"""
 
-ORACLES = {"op2_mix_sources": OP2, "op4_scan_secrets": OP4, "op10_decontaminate": OP10}
+ORACLES = {"op1_warc_round_trip": OP1, "op2_mix_sources": OP2, "op4_scan_secrets": OP4, "op10_decontaminate": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewsift.llm import decontaminate, mixing, quality, secrets, simhash, tokens, warc
+from reviewsift.llm import decontaminate, language, mixing, pii, quality, secrets, simhash, tokens, toolcalls, warc
 from reviewsift.llm.common import table
 
 
@@ -48,6 +48,64 @@ def op5_quality(spark, sf: str) -> DataFrame:
         "n_tokens", "n_byte_tokens", "chars_per_token", "entropy", "script")
 
 
+def op6_language(spark, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_personal_data(spark, sf: str) -> DataFrame:
+    out = pii.scan_pii(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+    return out.withColumn("_base", base).select(
+        F.col("id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+        pii.digest(F.col("_base")).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
+#: Tools of the calls that ``tool_messages`` makes.
+SCHEMAS = {
+    "search": {"query": toolcalls.Param("string"), "limit": toolcalls.Param("integer")},
+    "measure": {"text": toolcalls.Param("string"), "scale": toolcalls.Param("number", required=False)},
+    "lookup": {"key": toolcalls.Param("string"), "exact": toolcalls.Param("boolean")},
+}
+
+
+def tool_messages(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Calls and results from ``conversations``: each user turn is a call on its text that uses the result
+    of the call two turns before, each assistant turn the result of the call one turn before. Some calls
+    are faulty: broken JSON, a missing, mistyped or unexpected argument, an unknown tool.
+    """
+    turns = table(spark, sf, "conversations")
+    call_id = lambda back: F.concat(F.lit("call-"), (F.col("turn") - back).cast("string"))
+    n = F.col("conv_id") + F.col("turn")
+    text = F.coalesce("text", F.lit(""))
+    bad = lambda k: n % 13 == k
+    arguments = (
+        F.when(bad(1), F.lit('{"query": '))
+        .when(n % 3 == 0, F.to_json(F.struct(
+            F.when(~bad(2), text).alias("query"),
+            F.when(bad(3), F.lit("many")).alias("limit"), F.when(bad(4), F.lit(1)).alias("pages"))))
+        .when(n % 3 == 1, F.to_json(F.struct(text.alias("text"), F.lit(0.5).alias("scale"))))
+        .otherwise(F.to_json(F.struct(F.lit(True).alias("exact"), F.substring(text, 1, 20).alias("key")))))
+    # whole numbers keep their type in the arguments
+    arguments = F.when((n % 3 == 0) & ~bad(1) & ~bad(3) & ~bad(2), F.concat(
+        F.lit('{ "query" : '), F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", ""), F.lit(', "limit" : '),
+        F.col("turn").cast("string"), F.when(bad(4), F.lit(', "pages" : 1')).otherwise(""), F.lit(" }"))
+    ).otherwise(arguments)
+    tool = F.when(bad(5), "unheard").when(n % 3 == 0, "search").when(n % 3 == 1, "measure").otherwise("lookup")
+    calls = turns.where("role = 'user'").select(
+        "conv_id", call_id(0).alias("call_id"), "turn", tool.alias("name"), arguments.alias("arguments"),
+        call_id(2).alias("after"))
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", call_id(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+def op8_link_tool_calls(spark, sf: str) -> DataFrame:
+    calls, results = tool_messages(spark, sf)
+    out = toolcalls.link_tool_calls(calls, results, SCHEMAS)
+    return out.withColumn("errors", F.array_join("errors", ","))
+
+
 def op9_simhash(spark, sf: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf, "documents"))
     return out.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"),
@@ -61,7 +119,8 @@ def op10_decontaminate(spark, sf: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_warc_round_trip, op2_mix_sources, op3_count_tokens, op4_scan_secrets, op5_quality, op9_simhash, op10_decontaminate)}
+    op1_warc_round_trip, op2_mix_sources, op3_count_tokens, op4_scan_secrets, op5_quality, op6_language, op7_personal_data,
+    op8_link_tool_calls, op9_simhash, op10_decontaminate)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -113,6 +172,44 @@ SELECT doc_id, size, n AS source_size, target,
     + greatest(0, least(size, quota - 2 * n - start)) AS BIGINT) AS taken
 FROM placed"""
 
+OP8 = r"""
+WITH RECURSIVE t AS (
+  SELECT *, coalesce(text, '') AS body, conv_id + turn AS n FROM conversations
+),
+c AS MATERIALIZED (
+  SELECT conv_id, 'call-' || turn AS call_id, turn, 'call-' || (turn - 2) AS after, body, n,
+    CASE WHEN n % 13 = 5 THEN 'unheard' WHEN n % 3 = 0 THEN 'search' WHEN n % 3 = 1 THEN 'measure' ELSE 'lookup' END AS name,
+    CASE WHEN n % 13 = 1 THEN NULL
+      WHEN n % 3 = 0 THEN '{' || concat_ws(',', CASE WHEN n % 13 = 3 THEN '"limit":"many"' WHEN n % 13 <> 2 THEN '"limit":' || turn END,
+        CASE WHEN n % 13 = 4 THEN '"pages":1' END, CASE WHEN n % 13 <> 2 THEN '"query":' || to_json(body) END) || '}'
+      WHEN n % 3 = 1 THEN '{"scale":0.5,"text":' || to_json(body) || '}'
+      ELSE '{"exact":true,"key":' || to_json(substr(body, 1, 20)) || '}' END AS arguments,
+    CASE WHEN n % 13 = 1 THEN 'invalid_json' WHEN n % 13 = 5 THEN 'unknown_tool' WHEN n % 3 <> 0 THEN ''
+      WHEN n % 13 = 2 THEN 'missing:limit,missing:query' WHEN n % 13 = 3 THEN 'type:limit'
+      WHEN n % 13 = 4 THEN 'unexpected:pages' ELSE '' END AS errors,
+    count(*) OVER (PARTITION BY conv_id, turn) AS n_calls, row_number() OVER (PARTITION BY conv_id, turn ORDER BY body) AS copy
+  FROM t WHERE role = 'user'
+),
+r AS MATERIALIZED (
+  SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn AS result_turn, text AS content,
+    count(*) OVER (PARTITION BY conv_id, turn) AS n_results, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS copy
+  FROM t WHERE role = 'assistant'
+),
+levels AS (
+  SELECT conv_id, call_id, CAST(0 AS BIGINT) AS depth FROM c a WHERE copy = 1
+    AND NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id = a.conv_id AND b.call_id = a.after)
+  UNION ALL
+  SELECT c.conv_id, c.call_id, l.depth + 1 FROM levels l JOIN c ON c.conv_id = l.conv_id AND c.after = l.call_id AND c.copy = 1
+)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, l.depth,
+  CASE WHEN c.call_id IS NULL THEN 'orphan_result' WHEN r.call_id IS NULL THEN 'unanswered'
+    WHEN result_turn <= c.turn THEN 'early_result' ELSE 'linked' END AS status,
+  c.errors = '' AS valid, c.errors, result_turn, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+  '{' || concat_ws(',', '"arguments":' || c.arguments, '"id":"' || coalesce(c.call_id, r.call_id) || '"', '"name":"' || name || '"',
+    '"result":' || to_json(content)) || '}' AS json
+FROM (SELECT * FROM c WHERE copy = 1) c FULL JOIN (SELECT * FROM r WHERE copy = 1) r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+  LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.call_id = c.call_id"""
+
 OP10 = rf"""
 WITH items AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
@@ -174,4 +271,5 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in se
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id"""
 
-ORACLES = {"op1_warc_round_trip": OP1, "op2_mix_sources": OP2, "op4_scan_secrets": OP4, "op10_decontaminate": OP10}
+ORACLES = {"op1_warc_round_trip": OP1, "op2_mix_sources": OP2, "op4_scan_secrets": OP4, "op8_link_tool_calls": OP8,
+           "op10_decontaminate": OP10}

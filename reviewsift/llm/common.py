@@ -20,10 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of up to so many narrow rows are broadcast, larger ones are joined by a shuffle; both give the same rows.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(stored: DataFrame) -> DataFrame:
+    """``stored`` (a stored table of narrow rows), to be broadcast if its counted rows are few enough."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def ascii_lower(text: Column) -> Column:
-    """Only A-Z change; ``lower`` would fold other letters too."""
+    """Only A-Z change; ``lower`` folds other letters too, so it serves texts that have none."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(text, upper, upper.lower())
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
+        F.translate(text, upper, upper.lower()))
 
 
 def chunks(batches: Iterable[pa.Array], size: int = CHUNK_BYTES) -> Iterator[tuple[list, bool]]:

@@ -91,14 +91,16 @@ _ASCII_LIKE = _Lookalikes()
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
           "seven": "7", "eight": "8", "nine": "9"}
 _SPELLED = "|".join(DIGITS)
+# Last labels that make words around a bare "at" an address.
+_LAST = "com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|co|me|tv|eu|uk|us|de|fr|es|it|nl|be|ch|at|pl|se|no|dk|fi|pt|ru|in|jp|cn|br|mx|ca|au"
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 #: One alternative per disguise. Bare "at" and "dot" count only in a whole spoken address; spelled digits only in
 #: runs of seven or more.
 _DISGUISE = re.compile(
     rf"(?P<hidden>[{INVISIBLE}]+)"
     rf"|(?P<at>{_OPEN}(?:at|@){_CLOSE})|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE})"
-    r"|(?<![A-Za-z0-9._%+-])(?P<address>[A-Za-z0-9._%+-]{1,64}\s{1,3}at\s{1,3}[A-Za-z0-9-]{1,63}"
-    r"(?:\s{1,3}dot\s{1,3}[A-Za-z0-9-]{1,63}){1,8})(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9._%+-])(?P<address>[A-Za-z0-9._%+-]{1,64}(?:\s{1,3}dot\s{1,3}[A-Za-z0-9_%+-]{1,64}){0,3}"
+    rf"\s{{1,3}}at\s{{1,3}}[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}dot\s{{1,3}}[A-Za-z0-9-]{{1,63}}){{0,7}}\s{{1,3}}dot\s{{1,3}}(?:{_LAST}))(?![A-Za-z0-9])"
     rf"|(?<![A-Za-z])(?P<digits>(?:plus[ ,.-]{{1,3}})?(?:{_SPELLED})(?:[ ,.-]{{1,3}}(?:{_SPELLED}|dot|point)){{6,}})(?![A-Za-z])",
     re.IGNORECASE)
 _SPOKEN = re.compile(r"\s+(at|dot)\s+", re.IGNORECASE)

@@ -16,7 +16,7 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewsift.llm.common import EMPTY_SHA256, ascii_lower, row_key, same
+from reviewsift.llm.common import EMPTY_SHA256, ascii_lower, bounded, row_key, same
 from reviewsift.session import materialize
 
 
@@ -173,7 +173,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     indexed = [r for r in rules if trigram_query(r.pattern)]
     found = None
     if indexed:
-        hits = materialize(candidates(texts, indexed), "secret-candidates")
+        hits = bounded(materialize(candidates(texts, indexed), "secret-candidates"))
         chosen = materialize(
             texts.join(hits, same(texts, hits, "id", "key")).select(texts["id"], texts["key"], "_t", "kinds"),
             "secret-texts")
@@ -242,7 +242,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
         .groupBy("id", "key", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     )
-    cuts = materialize(merged.withColumnsRenamed({"id": "_id", "key": "_key"}), "cuts")
+    cuts = bounded(materialize(merged.withColumnsRenamed({"id": "_id", "key": "_key"}), "cuts"))
     t, n = F.col(text_col), F.size("_cuts")
     kept = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(
         t, F.when(i == 0, 0).otherwise(F.try_element_at("_cuts", i)["end"]).cast("int") + 1,

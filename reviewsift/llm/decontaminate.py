@@ -12,10 +12,12 @@ threshold and shuffles (splitting hot shingles) beyond.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewsift.llm.common import EMPTY_SHA256, ascii_lower, row_key, same
+from reviewsift.llm.common import EMPTY_SHA256, ascii_lower, bounded, row_key, same
 from reviewsift.session import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,24 +29,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _shingles(array: str, size: int) -> Column:
-    """Array of the ``size``-word shingles of an array column, as hashes, in order."""
-    n = f"greatest(size({array}) - {size - 1}, 0)"
-    parts = ", ".join(f"slice({array}, {k + 1}, {n})" for k in range(size))
-    return F.expr(f"arrays_zip({parts})")
-
+def shingle_rows(df: DataFrame, array: str, size: int, keep: list[str], outer: bool = False) -> DataFrame:
+    """``keep..., pos, size, shingle`` of an array of words: a hash of the ``size`` words from ``pos`` on.
 
-def shingle_rows(df: DataFrame, array: str, sizes: list[int], keep: list[str]) -> DataFrame:
-    """``keep..., pos, size, shingle`` (a hash; whole windows are verified later) of an array of words."""
-    out = None
-    for size in sizes:
-        rows = (
-            df.select(*keep, F.posexplode(_shingles(array, size)).alias("pos", "_s"))
-            .select(*keep, "pos", F.lit(size).alias("size"),
-                    F.xxhash64(*[F.col("_s").getField(str(k)) for k in range(size)]).alias("shingle"))
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    The last positions have shorter shingles, which no window has; a hash can only name too many candidates.
+    With ``outer`` an empty array has one row, its ``pos`` null.
+    """
+    parts = ", ".join(f"slice({array}, {k + 1}, size({array}))" if k else array for k in range(size))
+    names = [array, *map(str, range(1, size))]
+    explode = F.posexplode_outer if outer else F.posexplode
+    return (
+        df.select(*keep, explode(F.expr(f"arrays_zip({parts})")).alias("pos", "_s"))
+        .select(*keep, "pos", F.lit(size).alias("size"), F.xxhash64(*[F.col("_s").getField(n) for n in names]).alias("shingle"))
+    )
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
@@ -60,8 +57,9 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width:
 
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          item_col: str = "item_id", item_text: str = "text", width: int = WIDTH,
-                         shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of benchmark windows, ``(id, key, start, len, window)``, and ``(window, len, item)``.
+                         shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences of benchmark windows, ``(id, key, start, len, window)``; ``(window, len, item)``; and ``(id, key,
+    n_words)`` of every row of ``docs``.
 
     ``start`` counts words from 0. ``key`` tells texts of equal ids apart. Null texts and texts or
     items without words have no occurrence; equal rows give one.
@@ -69,48 +67,60 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     owners = materialize(benchmark_windows(benchmark, item_col, item_text, width), "windows")
     windows = owners.select("window", "len").distinct()
     sizes = [r[0] for r in windows.select(F.least("len", F.lit(shingle)).alias("s")).distinct().orderBy("s").collect()]
-    if not sizes:
-        sizes = [shingle]
-    split = windows.withColumn("ws", F.split("window", " ")).withColumn("s", F.least("len", F.lit(shingle)))
-    parts = None
-    for size in sizes:  # at most ``shingle`` sizes
-        rows = shingle_rows(split.where(F.col("s") == size), "ws", [size], ["window", "len"])
-        parts = rows if parts is None else parts.unionByName(rows)
+    sizes = sizes[::-1] or [shingle]  # at most ``shingle``
+    split = windows.withColumn("ws", F.split("window", " "))
+    parts = _union(
+        shingle_rows(split.where(F.least("len", F.lit(shingle)) == s), "ws", s, ["window", "len"])
+        .where(F.col("pos") <= F.col("len") - s) for s in sizes)
     parts = materialize(parts, "window-shingles")
 
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    tokens = text.select("id", row_key(F.col("_t")).alias("key"), words(F.col("_t")).alias("w"))
-    in_docs = shingle_rows(tokens.withColumn("n", F.size("w")), "w", sizes, ["id", "key", "n"])
-
-    known = materialize(parts.select("size", "shingle").distinct(), "shingles")
+    tokens = text.select("id", row_key(F.col("_t")).alias("key"), words(F.col("_t")).alias("w")).withColumn(
+        "n", F.size("w"))
+    known = bounded(materialize(parts.select("size", "shingle").distinct(), "shingles"))
     rarity = materialize(
-        in_docs.join(known, ["size", "shingle"]).groupBy("size", "shingle").agg(F.count("*").alias("freq")), "rarity")
+        _union(shingle_rows(tokens, "w", s, []) for s in sizes).join(known, ["size", "shingle"])
+        .groupBy("size", "shingle").agg(F.count("*").alias("freq")), "rarity")
     # a window with a shingle that no document has cannot occur
     ordered = parts.join(rarity, ["size", "shingle"], "left").groupBy("window", "len").agg(
         F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "size", "shingle", "pos")).alias("p"))
     prefix = materialize(
-        ordered.where("p.freq > 0").select("p.size", "p.shingle", F.col("p.pos").alias("off"), "len").distinct(),
+        ordered.where("p.freq > 0").groupBy("p.size", "p.shingle")
+        .agg(F.collect_set(F.struct(F.col("p.pos").alias("off"), "len")).alias("ends")),  # width squared at most
         "prefix")
 
+    # the first row of every document stays, with or without a hit
+    probe = None
+    for i, s in enumerate(sizes):
+        rows = shingle_rows(tokens, "w", s, ["id", "key", "n"], outer=i == 0)
+        found = rows.join(bounded(prefix), ["size", "shingle"], "inner" if i else "left").withColumn("size", F.lit(s))
+        found = found if i else found.where("ends IS NOT NULL OR pos IS NULL OR pos = 0")
+        found = found.select("id", "key", "n", "pos", "ends", F.lit(i == 0).alias("first_size"))
+        probe = found if probe is None else probe.unionByName(found)
+    probe = materialize(probe, "probe")
+    rows = probe.where("first_size AND (pos IS NULL OR pos = 0)").select("id", "key", F.col("n").cast("long").alias("n_words"))
     spots = (
-        in_docs.join(prefix, ["size", "shingle"])
-        .withColumn("start", F.col("pos") - F.col("off"))
-        .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
-        .select("id", "key", "start", "len").distinct()
+        probe.where("ends IS NOT NULL").select("id", "key", "n", "pos", F.explode("ends").alias("e"))
+        .select("id", "key", "n", (F.col("pos") - F.col("e.off")).alias("start"), F.col("e.len").alias("len"))
+        .where("start >= 0 AND start + len <= n").distinct()
         .groupBy("id", "key").agg(F.collect_list(F.struct("start", "len")).alias("spots"))  # at most the words
     )
     spots = materialize(spots, "spots")
-    held = text.withColumn("key", row_key(F.col("_t")))
+    held, few = text.withColumn("key", row_key(F.col("_t"))), bounded(spots)
     found = (
-        held.join(spots, same(held, spots, "id", "key"))
-        .select(spots["id"], spots["key"], words(F.col("_t")).alias("w"), "spots")
+        held.join(few, same(held, few, "id", "key"))
+        .select(few["id"], few["key"], words(F.col("_t")).alias("w"), "spots")
         .select("id", "key", F.explode(F.expr(
             "transform(spots, s -> struct(s.start AS start, s.len AS len,"
             " array_join(slice(w, s.start + 1, s.len), ' ') AS window))")).alias("s"))
         .select("id", "key", "s.*")
     )
     hits = materialize(found.join(windows, ["window", "len"], "left_semi").distinct(), "hits")
-    return hits, owners
+    return hits, owners, rows
+
+
+def _union(frames) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -122,7 +132,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (as strings) of the items with one. Null texts have no words; null item ids count as no item
     though their windows hit. Equal rows get equal results, ids may be null or repeated.
     """
-    hits, owners = contaminated_windows(docs, benchmark, id_col, text_col, item_col, item_text, width, shingle)
+    hits, owners, rows = contaminated_windows(docs, benchmark, id_col, text_col, item_col, item_text, width, shingle)
     cover = hits.groupBy("id", "key").agg(F.size(F.array_distinct(F.flatten(F.transform(
         F.collect_set(F.struct("start", "len")),
         lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))).cast("long").alias("n_hit"))
@@ -134,8 +144,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = cover.join(named, same(cover, named, "id", "key"), "left").select(
         cover["id"].alias("_id"), cover["key"].alias("_key"), "n_hit", "items")
     found = materialize(found, "contaminated")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).select(
-        "id", row_key(F.col("_t")).alias("key"), F.size(words(F.col("_t"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return rows.join(found, rows["id"].eqNullSafe(found["_id"]) & (rows["key"] == found["_key"]), "left").select(
         "id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewsift.llm.common import per_value
+from reviewsift.llm.common import bounded, per_value
 from reviewsift.operators.components import connected_components
 from reviewsift.session import materialize
 
@@ -103,7 +103,8 @@ def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
         variants(prints).groupBy("key")
         .agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), "shared")
     pairs = keys.where("n = 2 and u <> v").select("u", "v").where(_close("u", "v"))
-    members = materialize(variants(prints).join(keys.where("n > 2").select("key", "n"), "key"), "members")
+    larger = bounded(keys.where("n > 2").select("key", "n"))
+    members = materialize(variants(prints).join(larger, "key"), "members")
     few = members.where(F.col("n") <= dense)
     among = few.select("key", F.col("fp").alias("u")).join(
         few.select("key", F.col("fp").alias("v")), "key").where((F.col("u") < F.col("v")) & _close("u", "v"))

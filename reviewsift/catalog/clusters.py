@@ -11,6 +11,8 @@ from reviewsift.catalog.base import (
 from reviewsift.operators import nearest
 from reviewsift.operators.dbscan import dbscan
 from reviewsift.plans.detection import cluster_summary, detect_anomalies, eps_curve
+from reviewsift.session import scratch_path
+from reviewsift.sources import sinks
 
 K = 16
 
@@ -28,7 +30,7 @@ def eps_neighbor_counts(spark, sf):
 
 
 def core_points(spark, sf):
-    return _clusters(spark, sf).neighbour_counts().select("row_id", "is_core")
+    return _clusters(spark, sf).core_flags()
 
 
 def dbscan_clusters(spark, sf):
@@ -61,6 +63,22 @@ def detect(spark, sf):
         "rating_diff", "reviewer_review_count", "rating_vs_product_avg_abs", "cluster", "min_dist", "rank"))
 
 
+def _with_gaps(spark, sf):
+    """Enriched reviews of which some lack a feature."""
+    rows = enriched(spark, sf)
+    gap = lambda n, c: F.when(F.col("row_id") % n != 0, F.col(c)).alias(c)
+    return rows.withColumns({c: gap(n, c) for n, c in ((23, "rating_diff"), (29, "helpful_vote"), (31, "has_images"))})
+
+
+def detect_incomplete(spark, sf):
+    """Anomalies of a table with missing features, as the sink stores them."""
+    path = scratch_path(spark, "anomalies")
+    found = detect_anomalies(_with_gaps(spark, sf), EPS, MIN_SAMPLES)
+    sinks.write_anomalies(found.select("row_id", "min_dist", "rank"), path, EPS, MIN_SAMPLES, None)
+    stored = spark.read.parquet(f"{path}_eps_{EPS}_min_samples_{MIN_SAMPLES}_batch_size_None")
+    return rounded(stored.select("row_id", "min_dist", "rank", "eps", "min_samples"))
+
+
 def k_distance_curve(spark, sf):
     return rounded(nearest.k_distance_curve(nearest.k_distances(enriched(spark, sf), K)).select("pos", "k_distance"))
 
@@ -72,7 +90,7 @@ def k_distance_stats(spark, sf):
 QUERIES = {
     "eps_neighbor_counts": eps_neighbor_counts, "core_points": core_points, "dbscan_clusters": dbscan_clusters,
     "dbscan_labels": dbscan_labels, "dbscan_batched": dbscan_batched, "cluster_summary": summary,
-    "rank_anomalies": rank_anomalies, "detect_anomalies": detect, "k_distance_curve": k_distance_curve,
+    "rank_anomalies": rank_anomalies, "detect_anomalies": detect, "detect_incomplete": detect_incomplete, "k_distance_curve": k_distance_curve,
     "k_distance_stats": k_distance_stats,
 }
 
@@ -123,11 +141,13 @@ clipped AS (
     least(reviewer_review_count, quantile_cont(reviewer_review_count, 0.99) OVER ()) AS reviewer_review_count,
     rating_vs_product_avg_abs FROM enriched
 )"""
+_COMPLETE = """
+complete AS (SELECT * FROM enriched WHERE row_id % 23 <> 0 AND row_id % 29 <> 0 AND row_id % 31 <> 0)"""
 _QUANTILES = ", ".join(r(f"quantile_cont(k_distance, {p / 100})", f"p{p}") for p in (25, 50, 75, 90, 95, 99))
 
 ORACLES = {
     "eps_neighbor_counts": on_enriched(
-        f"SELECT row_id, least(n, {MIN_SAMPLES}) AS neighbours FROM degree", SCALED, CLUSTERS),
+        "SELECT row_id, n AS neighbours FROM degree", SCALED, CLUSTERS),
     "core_points": on_enriched(f"SELECT row_id, n >= {MIN_SAMPLES} AS is_core FROM degree", SCALED, CLUSTERS),
     "dbscan_clusters": _on_labels("""SELECT cluster, count(*) AS n, count(*) FILTER (kind = 'core') AS core_rows,
         min(row_id) FILTER (kind = 'core') AS first_core FROM labels WHERE cluster >= 0 GROUP BY cluster"""),
@@ -145,6 +165,9 @@ ORACLES = {
         {r('rating_vs_product_avg_abs', 'rating_vs_product_avg_abs')}, CAST(-1 AS BIGINT) AS cluster,
         {r('min_dist', 'min_dist')}, row_number() OVER (ORDER BY {_FAR}) AS rank
         FROM anomalies JOIN distances USING (row_id)""", _DISTANCES),
+    "detect_incomplete": on_enriched(f"""SELECT row_id, {r('min_dist', 'min_dist')},
+        row_number() OVER (ORDER BY {_FAR}) AS rank, {r(str(EPS), 'eps')}, CAST({MIN_SAMPLES} AS BIGINT) AS min_samples
+        FROM distances""", _COMPLETE, _scaled("complete"), CLUSTERS, _DISTANCES),
     "k_distance_curve": on_enriched(f"""SELECT row_number() OVER (ORDER BY k_distance) - 1 AS pos,
         {r('k_distance', 'k_distance')} FROM kd""", SCALED, _KNN),
     "k_distance_stats": on_enriched(f"""SELECT {r('min(k_distance)', 'min')}, {r('max(k_distance)', 'max')}, {_QUANTILES}

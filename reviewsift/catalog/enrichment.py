@@ -86,8 +86,13 @@ def train_rating_model(spark, sf):
     return rounded(rating_model.evaluate_rating_model(_model(spark, sf), held_out))
 
 
+def _by_length():
+    """A stand-in for a model that SQL can repeat: the rating follows the length of the text."""
+    return lambda texts: [1.0 + len(t) % 401 / 100.0 for t in texts]
+
+
 def score_ratings(spark, sf):
-    scored = rating_model.score_ratings(fx.reviews(spark, sf), _model(spark, sf))
+    scored = rating_model.score_with(fx.reviews(spark, sf), _by_length)
     return rounded(scored.select("row_id", "rating", "predicted_rating", "rating_diff"))
 
 
@@ -96,10 +101,8 @@ def score_unscored(spark, sf):
     rows = fx.reviews(spark, sf)
     for c in ("predicted_rating", "rating_diff"):
         rows = rows.withColumn(c, F.when(F.col("helpful_vote") > 0, F.col(c)))
-    model = _model(spark, sf)
-    done = rating_model.score_unscored(rows, lambda d: rating_model.score_ratings(d, model))
-    return rounded(done.select("row_id", F.col("predicted_rating").isNotNull().alias("scored"),
-                               F.when(F.col("helpful_vote") > 0, F.col("predicted_rating")).alias("kept_rating")))
+    done = rating_model.score_unscored(rows, lambda d: rating_model.score_with(d, _by_length))
+    return rounded(done.select("row_id", "predicted_rating", "rating_diff"))
 
 
 QUERIES = {
@@ -122,6 +125,8 @@ _OUTLIERS = " UNION ALL ".join(f"""
 _MATRIX = ", ".join(
     r(f"CAST({c} AS INTEGER)" if c in ("verified_purchase", "has_images") else c, c) for c in FEATURES)
 
+_BY_LENGTH = "CAST(1 AS DOUBLE) + CAST(length(review_data) % 401 AS DOUBLE) / 100"
+
 ORACLES = {
     "product_ids": with_views("SELECT asin AS product_id FROM reviews UNION SELECT parent_asin FROM reviews", REVIEWS),
     "product_lookup": with_views(f"SELECT parent_asin, {r('average_rating', 'average_rating')} FROM lookup", REVIEWS, LOOKUP),
@@ -160,6 +165,9 @@ ORACLES = {
           rank() OVER (ORDER BY rating) + (count(*) OVER (PARTITION BY rating) - 1) / 2.0 AS ry,
           rank() OVER (ORDER BY predicted_rating) + (count(*) OVER (PARTITION BY predicted_rating) - 1) / 2.0 AS rp
           FROM reviews)""", REVIEWS),
-    "score_unscored": with_views(f"""SELECT row_id, true AS scored,
-        {r('CASE WHEN helpful_vote > 0 THEN predicted_rating END', 'kept_rating')} FROM reviews""", REVIEWS),
+    "score_ratings": with_views(f"""SELECT row_id, {r('rating', 'rating')}, {r('p', 'predicted_rating')},
+        {r('abs(p - rating)', 'rating_diff')} FROM (SELECT *, {_BY_LENGTH} AS p FROM reviews)""", REVIEWS),
+    "score_unscored": with_views(f"""SELECT row_id, {r('CASE WHEN helpful_vote > 0 THEN predicted_rating ELSE p END', 'predicted_rating')},
+        {r('CASE WHEN helpful_vote > 0 THEN rating_diff ELSE abs(p - rating) END', 'rating_diff')}
+        FROM (SELECT *, {_BY_LENGTH} AS p FROM reviews)""", REVIEWS),
 }

@@ -21,9 +21,10 @@ BUILT = ["row_id", "split", "review_data", "rating", "token_count", "category",
 
 
 def sizes(spark, sf) -> dict[str, int]:
-    """Split sizes per category that grow with the table."""
-    n = fx.table(spark, sf, "events").count()
-    return {"train_n": n * 3 // 20, "val_n": n // 20, "test_n": n // 20}
+    """Split sizes that together hold the largest category, so every row is in a split."""
+    largest = fx.reviews(spark, sf).groupBy("category").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    train, val = largest // 16, largest // 32
+    return {"train_n": train, "val_n": val, "test_n": largest - train - val}
 
 
 def scan_reviews(spark, sf):
@@ -64,7 +65,7 @@ def load_complete_rows(spark, sf):
     raw = fx.raw_reviews(spark, sf).select(*RAW_COLUMNS)
     path = scratch_path(spark, "csv")
     sinks.csv_writer(raw).csv(path)
-    return readers.read_csv(spark, path, raw.schema, max_rows=5000)
+    return readers.read_csv(spark, path, raw.schema)
 
 
 def write_splits(spark, sf):
@@ -83,18 +84,24 @@ def category_paths(spark, sf):
     parts = fx.table(spark, sf, "part")
     suffix = F.element_at(F.array(F.lit("_test"), F.lit("_train"), F.lit("_val"), F.lit("")),
                           (F.col("p_partkey") % 4 + 1).cast("int"))
-    path = F.concat(F.lit("/data/"), F.replace("p_name", F.lit(" "), F.lit("_")), suffix, F.lit(".csv"))
+    name = F.concat_ws("-", "p_name", F.concat("p_size", F.lit("d")), "p_type")
+    path = F.concat(F.lit("/data/"), F.replace(name, F.lit(" "), F.lit("_")), suffix, F.lit(".csv"))
     return parts.select("p_partkey", category_from_path(path).alias("category"))
 
 
 def combine_sources(spark, sf):
+    """Folders of Parquet and of CSV files, whose columns differ in order and number, read back as one table."""
     folder = scratch_path(spark, "combine")
-    d = fx.table(spark, sf, "documents").select("text", "lang", "source")
-    p = fx.table(spark, sf, "pages").select(F.col("html").alias("text"), "url")
-    one, two = materialize(d, "combine"), materialize(p, "combine")
-    # the same documents twice: the second file adds no row
-    tables = [t.withColumn("source_file", F.lit(n)) for t, n in ((one, "a"), (one, "b"), (two, "c"))]
-    return readers.combine(tables)
+    docs, pages = fx.table(spark, sf, "documents"), fx.table(spark, sf, "pages")
+    docs.select("text", "lang", "source").write.parquet(f"{folder}/columnar/a.parquet")
+    docs.select("source", "text", "lang").write.parquet(f"{folder}/columnar/b.parquet")  # adds no row
+    pages.select("url", F.col("html").alias("text")).write.parquet(f"{folder}/columnar/c.parquet")
+    rows = [F.col(c).cast("string").alias(c) for c in ("doc_id", "lang", "text")]
+    sinks.csv_writer(docs.select(*rows)).csv(f"{folder}/rows/d.csv")
+    sinks.csv_writer(docs.select(rows[2], rows[0], "source", rows[1])).csv(f"{folder}/rows/e.csv")
+    tables = [readers.combine_folder(spark, f"{folder}/columnar"),
+              readers.combine_folder(spark, f"{folder}/rows", use_parquet=False, source_in_key=True)]
+    return tables[0].unionByName(tables[1], allowMissingColumns=True)
 
 
 def clean_texts(spark, sf):
@@ -170,26 +177,21 @@ QUERIES = {
     "split_dataset": split_dataset, "build_dataset": built_dataset, "stream_validate": stream_validate,
 }
 
-_N = "(SELECT count(*) FROM events)"
-_TOTAL = f"({_N} * 3 // 20 + {_N} // 20 * 2)"
-_SPLIT = f"""CASE WHEN pos <= {_N} * 3 // 20 THEN 'train'
-  WHEN pos <= {_N} * 3 // 20 + {_N} // 20 THEN 'val' ELSE 'test' END"""
+_N = "(SELECT max(n) FROM (SELECT count(*) AS n FROM reviews GROUP BY category))"
+_SPLIT = f"""CASE WHEN pos <= {_N} // 16 THEN 'train'
+  WHEN pos <= {_N} // 16 + {_N} // 32 THEN 'val' ELSE 'test' END"""
 _VALID_ROWS = with_views("SELECT * FROM valid", REVIEWS, RAW, CHECKED)
 
-# The first raw rows per category, validated, deduplicated, split; repeats out of train.
+# The raw rows, validated, deduplicated, split; repeats out of train.
 _BUILT = f"""
-first_raw AS (
-  SELECT * EXCLUDE (k) FROM (
-    SELECT *, row_number() OVER (PARTITION BY category ORDER BY row_id) AS k FROM raw_all) WHERE k <= {_TOTAL}
-),
-raw AS (SELECT * FROM first_raw),{CHECKED},
+raw AS (SELECT * FROM raw_all),{CHECKED},
 distinct_rows AS (
   SELECT min(row_id) AS row_id, * EXCLUDE (row_id) FROM valid GROUP BY ALL
 ),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY category ORDER BY row_id) AS pos FROM distinct_rows
 ),
-parts AS (SELECT * EXCLUDE (pos), {_SPLIT} AS split FROM placed WHERE pos <= {_TOTAL}),
+parts AS (SELECT * EXCLUDE (pos), {_SPLIT} AS split FROM placed),
 built AS (
   SELECT * EXCLUDE (k) FROM (
     SELECT *, row_number() OVER (PARTITION BY split, review_data, rating ORDER BY row_id) AS k FROM parts)
@@ -216,17 +218,20 @@ ORACLES = {
         REVIEWS, RAW),
     "load_complete_rows": with_views(
         """SELECT row_id, category, rating, title, asin, user_id, helpful_vote FROM raw
-        WHERE title IS NOT NULL ORDER BY row_id LIMIT 5000""", REVIEWS, RAW),
+        WHERE title IS NOT NULL""", REVIEWS, RAW),
     "write_splits": with_views(
         "SELECT split, category AS category_name, count(*) AS n FROM built GROUP BY ALL", REVIEWS, _RAW_ALL, _BUILT),
     "category_slug": """SELECT p_partkey, lower(replace(replace(p_name || ' & ' || p_brand, ' ', '_'), '&', 'and')) AS slug
         FROM part""",
-    "category_from_path": """SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '),
-        lambda w: upper(w[1]) || lower(w[2:])), ' ') AS category FROM part""",
-    "combine_sources": """SELECT text, lang, source, url, min(source_file) AS source_file FROM (
-        SELECT text, lang, source, NULL AS url, 'a' AS source_file FROM documents
-        UNION ALL SELECT text, lang, source, NULL, 'b' FROM documents
-        UNION ALL SELECT html, NULL, NULL, url, 'c' FROM pages) GROUP BY text, lang, source, url""",
+    "category_from_path": """SELECT p_partkey, array_to_string(list_transform(range(1, length(s) + 1), lambda i:
+        CASE WHEN i > 1 AND regexp_matches(s[i - 1], '[A-Za-z]') THEN lower(s[i]) ELSE upper(s[i]) END), '') AS category
+        FROM (SELECT p_partkey, concat_ws('-', p_name, p_size || 'd', p_type) AS s FROM part)""",
+    "combine_sources": """SELECT text, lang, source, url, NULL AS doc_id, min(source_file) AS source_file FROM (
+        SELECT text, lang, source, NULL AS url, 'a.parquet' AS source_file FROM documents
+        UNION ALL SELECT text, lang, source, NULL, 'b.parquet' FROM documents
+        UNION ALL SELECT html, NULL, NULL, url, 'c.parquet' FROM pages) GROUP BY text, lang, source, url
+        UNION ALL SELECT DISTINCT text, lang, NULL, NULL, CAST(doc_id AS VARCHAR), 'd.csv' FROM documents
+        UNION ALL SELECT DISTINCT text, lang, source, NULL, CAST(doc_id AS VARCHAR), 'e.csv' FROM documents""",
     "clean_text": f"SELECT page_id, {clean_sql('html')} AS cleaned FROM pages",
     "validate_reviews": _VALID_ROWS,
     "has_images": with_views("SELECT row_id, has_images FROM reviews", REVIEWS),
@@ -246,8 +251,7 @@ ORACLES = {
         FROM (SELECT count(*) AS n FROM reviews GROUP BY review_data, rating)""", REVIEWS),
     "split_dataset": with_views(
         f"""SELECT row_id, category, {_SPLIT} AS split FROM (
-        SELECT row_id, category, row_number() OVER (PARTITION BY category ORDER BY row_id) AS pos FROM reviews)
-        WHERE pos <= {_TOTAL}""", REVIEWS),
+        SELECT row_id, category, row_number() OVER (PARTITION BY category ORDER BY row_id) AS pos FROM reviews)""", REVIEWS),
     "build_dataset": with_views(f"SELECT {_BUILT_COLUMNS} FROM built", REVIEWS, _RAW_ALL, _BUILT),
     "stream_validate": _VALID_ROWS,
 }

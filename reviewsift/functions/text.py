@@ -84,10 +84,21 @@ def category_slug(name: Column | str) -> Column:
 
 
 def category_from_path(path: Column | str) -> Column:
-    """'.../home_and_kitchen_test.csv' gives 'Home And Kitchen'; one split suffix is dropped."""
+    """'.../home_and_kitchen_test.csv' gives 'Home And Kitchen', '3d_printers' '3D Printers'; one split suffix
+    is dropped. A letter is upper case unless a cased letter stands before it.
+    """
     base = F.regexp_extract(path, r"([^/]*)$", 1)
     stem = F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
-    return F.initcap(F.replace(F.regexp_replace(stem, "_(test|train|val)$", ""), F.lit("_"), F.lit(" ")))
+    return title_case(F.replace(F.regexp_replace(stem, "_(test|train|val)$", ""), F.lit("_"), F.lit(" ")))
+
+
+def title_case(name: Column) -> Column:
+    """Every letter that follows no cased letter in upper case, the others in lower case."""
+    letters = F.split(F.concat(F.lit(" "), name), "")  # short names
+    cased = F.slice(letters, F.lit(1), F.greatest(F.size(letters) - 1, F.lit(0)))
+    shifted = F.slice(letters, F.lit(2), F.greatest(F.size(letters) - 1, F.lit(0)))
+    return F.array_join(F.zip_with(cased, shifted, lambda before, c: F.when(
+        before.rlike(r"[\p{Lu}\p{Ll}\p{Lt}]"), F.lower(c)).otherwise(F.upper(c))), "")
 
 
 def compose_review_data(category: str, title: str, text: str) -> Column:

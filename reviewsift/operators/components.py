@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewsift.operators.ordering import HOT_ROWS, join_hot
 from reviewsift.session import materialize
 
 
-def _contract(neighbours: DataFrame, large: bool) -> DataFrame:
+def _contract(neighbours: DataFrame) -> DataFrame:
     """Link every neighbour of ``u`` to the smallest of ``u`` and its neighbours."""
-    smallest = neighbours.groupBy("u").agg(F.min("v").alias("_min"), F.count("*").alias("_deg"))
+    smallest = neighbours.groupBy("u").agg(F.min("v").alias("_min"))
     smallest = smallest.withColumn("_min", F.least("_min", "u"))
-    if large:
-        smallest = materialize(smallest, "smallest")
-        return join_hot(neighbours, smallest, ["u"], "_deg", "v", how="inner").drop("_deg")
-    return neighbours.join(smallest.drop("_deg"), "u")
+    # a stored side, so the runtime can split a node with very many links
+    return neighbours.join(materialize(smallest, "smallest"), "u")
 
 
-def _large_star(edges: DataFrame, large: bool) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.explode(F.array(
         F.struct(F.col("u"), F.col("v")),
         F.struct(F.col("v").alias("u"), F.col("u").alias("v")),
     )).alias("e")).select("e.*")
     return (
-        _contract(both, large).where(F.col("v") > F.col("u"))
+        _contract(both).where(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("_min").alias("v")).distinct()
     )
 
 
-def _small_star(edges: DataFrame, large: bool) -> DataFrame:
-    pointed = _contract(edges, large)  # every edge has v < u
+def _small_star(edges: DataFrame) -> DataFrame:
+    pointed = _contract(edges)  # every edge has v < u
     return (
         pointed.select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("_min").alias("v")),
@@ -44,8 +41,7 @@ def _small_star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(u, v)``; the component is its least node.
 
-    Each round is two grouped minima and joins; the driver only compares two numbers. A node
-    with very many links is spread by ``join_hot``.
+    Each round is two grouped minima and joins; the driver only compares two numbers.
     """
     links = materialize(
         edges.where(F.col("u") != F.col("v"))
@@ -56,8 +52,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = signature(links)
     for _ in range(max_rounds):
-        large = before[0] > HOT_ROWS
-        links = materialize(_small_star(_large_star(links, large), large), "links")
+        links = materialize(_small_star(_large_star(links)), "links")
         after = signature(links)
         if after == before:
             break

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewsift.session import materialize
+
 
 def first_of_each(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The row with the least ``row_id`` per key, whole rows kept.
@@ -28,7 +30,16 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicate_reviews(df: DataFrame) -> DataFrame:
-    return first_of_each(df, ["review_data", "rating"])
+    """First row of each text and rating. Texts are compared by their SHA-256 digests, so no text is a shuffle
+    key, and the repeats (few beside the rows) are what the wide rows are joined with.
+    """
+    marked = materialize(df.select("row_id", "rating", F.sha2("review_data", 256).alias("_digest")), "digests")
+    groups = materialize(
+        marked.groupBy("_digest", "rating").agg(F.min("row_id").alias("_first"), F.count("*").alias("_n"))
+        .where("_n > 1").withColumnsRenamed({"_digest": "_d", "rating": "_r"}), "repeated")
+    same = marked["_digest"].eqNullSafe(groups["_d"]) & marked["rating"].eqNullSafe(groups["_r"])
+    repeats = materialize(marked.join(groups, same).where("row_id > _first").select("row_id"), "repeats")
+    return df.join(repeats, "row_id", "left_anti")
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

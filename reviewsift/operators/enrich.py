@@ -86,14 +86,23 @@ def enrich(reviews: DataFrame, lookup: DataFrame) -> DataFrame:
     """Reviews with rating deviation and reviewer activity; unmatched rows are dropped.
 
     User counts are taken before the drop. Call ``check_lookup`` first where an empty lookup
-    should stop the job.
+    should stop the job. The joins see ids and ratings only; the wide rows meet their two values once, by
+    ``row_id``. Rows without a user or a product id match nothing and leave before the joins.
     """
-    return (
-        with_user_counts(match_products(reviews, lookup))
+    keys = [c for c in ("asin", "parent_asin", "user_id") if c in reviews.columns]
+    ids = reviews.select("row_id", "rating", *keys).where(F.coalesce(*[F.col(k).cast("string") for k in keys if k != "user_id"]).isNotNull())
+    if "user_id" in keys:
+        counts = materialize(reviews_per_user(reviews), "user_counts")
+        ids = join_hot(ids.where(F.col("user_id").isNotNull()), counts, ["user_id"], "reviewer_review_count", "row_id")
+    else:
+        ids = ids.withColumn("reviewer_review_count", F.lit(None).cast("bigint"))
+    found = (
+        match_products(ids, lookup)
         .withColumn("rating_vs_product_avg_abs", F.abs(F.col("rating") - F.col("product_avg")))
-        .drop("product_avg")
         .na.drop(subset=["rating_vs_product_avg_abs", "reviewer_review_count"])
+        .select("row_id", "reviewer_review_count", "rating_vs_product_avg_abs")
     )
+    return reviews.join(found, "row_id")
 
 
 def enrichment_stats(enriched: DataFrame) -> DataFrame:

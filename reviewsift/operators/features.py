@@ -13,10 +13,10 @@ from reviewsift.schemas import FEATURES, require_columns
 Z_COLUMNS = [f"z_{c}" for c in FEATURES]
 
 
-def feature_matrix(df: DataFrame) -> DataFrame:
-    """``row_id`` and the six features as DOUBLE (flags as 0/1)."""
+def feature_matrix(df: DataFrame, complete: bool = False) -> DataFrame:
+    """``row_id`` and the six features as DOUBLE (flags as 0/1); ``complete`` leaves out rows with a null feature."""
     require_columns(df, ["row_id", *FEATURES], "feature_matrix")
-    return df.select("row_id", *[
+    return (df.na.drop(subset=FEATURES) if complete else df).select("row_id", *[
         (F.col(c).cast("int") if c in ("verified_purchase", "has_images") else F.col(c))
         .cast("double").alias(c) for c in FEATURES
     ])

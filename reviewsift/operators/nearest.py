@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,7 +15,7 @@ from reviewsift.operators.features import Z_COLUMNS, Scale, apply_scale, feature
 from reviewsift.operators.grid import (
     BOX_COLUMNS, MARGIN, REP_COLUMNS, Grid, distance_to_box, flags_column, squared_distance, summarize,
 )
-from reviewsift.operators.ordering import hot_keys, join_hot, spread_join, with_position
+from reviewsift.operators.ordering import hot_keys, join_hot, small, spread_join, with_position
 from reviewsift.operators.quantiles import exact_quantiles, melt
 from reviewsift.schemas import FEATURES
 from reviewsift.session import materialize
@@ -56,7 +55,7 @@ def _rep_distance(point: str, box: str) -> Column:
     return total
 
 
-def nearest_core(c: Clustering, step: int = 2) -> DataFrame:
+def nearest_core(c: Clustering, step: int = 1) -> DataFrame:
     """``(row_id, batch_id, min_dist)``: distance of each noise row to the nearest core row.
 
     Top-down search over nested boxes of core rows: each noise row keeps the boxes that can
@@ -70,32 +69,37 @@ def nearest_core(c: Clustering, step: int = 2) -> DataFrame:
     # the cells are few beside the rows, so every level is grouped from them directly
     levels = [cells] + [_coarser(cells, len(axes), step * n) for n in range(1, depth + 1)]
 
+    # equal noise rows are searched once
+    places = materialize(
+        c.noise.groupBy("batch_id", *Z_COLUMNS).agg(F.min("row_id").alias("place")), "noise_places")
     parent_of = lambda: [F.shiftright(f"i{n}", step).alias(f"i{n}") for n in axes]
     # the top level has one box per batch and flag combination
-    search = c.noise.select("row_id", "batch_id", *Z_COLUMNS).join(
-        levels[-1].select("batch_id", "flags", *[f"i{n}" for n in axes]), "batch_id")
-    search = search.withColumn("best", F.lit(float("inf")))
-    per_row = Window.partitionBy("row_id")
+    top = small(materialize(levels[-1].select("batch_id", "flags", *[f"i{n}" for n in axes]), "top_boxes"))
+    search = places.join(top, "batch_id").withColumn("best", F.lit(float("inf")))
+    per_row = Window.partitionBy("place")
     for level in reversed(levels[:-1]):
         bottom = level is levels[0]
         keys = ["batch_id", "flags", *[f"i{n}" for n in axes]]
-        children = level.select(
+        children = materialize(level.select(
             "batch_id", "flags", *parent_of(), *[F.col(f"i{n}").alias(f"j{n}") for n in axes],
-            *BOX_COLUMNS, *REP_COLUMNS, *(["cell", "rows"] if bottom else []))
+            *BOX_COLUMNS, *REP_COLUMNS, *(["cell", "rows"] if bottom else [])), "child_boxes")
         near, _ = distance_to_box("p", "b")
+        # coarse levels have few boxes, each wanted by many places: they are broadcast. Fine ones have
+        # many keys. A child beyond the best so far goes inside the join, before anything is shuffled
         search = (
-            search.alias("p").join(children.alias("b"), keys)
-            .select("p.row_id", "batch_id", "flags", *[f"p.{z}" for z in Z_COLUMNS],
+            search.alias("p").join(small(children).alias("b"), keys)
+            .where(near <= F.col("p.best") * (1 + MARGIN))
+            .select("p.place", "batch_id", "flags", *[f"p.{z}" for z in Z_COLUMNS],
                     *[F.col(f"b.j{n}").alias(f"i{n}") for n in axes],
                     *(["b.cell", "b.rows"] if bottom else []),
                     near.alias("near"), F.least("p.best", _rep_distance("p", "b")).alias("best"))
             .withColumn("best", F.min("best").over(per_row))
             .where(F.col("near") <= F.col("best") * (1 + MARGIN))
         )
-    leaves = materialize(search.select("row_id", "cell", "rows", "best", *Z_COLUMNS), "leaves")
+    leaves = materialize(search.select("place", "cell", "rows", "best", *Z_COLUMNS), "leaves")
     in_sparse = (
         leaves.alias("p").join(c.core_rows.select("cell", *Z_COLUMNS).alias("q"), "cell")
-        .select("p.row_id", squared_distance("p", "q").alias("d2"))
+        .select("p.place", squared_distance("p", "q").alias("d2"))
     )
     dense = leaves.join(c.dense.select("cell"), "cell", "left_semi")
     blocks = dense.withColumn("block", F.explode(F.sequence(
@@ -103,11 +107,12 @@ def nearest_core(c: Clustering, step: int = 2) -> DataFrame:
     in_dense = (
         blocks.alias("p").join(c.rows_of(dense.select("cell", "rows").distinct()).alias("q"),
                                ["cell", "block"])
-        .select("p.row_id", squared_distance("p", "q").alias("d2"))
+        .select("p.place", squared_distance("p", "q").alias("d2"))
     )
-    nearest = in_sparse.unionByName(in_dense).groupBy("row_id").agg(F.min("d2").alias("d2"))
-    return c.noise.select("row_id", "batch_id").join(nearest, "row_id", "left").select(
-        "row_id", "batch_id", F.sqrt("d2").alias("min_dist"))
+    nearest = in_sparse.unionByName(in_dense).groupBy("place").agg(F.min("d2").alias("d2"))
+    found = places.join(nearest, "place", "left").drop("place")
+    rows = c.noise.select("row_id", "batch_id", *Z_COLUMNS)
+    return rows.join(found, ["batch_id", *Z_COLUMNS]).select("row_id", "batch_id", F.sqrt("d2").alias("min_dist"))
 
 
 def rank_anomalies(c: Clustering) -> DataFrame:
@@ -166,7 +171,7 @@ def _block_kernel(k: int, reach: float):
     return run
 
 
-BUCKET_ROWS = 200_000  # queries that one call of the kernel takes at a time, about
+BUCKET_ROWS = 200_000  # queries and targets that one call of the kernel takes, about
 
 
 def _kth(near: DataFrame, k: int) -> DataFrame:
@@ -179,6 +184,11 @@ def _kth(near: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _bucket_count(slices: int, asked: int, offered: int) -> int:
+    """Buckets of about ``BUCKET_ROWS`` rows of both sides together."""
+    return max(slices, math.ceil((asked + offered) / BUCKET_ROWS))
+
+
 def _kth_within(queries: DataFrame, points: DataFrame, tiles: DataFrame, grid: Grid, k: int) -> DataFrame:
     """``(vid, d2)`` of the k-th neighbour of each query, where one tile side reaches it.
 
@@ -191,15 +201,16 @@ def _kth_within(queries: DataFrame, points: DataFrame, tiles: DataFrame, grid: G
         "knn_tiles")
     last_block = F.floor((F.col("points") - 1) / BLOCK_ROWS)
     slices = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = meets.select("tile", "points").distinct()
     work = meets.agg(F.sum(F.col("queries") * (last_block + 1))).first()[0] or 0
-    buckets = max(slices, math.ceil(work / BUCKET_ROWS))
+    offer = wanted.agg(F.sum("points")).first()[0] or 0
+    buckets = _bucket_count(slices, work, offer)
     bucket = F.pmod(F.xxhash64("tile", "block"), F.lit(buckets)).alias("bucket")
     asked = (
         queries.select("vid", F.col("tile").alias("home"), *Z_COLUMNS).join(meets.drop("queries"), "home")
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
         .select(bucket, "vid", "tile", "block", *Z_COLUMNS)
     )
-    wanted = meets.select("tile", "points").distinct()
     offered = (
         spread_join(points, wanted, ["tile"], hot_keys(tiles, ["tile"], "points"), "vid")
         .withColumn("block", F.pmod(F.xxhash64("vid"), last_block + 1))
@@ -212,31 +223,6 @@ def _kth_within(queries: DataFrame, points: DataFrame, tiles: DataFrame, grid: G
     return _kth(near, k)
 
 
-FEW_QUERIES = 500  # so few points are compared with the whole table in one pass
-
-
-def _kth_of_few(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """``(vid, d2)`` for at most ``FEW_QUERIES`` points; each task returns its ``k`` nearest."""
-    rows = queries.select("vid", *Z_COLUMNS).toPandas()  # bounded by the caller's count
-    vid, q = rows["vid"].to_numpy(), rows[Z_COLUMNS].to_numpy()
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best, copies = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0)
-        for batch in batches:
-            t = batch[Z_COLUMNS].to_numpy()
-            d2 = sum((q[:, n, None] - t[None, :, n]) ** 2 for n in range(q.shape[1]))
-            best = np.concatenate([best, d2], axis=1)
-            copies = np.concatenate([copies, np.broadcast_to(batch["copies"].to_numpy(), d2.shape)], axis=1)
-            keep = min(k, best.shape[1])
-            nearest = np.argpartition(best, keep - 1, axis=1)[:, :keep]
-            best, copies = np.take_along_axis(best, nearest, 1), np.take_along_axis(copies, nearest, 1)
-        if best.shape[1]:
-            yield pd.DataFrame({"vid": np.repeat(vid, best.shape[1]), "d2": best.ravel(), "copies": copies.ravel()})
-
-    near = points.select("copies", *Z_COLUMNS).mapInPandas(scan, "vid long, d2 double, copies long")
-    return _kth(near, k)
-
-
 def _radii(points: DataFrame, scale: Scale, k: int, levels: int = 24) -> list[float]:
     """Search radii, doubling, from where no tile holds many rows up to the whole spread."""
     widest = math.sqrt(sum((scale.high[f] - scale.low[f]) ** 2 for f in FEATURES)) or 1.0
@@ -265,7 +251,9 @@ def k_distances(df: DataFrame, k: int = 16) -> DataFrame:
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    features = materialize(feature_matrix(df), "knn_features")
+    features = materialize(feature_matrix(df, complete=True), "knn_features")
+    if features.isEmpty():
+        return features.select("row_id", F.lit(None).cast("double").alias("k_distance"))
     scale = fit_scale(features)
     scaled = apply_scale(features, scale)
     points = materialize(
@@ -275,10 +263,7 @@ def k_distances(df: DataFrame, k: int = 16) -> DataFrame:
     waiting, settled = points, []
     radii = _radii(points, scale, k)
     for radius in radii:
-        left = waiting.count()
-        if left <= FEW_QUERIES:
-            if left:
-                settled.append(_kth_of_few(waiting, points, k))
+        if waiting.isEmpty():
             break
         grid = Grid.fit(scale, radius)
         placed = points.withColumn("tile", grid.tile())

@@ -40,7 +40,7 @@ def with_position(df: DataFrame, order: Sequence[Column], within: Sequence[str]
     placed = numbered.join(F.broadcast(starts), "_slice").withColumn(position, F.col("_start") + local)
     placed = placed.drop("_slice", "_start", "_mid")
     if within:
-        first = placed.groupBy(*within).agg(F.min(position).alias("_first"))
+        first = small(materialize(placed.groupBy(*within).agg(F.min(position).alias("_first")), "firsts"))
         placed = (
             placed.join(first, list(within))
             .withColumn(position, F.col(position) - F.col("_first"))
@@ -49,6 +49,14 @@ def with_position(df: DataFrame, order: Sequence[Column], within: Sequence[str]
     return placed
 
 
+BROADCAST_ROWS = 50_000  # rows of a stored table of boxes, limits or sums that may be broadcast
+
+
+def small(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``stored`` to be broadcast if it has at most ``rows`` rows (counted); the join shuffles it otherwise."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
 HOT_ROWS = 1_000_000  # a key below this many rows is never worth spreading
 HOT_SHARE = 1000  # a hot key holds more than 1/HOT_SHARE of all rows
 

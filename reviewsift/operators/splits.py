@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewsift.operators.ordering import with_position
+from reviewsift.operators.ordering import small, with_position
+from reviewsift.session import materialize
 
 
 def split_limits(df: DataFrame, train_n: int, val_n: int, test_n: int) -> DataFrame:
@@ -30,7 +31,8 @@ def split_dataset(df: DataFrame, train_n: int, val_n: int, test_n: int) -> DataF
         F.when(before("_train_end"), "train").when(before("_val_end"), "val")
         .when(before("_test_end"), "test")
     )
-    limits = split_limits(df, train_n, val_n, test_n)
+    # one row per category: the wide rows are not shuffled for it
+    limits = small(materialize(split_limits(df, train_n, val_n, test_n), "split_limits"))
     return (
         df.join(limits, "category").withColumn("split", split)
         .where(F.col("split").isNotNull())

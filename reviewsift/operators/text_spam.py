@@ -26,11 +26,14 @@ SIMILARITY_DIGITS = 12  # similarities are rounded to this before they meet the
 
 
 def distinct_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(text_id, text, copies)``: each different text once; a missing text is ''."""
+    """``(text_id, text, copies, digest)``: each different text once; a missing text is ''."""
+    # texts are grouped by a digest, and each is fetched once by its first row
+    rows = df.select("row_id", F.coalesce(text_col, F.lit("")).alias("text"))
+    groups = materialize(
+        rows.groupBy(F.sha2("text", 256).alias("digest"))
+        .agg(F.min("row_id").alias("text_id"), F.count("*").alias("copies")), "text_digests")
     return materialize(
-        df.select("row_id", F.coalesce(text_col, F.lit("")).alias("text"))
-        .groupBy("text").agg(F.min("row_id").alias("text_id"), F.count("*").alias("copies")),
-        "texts")
+        rows.join(groups, rows["row_id"] == groups["text_id"]).select("text_id", "text", "copies", "digest"), "texts")
 
 
 def doc_terms(texts: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -75,7 +78,9 @@ class SpamAnalysis:
 
     def __init__(self, df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
                  size: int = VOCABULARY, max_df: float = MAX_DF, stop_words: Sequence[str] = STOP_WORDS):
-        self.reviews = df.select("row_id", "user_id", F.coalesce(text_col, F.lit("")).alias("text"))
+        # texts are told apart by their digests from here on
+        self.reviews = materialize(df.select(
+            "row_id", "user_id", F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("digest")), "review_digests")
         self.threshold = threshold
         self.texts = distinct_texts(df, text_col)
         self.terms = materialize(doc_terms(self.texts, stop_words), "doc_terms")
@@ -89,11 +94,11 @@ class SpamAnalysis:
         """``(user_id, text_id, row_id, posts)``: the texts of each user with their number."""
         if self._user_texts is None:
             posted = (
-                self.reviews.where(F.col("user_id").isNotNull()).groupBy("user_id", "text")
+                self.reviews.where(F.col("user_id").isNotNull()).groupBy("user_id", "digest")
                 .agg(F.count("*").alias("posts"), F.min("row_id").alias("row_id"))
             )
             self._user_texts = materialize(
-                join_hot(posted, self.texts, ["text"], "copies", "user_id", how="inner")
+                join_hot(posted, self.texts.select("digest", "text_id", "copies"), ["digest"], "copies", "user_id", how="inner")
                 .select("user_id", "text_id", "row_id", "posts"), "user_texts")
         return self._user_texts
 
@@ -186,8 +191,8 @@ class SpamAnalysis:
             "user_id", "review_count", "avg_similarity")
 
     def spam_users(self, min_reviews: int = 3) -> DataFrame:
-        """Patterns of users with at least ``min_reviews`` reviews."""
-        return self.patterns(min_reviews)
+        """Patterns of users with at least ``min_reviews`` reviews, those with most reviews first."""
+        return self.patterns(min_reviews).orderBy(F.desc("review_count"), "user_id")
 
 
 def spam_reviews(reviews: DataFrame, users: DataFrame) -> DataFrame:

@@ -36,7 +36,6 @@ def check_reviews(raw: DataFrame, max_tokens: int = MAX_TOKENS, token_count=piec
         .withColumn("has_images", has_images("images"))
         .withColumn("review_data", compose_review_data("category", "title", "text"))
     )
-    typed = computed_once(typed, token_count=token_count("review_data").cast("int"))
     blank_id = (F.col("asin") == "") | (F.col("parent_asin") == "") | (F.col("user_id") == "")
     reason = (
         F.when(F.col("_missing"), "missing_field")
@@ -45,9 +44,12 @@ def check_reviews(raw: DataFrame, max_tokens: int = MAX_TOKENS, token_count=piec
         .when(~F.coalesce(F.col("helpful_vote") >= 0, F.lit(False)), "bad_helpful_vote")
         .when(F.col("timestamp") == 0, "bad_timestamp")
         .when(blank_id, "blank_id")
-        .when(F.col("token_count") > max_tokens, "too_long")
     )
-    return typed.withColumn("reject_reason", reason).drop("_missing", "images")
+    # the costly count comes last, for rows that nothing else rejects (null for the others)
+    typed = computed_once(typed.withColumn("_early", reason), token_count=F.when(
+        F.col("_early").isNull(), token_count("review_data").cast("int")))
+    late = F.coalesce("_early", F.when(F.col("token_count") > max_tokens, F.lit("too_long")))
+    return typed.withColumn("reject_reason", late).drop("_missing", "_early", "images")
 
 
 def valid_reviews(raw: DataFrame, **options) -> DataFrame:

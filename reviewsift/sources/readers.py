@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,28 +58,46 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, max_rows: int
     return complete_rows(df, max_rows)
 
 
-def _folder_files(spark: SparkSession, folder: str, suffix: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*{suffix}")
-    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.globStatus(pattern))
+def _folder_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """Files below a folder by name (Spark lists them; no content is read)."""
+    listed = spark.read.format("binaryFile").options(pathGlobFilter=f"*{suffix}", recursiveFileLookup="true").load(folder)
+    return [r.path for r in listed.select("path").orderBy("path").collect()]
 
 
-def combine_folder(spark: SparkSession, folder: str, use_parquet: bool = True,
-                   source_in_key: bool = False) -> DataFrame | None:
-    """All Parquet files of a folder, else all CSV files, with ``source_file``; full-row
-    duplicates out. None where there are no files; unreadable files are skipped.
+def combine_folder(spark: SparkSession, folder: str, use_parquet: bool = True, source_in_key: bool = False,
+                   skip_unreadable: bool = False) -> DataFrame | None:
+    """All Parquet files of a folder, else all CSV files, with ``source_file``; full-row duplicates out.
 
+    Files are read by the columns they name, in any order, and missing columns become null; CSV values are strings.
+    ``source_file`` is the file's (or the written folder's) name below ``folder``. None where there are no files.
+    A file that cannot be opened is an error, or, with ``skip_unreadable``, is named in a warning and left out.
     By default the file name is no part of the duplicate key and the least one is kept.
     """
-    kinds = [("parquet", ".parquet"), ("csv", ".csv")] if use_parquet else [("csv", ".csv")]
-    for fmt, suffix in kinds:
-        if _folder_files(spark, folder, suffix):
-            reader = spark.read.option("ignoreCorruptFiles", "true")
-            reader = reader.option("mergeSchema", "true") if fmt == "parquet" else reader.options(
-                header=True, multiLine=True, escape='"')
-            df = reader.format(fmt).load(f"{folder.rstrip('/')}/*{suffix}")
-            return drop_file_duplicates(df.withColumn("source_file", F.col("_metadata.file_name")), source_in_key)
+    root = folder.rstrip("/")
+    for fmt, suffix in ([("parquet", ".parquet")] if use_parquet else []) + [("csv", ".csv")]:
+        files = _folder_files(spark, root, suffix)
+        if not files:
+            continue
+        reader = lambda: spark.read.format(fmt).options(
+            **({} if fmt == "parquet" else {"header": True, "multiLine": True, "escape": '"'}))
+        by_columns: dict[tuple, list[str]] = {}
+        skipped = []
+        for f in files:  # the header or footer of each
+            try:
+                by_columns.setdefault(tuple((c.name, c.dataType.json()) for c in reader().load(f).schema), []).append(f)
+            except Exception:
+                if not skip_unreadable:
+                    raise
+                skipped.append(f)
+        if skipped:
+            warnings.warn(f"unreadable files left out: {skipped}", stacklevel=2)
+        if not by_columns:
+            return None
+        place = F.regexp_extract(F.col("_metadata.file_path"), f"/{re.escape(root.rsplit('/', 1)[-1])}/([^/]+)", 1)
+        tables = [reader().load(paths).withColumn("source_file", place) for key, paths in by_columns.items() if key]
+        if not tables:
+            return None
+        return combine(tables, source_in_key)
     return None
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewsift import fixtures as fx
-from reviewsift.operators import dbscan as D, nearest as N
+from reviewsift.operators import dbscan as D, grid as G, nearest as N
 from reviewsift.operators.features import Z_COLUMNS
 from reviewsift.plans.detection import cluster_summary, detect_anomalies
 from reviewsift.schemas import FEATURES
@@ -65,8 +65,9 @@ def test_labels_ranks_and_noise(spark, seed, eps, m):
     assert got.cluster.tolist() == label.tolist()
     assert got.kind.tolist() == np.where(core, "core", np.where(label >= 0, "border", "noise")).tolist()
     counts = c.neighbour_counts().toPandas().sort_values("row_id")
-    assert counts.neighbours.tolist() == np.minimum(near.sum(1), m).tolist()
+    assert counts.neighbours.tolist() == near.sum(1).tolist()
     assert counts.is_core.tolist() == core.tolist()
+    assert c.core_flags().toPandas().sort_values("row_id").is_core.tolist() == core.tolist()
     noise = np.flatnonzero(label == -1)
     ranked = N.rank_anomalies(c).toPandas().sort_values("rank")
     assert sorted(ranked.row_id) == noise.tolist()
@@ -136,9 +137,81 @@ def test_empty_input(spark):
     assert detect_anomalies(frame(spark, blobs(1, 40)).where("false"), 0.5, 3).count() == 0
 
 
-@pytest.mark.parametrize("few", [0, 500])
-def test_k_distances(spark, monkeypatch, few):
-    monkeypatch.setattr(N, "FEW_QUERIES", few)
+def test_neighbours_in_crowded_cells_are_counted_by_finer_boxes(spark, monkeypatch):
+    monkeypatch.setattr(D, "LEAF_POINTS", 3)
+    x = blobs(4)
+    _, near, *_ = brute(scaled(x), 0.5, 8)
+    got = D.dbscan(frame(spark, x), 0.5, 8).neighbour_counts().toPandas().sort_values("row_id")
+    assert got.neighbours.tolist() == near.sum(1).tolist()
+
+
+def test_rows_with_a_null_feature_are_left_out(spark):
+    x = blobs(6, 120)
+    gaps = F.when(F.col("row_id") % 40 != 3, F.col("rating_diff"))
+    df = frame(spark, x).withColumn("rating_diff", gaps).withColumn(
+        "has_images", F.when(F.col("row_id") != 77, F.col("has_images")))
+    full = df.na.drop()
+    assert full.count() == 116
+    seen = lambda t: sorted(map(tuple, detect_anomalies(t, 0.5, 8).select("row_id", "min_dist", "rank").collect()))
+    assert seen(df) == seen(full)
+    kth = lambda t: sorted(map(tuple, N.k_distances(t, 4).collect()))
+    assert kth(df) == kth(full)
+
+
+def test_whole_numbers_divide_exactly(spark):
+    values = [2**55 + 4, 2**61 - 4, 2**53 + 1, 7, 0]
+    got = spark.createDataFrame([(v,) for v in values], "n long").select(
+        "n", G.whole(F.col("n"), 4).alias("a"), G.whole(F.col("n"), 2**40 + 3).alias("b")).collect()
+    assert all((r.a, r.b) == (r.n // 4, r.n // (2**40 + 3)) for r in got)
+
+
+def test_ranks_on_a_wide_batched_grid(spark):
+    rng = np.random.default_rng(11)
+    x = blobs(7, 300)
+    x[rng.choice(300, 200, replace=False)] = x[rng.choice(300, 200)]  # copies are the core rows
+    x[0, [0, 4]] = 4e6, 9e5  # cell numbers beyond 2**53
+    z, eps, m, size = scaled(x), 0.002, 3, 150
+    c = D.dbscan(frame(spark, x), eps, m, size)
+    assert 4 * 2 * np.prod([float(n) for n in c.grid.cells]) > 2**53
+    got = N.rank_anomalies(c).toPandas().set_index("row_id")
+    for b in (0, 1):
+        part = np.arange(b * size, (b + 1) * size)
+        d, _, core, label = brute(z[part], eps, m)
+        noise = np.flatnonzero(label == -1)
+        assert sorted(got.index[got.batch_id == b]) == part[noise].tolist()
+        if core.any():
+            assert np.allclose(got.min_dist[part[noise]], d[noise][:, core].min(1))
+
+
+def test_nearest_core_shuffles_nothing_by_batch_alone(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = N.nearest_core(D.dbscan(frame(spark, blobs(3)), 0.6, 8))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(batch_id#" not in plan.replace("L,", ",") or all(
+        "," in part.split(")")[0].split("hashpartitioning(")[-1] for part in plan.split("hashpartitioning(batch_id#")[1:])
+
+
+def test_few_outliers_do_not_gather_the_table(spark, monkeypatch):
+    """At a large radius a few points want every tile; buckets grow in number with what is offered."""
+    sizes = []
+    kernel = N._block_kernel
+    monkeypatch.setattr(N, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(N, "_bucket_count", lambda *a, f=N._bucket_count: sizes.append(f(*a)) or sizes[-1])
+    x = blobs(9)
+    d = np.sort(brute(scaled(x), 1, 1)[0], axis=1)
+    got = N.k_distances(frame(spark, x), 16).toPandas().sort_values("row_id")
+    assert np.allclose(got.k_distance, d[:, 15], atol=1e-9)
+    assert max(sizes) > 10 and kernel is N._block_kernel
+
+
+def test_k_distances_of_nothing(spark):
+    assert N.k_distances(frame(spark, blobs(1, 40)).where("false"), 4).count() == 0
+
+
+def test_k_distances(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK_ROWS", 50)
     x = blobs(9)
     d = np.sort(brute(scaled(x), 1, 1)[0], axis=1)

@@ -51,6 +51,19 @@ def test_combine_folder(spark, tmp_path):
     assert got.count() == 4 and {r.source_file for r in got.collect()} == {"a.parquet", "c.parquet"}
     assert readers.combine_folder(spark, str(folder), source_in_key=True).count() == 6
     assert readers.combine_folder(spark, str(folder), use_parquet=False) is None
+    (folder / "bad.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        readers.combine_folder(spark, str(folder))
+    with pytest.warns(UserWarning, match="bad.parquet"):
+        assert readers.combine_folder(spark, str(folder), skip_unreadable=True).count() == 4
+
+
+def test_combine_csv_files_by_column_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text('y,x,z\n20,10,"3\n0"\n2,1,\n')
+    got = readers.combine_folder(spark, str(tmp_path))
+    assert sorted(map(str, (tuple(r[c] for c in ("x", "y", "z", "source_file")) for r in got.collect()))) == sorted(map(str, [
+        ("1", "2", None, "a.csv"), ("10", "20", "3\n0", "b.csv")]))
 
 
 def test_split_folders(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A task's Python worker holds about this many bytes of text at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: sha256 of no spans, no items.
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()

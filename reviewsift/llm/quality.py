@@ -25,8 +25,8 @@ from reviewsift.llm.common import per_value
 SYMBOLS = b"#*$%&|<>"
 PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
-#: Entries of a worker's word cache; a full cache is emptied, which changes time only.
-CACHE = 400_000
+#: New words after which a worker's cache becomes the old one and the old one goes; changes time only.
+CACHE = 100_000
 
 
 @dataclass(frozen=True)
@@ -66,15 +66,16 @@ class Pieces:
         self.size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
         """Make sure that all of ``words`` are in the cache."""
-        known = self.known
+        if len(self.known) > CACHE:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
         new = words.difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = words
-        new = list(new)
+        known.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in old]
         encoded = self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
         known.update(zip(new, [array("H", e).tobytes() for e in encoded]))
 

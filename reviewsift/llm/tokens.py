@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from reviewsift.llm.common import per_value
 
 LIMIT = 2048
-#: Words whose counts a worker keeps; a full cache is emptied, which changes time only.
-CACHE = 500_000
+#: New words after which a worker's cache becomes the old one and the old one goes; changes time only.
+CACHE = 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -38,6 +38,7 @@ class Vocabulary(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.old: dict[str, int] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -53,9 +54,15 @@ class Vocabulary(dict):
         self.special = regex.compile("|".join(special)) if special else None
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = self.merged(word)
+        n = self.old.get(word)
+        self[word] = n = self.merged(word) if n is None else n
         return n
 
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
     def merged(self, word: str) -> int:
         """Symbols of the word minus merges."""
         parts = [self.symbols[b] for b in word.encode()]
@@ -109,8 +116,7 @@ def token_count(text: Column, path: str) -> Column:
         vocabulary = vocabulary_of(path)
 
         def work(texts: list) -> list[int]:
-            if len(vocabulary) > CACHE:
-                vocabulary.clear()
+            vocabulary.trim()
             return [vocabulary.count(t) for t in texts]
 
         return per_value(batches, pa.int64(), work)

@@ -68,3 +68,12 @@ def test_costly_expression_is_evaluated_once(spark):
     out = T.computed_once(df, s=T.clean_text("s")).where(F.col("s") != "").select("s", F.length("s"))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<[^>]+>") == 1 and out.first()[0] == "x"
+
+
+def test_category_names_are_in_title_case(spark):
+    names = ["home_and_kitchen_test", "3d_printers", "arts-crafts_train", "o'neil_4x4_val", "ÉCOLE_été", "a", "", "x1y2"]
+    df = spark.createDataFrame([(i, f"/data/{n}.csv") for i, n in enumerate(names)], "i int, p string")
+    got = {r.i: r.c for r in df.select("i", T.category_from_path("p").alias("c")).collect()}
+    for i, n in enumerate(names):
+        stem = re.sub("_(test|train|val)$", "", n) if n else ".csv"
+        assert got[i] == stem.replace("_", " ").title(), n

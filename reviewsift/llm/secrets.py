@@ -37,14 +37,16 @@ _NAMES = "|".join(map(either_case, ("password", "passwd", "secret", "token", "ap
 
 BASE = (
     Rule("assign", f"({_NAMES})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", "[0-9a-f]+", 0, 24),
+    # runs of 20 and of 24 characters: a shorter run holds no longer one, so asking for the length in the
+    # pattern finds the same spans and makes no short matches
+    Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20),
+    Rule("hex", "[0-9a-f]{24,}", 0, 24),
 )
 #: Spans beyond the base kinds; fixed prefixes of widely used credential formats.
 MORE = (
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("forge_token", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0, 40),
     Rule("url_password", "[A-Za-z0-9+.-]+://[A-Za-z0-9._%-]+:[A-Za-z0-9._%!*-]+@", 0, 12),
 )

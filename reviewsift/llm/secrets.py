@@ -42,13 +42,14 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", "[0-9a-f]{24,}", 0, 24),
 )
-#: Spans beyond the base kinds; fixed prefixes of widely used credential formats.
+#: Spans beyond the base kinds; fixed prefixes of widely used credential formats. Lengths are bounded where a
+#: run could otherwise be scanned again from each of its characters.
 MORE = (
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0, 40),
-    Rule("url_password", "[A-Za-z0-9+.-]+://[A-Za-z0-9._%-]+:[A-Za-z0-9._%!*-]+@", 0, 12),
+    Rule("web_token", "eyJ[A-Za-z0-9_-]{1,4000}\\.eyJ[A-Za-z0-9_-]{1,4000}\\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("url_password", "[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9._%-]{1,64}:[A-Za-z0-9._%!*-]{1,256}@", 0, 12),
 )
 RULES = BASE + MORE
 

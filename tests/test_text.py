@@ -52,7 +52,7 @@ def test_names(spark):
     df = spark.createDataFrame([("/d/home_and_kitchen_test.csv",), ("books_train_val.parquet",), ("a.b_val.csv",),
                                 ("toys",)], "p string")
     assert [r[0] for r in df.select(T.category_from_path("p")).collect()] == [
-        "Home And Kitchen", "Books Train", "A.b", "Toys"]
+        "Home And Kitchen", "Books Train", "A.B", "Toys"]
     one = spark.createDataFrame([("Tools & Home",)], "c string")
     assert one.select(T.category_slug("c")).first()[0] == "tools_and_home"
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reviewsift.llm.common import bounded
 from reviewsift.session import materialize, scratch_path
 
 MAGIC = "WARC/1.0\r\n"
@@ -194,11 +195,11 @@ def read_archive(spark: SparkSession, path: str, stretch: int = STRETCH) -> Data
         raise ValueError(f"broken chain in {bad.file}: it ends at {bad.last}, the file at {bad.end}")
     whole = (F.col("next") - F.col("offset") - len(MAGIC)) == F.col("size")
     place = ["file", "split", "n"]
-    # pieces of records that hold the version line, a few: all that are not a whole record
-    cut = materialize(
-        found.where("offset >= 0").join(true.where(whole), place, "left_anti").select(*place, "offset"), "cut")
-    starts = found.where("offset < 0").select(*place)  # what stands before the first record: nothing
-    plain = _parsed(pieces.join(cut, place, "left_anti").join(starts, place, "left_anti").select("file", "value"))
+    # all pieces that are not a whole record, a few: those of records that hold the version line, and the
+    # nothing before the first line of a file
+    cut = bounded(materialize(
+        found.join(true.where(whole), place, "left_anti").select(*place, "offset"), "cut"))
+    plain = _parsed(pieces.join(cut, place, "left_anti").select("file", "value"))
     owners = true.where(~whole).select(
         "file", F.col("offset").alias("owner"), "next",
         F.explode(F.sequence(F.expr(f"offset div {stretch}"), F.expr(f"(next - 1) div {stretch}"))).alias("part"))
@@ -207,7 +208,7 @@ def read_archive(spark: SparkSession, path: str, stretch: int = STRETCH) -> Data
         .where("owner <= offset AND offset < next").select(*place, "offset", "owner")
     )
     joined = (
-        pieces.join(materialize(fragments, "fragments"), place)
+        pieces.join(bounded(materialize(fragments, "fragments")), place)
         .groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("_parts"))
         .select("file", F.array_join("_parts.value", MAGIC).alias("value"))
     )

@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A mix names its sources and weights, so their table is small; more than this many is an error.
 MAX_SOURCES = 100_000
 #: Rows of one running sum, on average: a task sorts about so many documents of a source.
-STRETCH = 50_000
+STRETCH = 4_000
 
 
 def word_count(text: Column) -> Column:

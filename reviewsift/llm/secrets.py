@@ -48,7 +48,7 @@ MORE = (
     Rule("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", "eyJ[A-Za-z0-9_-]{1,4000}\\.eyJ[A-Za-z0-9_-]{1,4000}\\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("web_token", "eyJ[A-Za-z0-9_-]{1,1000}\\.eyJ[A-Za-z0-9_-]{1,1000}\\.[A-Za-z0-9_-]+", 0, 40),
     Rule("url_password", "[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9._%-]{1,64}:[A-Za-z0-9._%!*-]{1,256}@", 0, 12),
 )
 RULES = BASE + MORE

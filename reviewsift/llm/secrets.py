@@ -26,6 +26,9 @@ class Rule:
     pattern: str  # without flags, in the syntax that Java, Python and RE2 share
     group: int = 0  # matches count where this group has at least ``least`` characters
     least: int = 1
+    # for Java only: the same matches as its group 1, and more (group 1 not taken part) where a run that holds
+    # none would else be scanned again from each place in it
+    scan: str = ""
 
 
 def either_case(word: str) -> str:
@@ -42,14 +45,16 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", "[0-9a-f]{24,}", 0, 24),
 )
-#: Spans beyond the base kinds; fixed prefixes of widely used credential formats. Lengths are bounded where a
-#: run could otherwise be scanned again from each of its characters.
+#: Spans beyond the base kinds; fixed prefixes of widely used credential formats. No length is bounded but that of
+#: an address's scheme, whose last characters do.
+_RUN = "[A-Za-z0-9_-]+"
 MORE = (
-    Rule("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", "eyJ[A-Za-z0-9_-]{1,1000}\\.eyJ[A-Za-z0-9_-]{1,1000}\\.[A-Za-z0-9_-]+", 0, 40),
-    Rule("url_password", "[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9._%-]{1,64}:[A-Za-z0-9._%!*-]{1,256}@", 0, 12),
+    Rule("web_token", f"eyJ{_RUN}\\.eyJ{_RUN}\\.{_RUN}", 0, 40, f"(eyJ{_RUN}+\\.eyJ{_RUN}+\\.{_RUN}+)|eyJ{_RUN}+"),
+    # neither the user's nor the password's characters hold those around them, so every run is scanned a few times only
+    Rule("url_password", "[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9._%-]+:[A-Za-z0-9._%!*-]+@", 0, 12),
 )
 RULES = BASE + MORE
 
@@ -151,12 +156,13 @@ def candidates(texts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def _matches(texts: DataFrame, rule: Rule) -> DataFrame:
     """``(id, key, kind, pos, gap, size, ok)`` per match: characters before it since the last one, its own."""
-    whole = F.regexp_extract_all("_t", F.lit(rule.pattern), F.lit(0))
-    tested = whole if rule.group == 0 else F.regexp_extract_all("_t", F.lit(rule.pattern), F.lit(rule.group))
+    pattern, group = (rule.scan, 1) if rule.scan else (rule.pattern, rule.group)
+    whole = F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))
+    tested = whole if group == 0 else F.regexp_extract_all("_t", F.lit(pattern), F.lit(group))
     lengths = lambda a: F.transform(a, F.length)
-    gaps = F.slice(lengths(F.split("_t", rule.pattern, -1)), F.lit(1), F.size(whole))
+    gaps = F.slice(lengths(F.split("_t", pattern, -1)), F.lit(1), F.size(whole))
     return (
-        texts.where(F.col("_t").rlike(rule.pattern))
+        texts.where(F.col("_t").rlike(pattern))
         .select("id", "key", F.posexplode(F.arrays_zip(
             gaps.alias("gap"), lengths(whole).alias("size"), lengths(tested).alias("tested"))).alias("pos", "m"))
         .select("id", "key", F.lit(rule.kind).alias("kind"), "pos", "m.gap", "m.size",

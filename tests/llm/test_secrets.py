@@ -1,6 +1,8 @@
 """Secret spans against Python's regex engine, and the trigram queries."""
 
+import random
 import re
+import time
 
 import pytest
 
@@ -89,3 +91,32 @@ def test_digest_of_nothing(spark):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(secrets.digest(F.lit(""))).first()[0] == EMPTY_SHA256
+
+
+def test_secrets_of_any_length(spark):
+    token = "eyJ" + "a" * 5000 + ".eyJ" + "b-" * 2500 + "." + "c" * 5000
+    texts = [token, f"x_{token} é", f"https://{'u' * 300}:{'p' * 5000}@host/", f"-----BEGIN {'A ' * 40}PRIVATE KEY-----"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.spans for r in secrets.scan_secrets(df).collect()}
+    assert [got[i].split(",")[0].split(":")[0] for i in range(4)] == ["web_token", "web_token", "url_password", "private_key"]
+    assert [got[i] for i in range(4)] == [listed(brute(t)) for t in texts]
+    assert "a" * 100 not in secrets.redact(df).where("doc_id = 1").first().text
+
+
+def test_tokens_among_runs_and_dots(spark):
+    rng = random.Random(6)
+    bits = ["eyJ", "eyJ", ".", ".", "a", "-", " ", "é", "b" * 36, "eyJa.eyJb."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.spans for r in secrets.scan_secrets(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [listed(brute(t)) for t in texts]
+    assert sum("web_token" in s for s in got.values()) > 100
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 200_000, "eyJ" * 100_000 + ".eyJ" + "eyJ" * 100_000, "x" * 300_000 + "://" + "y" * 300_000 + ":" + "z" * 300_000,
+                                  "-----BEGIN " + "PRIVATE KEY " * 30_000], ids=["token", "two", "url", "key"])
+def test_long_runs_take_linear_time(spark, text):
+    df = spark.createDataFrame([(1, text + " token=abcdefgh")], "doc_id long, text string")
+    begun = time.monotonic()
+    assert [r.spans for r in secrets.scan_secrets(df).collect()] == [f"assign:{len(text) + 1}:{len(text) + 15}"]
+    assert time.monotonic() - begun < 60

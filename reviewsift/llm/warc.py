@@ -78,10 +78,19 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between version lines, with its place: file, split and running number."""
-    return spark.read.option("lineSep", MAGIC).text(path).select(
+    """What lies between version lines, with its place: file, split and running number.
+
+    Stored once: another scan may be cut into other splits, as their size depends on the cores of the moment.
+    """
+    rows = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("n"), "value")
+        F.monotonically_increasing_id().alias("n"), F.octet_length("value").cast("long").alias("size"),
+        F.when(F.contains("value", F.lit(END)),
+               F.octet_length(_header()) + len(END) + _field(_header(), "Content-Length").try_cast("long")
+               + len(END)).alias("length"), "value")
+    stored = scratch_path(spark, "pieces")
+    rows.write.option("compression", "zstd").parquet(stored)
+    return spark.read.schema(rows.schema).parquet(stored)
 
 
 def _header(value: str = "value") -> Column:
@@ -96,12 +105,7 @@ def _field(head: Column, name: str) -> Column:
 def _candidates(pieces: DataFrame) -> DataFrame:
     """``(file, split, n, offset, size, next)``: each piece's start (of its version line) and, where it has
     a header with a length, the start of its successor. ``size`` is without the version line."""
-    marks = pieces.select(
-        "file", "split", "n", F.octet_length("value").cast("long").alias("size"),
-        F.when(F.contains("value", F.lit(END)),
-               F.octet_length(_header()) + len(END) + _field(_header(), "Content-Length").try_cast("long")
-               + len(END)).alias("length"))
-    marks = materialize(marks, "pieces")
+    marks = pieces.drop("value")
     # a piece begins behind its version line; the piece before the first line of a file is what stands there
     width = F.col("size") + len(MAGIC)
     sums = marks.groupBy("file", "split").agg(F.sum(width).alias("_sum"))
@@ -208,7 +212,7 @@ def read_archive(spark: SparkSession, path: str, stretch: int = STRETCH) -> Data
         .where("owner <= offset AND offset < next").select(*place, "offset", "owner")
     )
     joined = (
-        pieces.join(bounded(materialize(fragments, "fragments")), place)
+        pieces.select(*place, "value").join(bounded(materialize(fragments, "fragments")), place)
         .groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("_parts"))
         .select("file", F.array_join("_parts.value", MAGIC).alias("value"))
     )

@@ -62,6 +62,15 @@ def test_round_trip_over_many_splits(spark, small_splits, tmp_path, stretch):
     assert collected(warc.read_archive(spark, path, stretch)) == wanted(rows)
 
 
+def test_splits_of_another_size_when_the_rows_are_read(spark, small_splits, tmp_path):
+    rows = pages_of(60)
+    path = f"{tmp_path}/archive"
+    warc.write_archive(spark.createDataFrame(rows, SCHEMA).coalesce(2), path)
+    records = warc.read_archive(spark, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")  # as if executors had come or gone
+    assert collected(records) == wanted(rows)
+
+
 def test_edges(spark):
     rows = [(4, "u", "same"), (2, None, "same"), (2, "v", "same"), (None, "w", "same"), (7, "x", None), (8, "y", ""), (9, "z", "é" * 200_000),
             (-3, "neg", "minus")]

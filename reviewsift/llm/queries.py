@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewsift.llm import decontaminate, language, mixing, pii, quality, secrets, simhash, tokens, toolcalls, warc
+from reviewsift.llm import (
+    decontaminate, language, mixing, pii, quality, resample, secrets, simhash, tokens, toolcalls, warc)
 from reviewsift.llm.common import table
 
 
@@ -118,9 +119,19 @@ def op10_decontaminate(spark, sf: str) -> DataFrame:
                       decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op12_importance_resampling(spark, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    target = table(spark, sf, "benchmark")
+    gain = resample.gains(resample.bucket_counts(docs, "text"), resample.bucket_counts(target, "text"))
+    # the texts stay where they are: only their measures are ranked
+    scored = docs.select(F.col("doc_id").alias("id"), resample.measures(F.col("text"), gain).alias("_m")).select("id", "_m.*")
+    out = resample.ranked(scored.withColumn("score", F.col("weight") + resample.noise(F.col("id"))))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {q.__name__: q for q in (
     op1_warc_round_trip, op2_mix_sources, op3_count_tokens, op4_scan_secrets, op5_quality, op6_language, op7_personal_data,
-    op8_link_tool_calls, op9_simhash, op10_decontaminate)}
+    op8_link_tool_calls, op9_simhash, op10_decontaminate, op12_importance_resampling)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -239,6 +250,47 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_
   sha256(coalesce(m.list, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN cover c USING (doc_id) LEFT JOIN named m USING (doc_id)"""
 
+OP12 = rf"""
+WITH poly AS (  -- the table of crc32, by its rule
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM range(256) t(i))
+),
+words AS MATERIALIZED (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM benchmark
+),
+counted AS MATERIALIZED (SELECT side, id, word, count(*) AS n FROM (SELECT side, id, unnest(w) AS word FROM words) GROUP BY ALL),
+hashed AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(hex(encode(word))), 2),
+      lambda i: CAST('0x' || substr(hex(encode(word)), i, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM counted), poly
+),
+sums AS MATERIALIZED (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t
+  FROM counted JOIN hashed USING (word) GROUP BY bucket
+),
+gained AS (
+  SELECT bucket, floor(1000 * ln((CAST(t AS DOUBLE) + 1) * ((SELECT sum(s) FROM sums) + 10000)
+    / ((CAST(s AS DOUBLE) + 1) * ((SELECT sum(t) FROM sums) + 10000)))) AS gain FROM sums
+),
+weighed AS (
+  SELECT id, floor(sum(n * gain) / sum(n)) AS weight FROM counted JOIN hashed USING (word) JOIN gained USING (bucket)
+  WHERE side = 'd' GROUP BY id
+),
+scored AS MATERIALIZED (
+  SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_features, CAST(coalesce(g.weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(g.weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln(
+      (CAST('0x' || substr(sha256('2024:' || w.id), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM words w LEFT JOIN weighed g ON g.id = w.id WHERE w.side = 'd'
+),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT s.*, CASE WHEN p.rank <= (SELECT 10 * count(*) // 100 FROM placed) THEN p.rank END AS rank
+FROM scored s LEFT JOIN placed p USING (doc_id)"""
+
 
 def _spans_sql(rule: secrets.Rule) -> str:
     """Spans of one rule: lengths of the matches and of the gaps between them, summed up."""
@@ -272,4 +324,4 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in se
 FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id"""
 
 ORACLES = {"op1_warc_round_trip": OP1, "op2_mix_sources": OP2, "op4_scan_secrets": OP4, "op8_link_tool_calls": OP8,
-           "op10_decontaminate": OP10}
+           "op10_decontaminate": OP10, "op12_importance_resampling": OP12}

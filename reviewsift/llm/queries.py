@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewsift.llm import (
-    decontaminate, language, mixing, pii, quality, resample, secrets, simhash, tokens, toolcalls, warc)
+    decontaminate, language, mixing, pii, quality, resample, secrets, simhash, tokens, toolcalls, warc, whitening)
 from reviewsift.llm.common import table
 
 
@@ -129,9 +129,14 @@ def op12_importance_resampling(spark, sf: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op13_whiten_embeddings(spark, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {q.__name__: q for q in (
     op1_warc_round_trip, op2_mix_sources, op3_count_tokens, op4_scan_secrets, op5_quality, op6_language, op7_personal_data,
-    op8_link_tool_calls, op9_simhash, op10_decontaminate, op12_importance_resampling)}
+    op8_link_tool_calls, op9_simhash, op10_decontaminate, op12_importance_resampling,
+    op13_whiten_embeddings)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewsift.llm import (
-    decontaminate, language, mixing, pii, quality, resample, secrets, simhash, tokens, toolcalls, warc, whitening)
+    decontaminate, language, minhash, mixing, pii, quality, resample, secrets, simhash, tokens, toolcalls, warc, whitening)
 from reviewsift.llm.common import table
 
 
@@ -119,6 +119,10 @@ def op10_decontaminate(spark, sf: str) -> DataFrame:
                       decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op11_minhash(spark, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op12_importance_resampling(spark, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     target = table(spark, sf, "benchmark")
@@ -135,7 +139,7 @@ def op13_whiten_embeddings(spark, sf: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_warc_round_trip, op2_mix_sources, op3_count_tokens, op4_scan_secrets, op5_quality, op6_language, op7_personal_data,
-    op8_link_tool_calls, op9_simhash, op10_decontaminate, op12_importance_resampling,
+    op8_link_tool_calls, op9_simhash, op10_decontaminate, op11_minhash, op12_importance_resampling,
     op13_whiten_embeddings)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -36,8 +36,9 @@ NUM, DEN = 4, 5
 BUCKET_BITS, MANTISSA, BAND = 8, 10, 6
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND
-#: Standard errors by which an estimate may miss the threshold: less than one link in a million is lost.
-ERRORS = 5.0
+#: Standard errors of independent registers by which an estimate may miss the threshold; borrowed registers make
+#: that about five of the real ones, so about one link in a million at the threshold is lost.
+ERRORS = 6.0
 #: Members of a key, in different components, up to which they are compared with each other. Both ways find
 #: the same links.
 DENSE = 32

@@ -102,7 +102,7 @@ def test_estimates(n):
         true = share / (2 * n - share)
         agree = (minhash.sketch(a) == minhash.sketch(b)).sum()
         off.append(float(minhash.estimate(np.array([agree]), np.array([len(a)]), np.array([len(b)]))[0]) - true)
-    assert abs(np.mean(off)) < 0.015 and np.abs(off).max() < 0.15
+    assert abs(np.mean(off)) < 0.015 and np.abs(off).max() < 0.2
 
 
 def test_a_group_of_texts_below_the_threshold_makes_no_pairs(spark):

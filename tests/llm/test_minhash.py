@@ -110,7 +110,10 @@ def test_a_group_of_texts_below_the_threshold_makes_no_pairs(spark):
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
     rows = {m: None for m in (100, 400)}
     for m in rows:
-        texts = [" ".join(varied(rng, base, 4)) for _ in range(m)]
+        texts = []
+        for _ in range(m):  # four words far from each other are new, so three in four shingles are common to two
+            new = {30 * i + rng.randrange(4, 20): f"new{rng.randrange(10 ** 6)}" for i in range(4)}
+            texts.append(" ".join(new.get(i, w) for i, w in enumerate(base)))
         docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "place long, d long, text string")
         whole = materialize(docs.select("d", minhash.shingle_sets(docs["text"]).alias("set")), "t")
         rows[m] = minhash._rare_pairs(docs.selectExpr("d", "d as part"), whole).count()

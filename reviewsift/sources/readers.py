@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from reviewsift.operators.dedup import drop_duplicate_rows
 from reviewsift.operators.validate import complete_rows, take_first
 from reviewsift.schemas import CATEGORIES, RAW_META, RAW_REVIEW
+from reviewsift.sources.csv_records import read_by_header, read_records
 
 
 def _by_category(spark: SparkSession, path: str, schema: T.StructType, category: str | None,
@@ -52,16 +54,17 @@ def check_categories(spark: SparkSession, requested: list[str]) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, max_rows: int | None = None,
              null_token: str = "") -> DataFrame:
-    """CSV with a header and quoted multi-line fields; rows with any null are dropped."""
-    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"',
-                        nullValue=null_token)
-    return complete_rows(df, max_rows)
+    """CSV with a header and quoted multi-line fields; rows with any null are dropped.
+
+    One file is read by as many tasks as it has chunks (see ``csv_records``).
+    """
+    return complete_rows(read_records(spark, path, schema, null_token), max_rows)
 
 
-def _folder_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
-    """Files below a folder by name (Spark lists them; no content is read)."""
-    listed = spark.read.format("binaryFile").options(pathGlobFilter=f"*{suffix}", recursiveFileLookup="true").load(folder)
-    return [r.path for r in listed.select("path").orderBy("path").collect()]
+def _files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """Paths of the files below a folder by name (Spark lists them; no content is read)."""
+    return spark.read.format("binaryFile").options(
+        pathGlobFilter=f"*{suffix}", recursiveFileLookup="true").load(folder).select("path")
 
 
 def combine_folder(spark: SparkSession, folder: str, use_parquet: bool = True, source_in_key: bool = False,
@@ -72,33 +75,45 @@ def combine_folder(spark: SparkSession, folder: str, use_parquet: bool = True, s
     ``source_file`` is the file's (or the written folder's) name below ``folder``. None where there are no files.
     A file that cannot be opened is an error, or, with ``skip_unreadable``, is named in a warning and left out.
     By default the file name is no part of the duplicate key and the least one is kept.
+
+    The schemas are found by tasks: the footers by Spark's schema merge, the headers as a table of their own. The
+    number of jobs does not depend on the number of files.
     """
     root = folder.rstrip("/")
-    for fmt, suffix in ([("parquet", ".parquet")] if use_parquet else []) + [("csv", ".csv")]:
-        files = _folder_files(spark, root, suffix)
-        if not files:
-            continue
-        reader = lambda: spark.read.format(fmt).options(
-            **({} if fmt == "parquet" else {"header": True, "multiLine": True, "escape": '"'}))
-        by_columns: dict[tuple, list[str]] = {}
+    place = F.regexp_extract(F.col("file"), f"/{re.escape(root.rsplit('/', 1)[-1])}/([^/]+)", 1)
+    if use_parquet and not _files(spark, root, ".parquet").isEmpty():
+        rows = _combined_parquet(spark, root, skip_unreadable)
+    elif not _files(spark, root, ".csv").isEmpty():
+        rows = read_by_header(spark, root, pathGlobFilter="*.csv", recursiveFileLookup="true")
+    else:
+        return None
+    if rows is None or rows.columns == ["file"]:
+        return None
+    return drop_file_duplicates(rows.withColumn("source_file", place).drop("file"), source_in_key)
+
+
+_BELOW = {"pathGlobFilter": "*.parquet", "recursiveFileLookup": "true"}
+
+
+def _combined_parquet(spark: SparkSession, root: str, skip_unreadable: bool) -> DataFrame | None:
+    """Rows of all Parquet files below ``root`` by column name, with ``file``."""
+    named = lambda df: df.withColumn("file", F.col("_metadata.file_path"))
+    try:
+        return named(spark.read.options(**_BELOW, mergeSchema="true").parquet(root))
+    except Exception:  # a file that is none, or one column of several types: look at the files one by one
+        by_columns: dict[str, list[str]] = {}
         skipped = []
-        for f in files:  # the header or footer of each
+        for f in (r.path for r in _files(spark, root, ".parquet").orderBy("path").collect()):
             try:
-                by_columns.setdefault(tuple((c.name, c.dataType.json()) for c in reader().load(f).schema), []).append(f)
+                by_columns.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
             except Exception:
                 if not skip_unreadable:
                     raise
                 skipped.append(f)
         if skipped:
-            warnings.warn(f"unreadable files left out: {skipped}", stacklevel=2)
-        if not by_columns:
-            return None
-        place = F.regexp_extract(F.col("_metadata.file_path"), f"/{re.escape(root.rsplit('/', 1)[-1])}/([^/]+)", 1)
-        tables = [reader().load(paths).withColumn("source_file", place) for key, paths in by_columns.items() if key]
-        if not tables:
-            return None
-        return combine(tables, source_in_key)
-    return None
+            warnings.warn(f"unreadable files left out: {skipped}", stacklevel=3)
+        tables = [named(spark.read.parquet(*paths)) for paths in by_columns.values()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables) if tables else None
 
 
 def combine(tables: list[DataFrame], source_in_key: bool = False) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Copies of a text collapse to one vector with a count. Similar pairs are found by prefix
 filtering (Bayardo et al., WWW 2007): two unit vectors with cosine above the threshold share a
-term among the rarest few of each, so only those terms are join keys, and a bound on the rest
-of both vectors drops most candidates inside the join.
+term among the rarest few of each, so only those terms are join keys. A user's many texts with one
+such term are keyed by further shared terms instead of being paired (``prefix_groups``).
 """
 
 from __future__ import annotations
@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewsift.functions.text import STOP_WORDS, computed_once, tokens, with_bigrams, word_count
-from reviewsift.operators.ordering import hot_keys, join_hot, spread_join
+from reviewsift.operators.ordering import join_hot
+from reviewsift.operators.prefix_groups import MEMBERS, candidate_pairs, ordered_terms
 from reviewsift.operators.quantiles import exact_quantiles, melt
 from reviewsift.session import materialize
 
 VOCABULARY = 1000
 MAX_DF = 0.9
 THRESHOLD = 0.9
-SLACK = 1e-9
 SIMILARITY_DIGITS = 12  # similarities are rounded to this before they meet the threshold
 
 
@@ -77,11 +77,12 @@ class SpamAnalysis:
     """Stored steps of one analysis; results are derived on demand."""
 
     def __init__(self, df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
-                 size: int = VOCABULARY, max_df: float = MAX_DF, stop_words: Sequence[str] = STOP_WORDS):
+                 size: int = VOCABULARY, max_df: float = MAX_DF, stop_words: Sequence[str] = STOP_WORDS,
+                 members: int = MEMBERS):
         # texts are told apart by their digests from here on
         self.reviews = materialize(df.select(
             "row_id", "user_id", F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("digest")), "review_digests")
-        self.threshold = threshold
+        self.threshold, self.members = threshold, members
         self.texts = distinct_texts(df, text_col)
         self.terms = materialize(doc_terms(self.texts, stop_words), "doc_terms")
         self.stats = term_stats(self.terms, self.texts, max_df)
@@ -102,44 +103,11 @@ class SpamAnalysis:
                 .select("user_id", "text_id", "row_id", "posts"), "user_texts")
         return self._user_texts
 
-    def _prefixes(self) -> DataFrame:
-        """Rarest-first terms of each text up to where the rest cannot reach the threshold.
-
-        ``rest`` is the length of the vector behind the term.
-        """
-        order = Window.partitionBy("text_id").orderBy("df", "term")
-        upto = F.sum(F.col("weight") * F.col("weight")).over(
-            order.rowsBetween(Window.unboundedPreceding, 0))
-        behind = F.greatest(1 - F.col("upto"), F.lit(0.0))
-        return (
-            self.vectors.withColumn("upto", upto)
-            .withColumn("rest", F.sqrt(behind))
-            .withColumn("from_here", behind + F.col("weight") * F.col("weight"))
-            .where(F.col("from_here") >= self.threshold ** 2 - SLACK)
-            .select("text_id", "term", "weight", "rest")
-        )
-
     def _candidates(self) -> DataFrame:
         """Text pairs of one user that may exceed the threshold."""
-        prefixes = materialize(self._prefixes(), "prefixes")
-        weights = materialize(
-            self.user_texts.groupBy("text_id").agg(F.count("*").alias("users")), "text_users")
-        keyed = materialize(spread_join(
-            self.user_texts.select("user_id", "text_id"), prefixes, ["text_id"],
-            hot_keys(weights, ["text_id"], "users"), "user_id"), "keyed")
-        groups = materialize(keyed.groupBy("user_id", "term").agg(F.count("*").alias("n")), "term_groups")
-        # a group of n texts means n * n comparisons: spread from a far smaller size on
-        hot = hot_keys(groups, ["user_id", "term"], "n", floor=20_000)
-        a = keyed.select("user_id", "term", F.col("text_id").alias("text_a"),
-                         F.col("weight").alias("wa"), F.col("rest").alias("ra"))
-        b = keyed.select("user_id", "term", F.col("text_id").alias("text_b"),
-                         F.col("weight").alias("wb"), F.col("rest").alias("rb"))
-        bound = F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb")
-        return (
-            spread_join(a, b, ["user_id", "term"], hot, "text_a", how="inner")
-            .where((F.col("text_a") < F.col("text_b")) & (bound >= self.threshold - SLACK))
-            .select("user_id", "text_a", "text_b").distinct()
-        )
+        members = self.user_texts.select(F.col("user_id").alias("group_id"), "text_id")
+        terms = materialize(ordered_terms(self.vectors), "ordered_terms")
+        return candidate_pairs(members, terms, self.threshold, self.members).withColumnRenamed("group_id", "user_id")
 
     @property
     def pairs(self) -> DataFrame:

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewsift.functions.text import STOP_WORDS
-from reviewsift.operators import ordering, text_spam as S
+from reviewsift.operators import ordering, prefix_groups as P, text_spam as S
+from reviewsift.session import materialize
 
 WORDS = "good bad book shoe phone case nice great poor love hate cheap fast slow red blue the a very ok".split()
 
@@ -67,10 +68,32 @@ def test_hot_user_is_spread(spark, monkeypatch):
     df = spark.createDataFrame(rows, "row_id long, user_id long, text string")
     plain = sorted(map(tuple, S.SpamAnalysis(df, threshold=0.7).user_pairs().collect()))
     find = ordering.hot_keys
-    monkeypatch.setattr(S, "hot_keys", lambda counts, key, weight, floor=0: find(counts, key, weight, 3))
+    monkeypatch.setattr(P, "hot_keys", lambda counts, key, weight, floor=0: find(counts, key, weight, 3))
     assert sorted(map(tuple, S.SpamAnalysis(df, threshold=0.7).user_pairs().collect())) == plain and plain
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_refined_keys_find_the_same_pairs(spark, threshold):
+    rows = posts(7, 220, 2)
+    df = spark.createDataFrame(rows, "row_id long, user_id long, text string")
+    found = [sorted(map(tuple, S.SpamAnalysis(df, threshold=threshold, members=m).user_pairs().collect())) for m in (10**6, 2)]
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_a_users_many_texts_below_the_threshold_make_few_candidates(spark):
+    """800 texts with one rare word of the user's own, the rest drawn from words that everybody uses."""
+    rng = random.Random(5)
+    common = [f"word{i}" for i in range(60)]
+    mine = [(i, 1, " ".join(["zyx", *rng.sample(common, 8)])) for i in range(800)]
+    others = [(1000 + i, 2 + i % 400, " ".join(rng.sample(common, 9))) for i in range(1600)]
+    df = spark.createDataFrame(mine + others, "row_id long, user_id long, text string")
+    analysis = S.SpamAnalysis(df, size=200)
+    members = materialize(analysis.user_texts.select(F.col("user_id").alias("group_id"), "text_id").where("user_id = 1"), "m")
+    terms = materialize(P.ordered_terms(analysis.vectors), "t")
+    paired, refined = (P.candidate_pairs(members, terms, 0.9, most).count() for most in (10**6, P.MEMBERS))
+    assert refined < 10 * 800 and refined <= paired
+
+
 def test_graph_sizes(spark):
     users = spark.createDataFrame([(1, 17, 0.97), (2, 3, 0.96), (3, 8, 1.0)],
                                   "user_id long, review_count long, avg_similarity double")

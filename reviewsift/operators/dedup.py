@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewsift.operators.ordering import small
 from reviewsift.session import materialize
 
 
@@ -20,26 +22,49 @@ def first_of_each(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(kept, "row_id", "left_semi")
 
 
-def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    """Full-row duplicates out (all columns but ``row_id``), first kept.
+def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """SHA-256 of the columns' values; rows have the same digest exactly if they are equal (null equals null)."""
+    kinds = dict(df.dtypes)
+
+    def part(name: str) -> Column:
+        kind, value = kinds[name], F.col(f"`{name}`")
+        if kind.startswith(("array", "struct", "map")):
+            value = F.to_json(F.struct(value))
+        elif kind == "binary":
+            value = F.base64(value)
+        elif kind in ("double", "float"):
+            value = (value + F.lit(0.0).cast(kind)).cast("string")  # both zeros are one
+        else:
+            value = value.cast("string")
+        return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.sha2(F.concat(F.lit(""), *map(part, columns)), 256)
 
-    Every column is a key, so the grouped row is the result and no second pass is needed.
+
+def repeated_ids(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``row_id`` of the rows of ``marked(row_id, *keys)``, a stored narrow table, that repeat an earlier one."""
+    groups = materialize(
+        marked.groupBy(*keys).agg(F.min("row_id").alias("_first"), F.count("*").alias("_n"))
+        .where("_n > 1").withColumnsRenamed({k: f"_{k}_of" for k in keys}), "repeated")
+    same = reduce(Column.__and__, [marked[k].eqNullSafe(groups[f"_{k}_of"]) for k in keys])
+    return materialize(marked.join(groups, same).where("row_id > _first").select("row_id"), "repeats")
+
+
+def drop_duplicate_rows(df: DataFrame) -> DataFrame:
+    """Full-row duplicates out (all columns but ``row_id``), first kept. Rows are compared by their digests, so
+    no text is a shuffle key, and only the ids of repeats meet the wide rows.
     """
-    keys = [c for c in df.columns if c != "row_id"]
-    return df.groupBy(*keys).agg(F.min("row_id").alias("row_id")).select(*df.columns)
+    columns = [c for c in df.columns if c != "row_id"]
+    marked = materialize(df.select("row_id", row_digest(df, columns).alias("digest")), "digests")
+    return df.join(small(repeated_ids(marked, ["digest"])), "row_id", "left_anti")
 
 
 def drop_duplicate_reviews(df: DataFrame) -> DataFrame:
     """First row of each text and rating. Texts are compared by their SHA-256 digests, so no text is a shuffle
     key, and the repeats (few beside the rows) are what the wide rows are joined with.
     """
-    marked = materialize(df.select("row_id", "rating", F.sha2("review_data", 256).alias("_digest")), "digests")
-    groups = materialize(
-        marked.groupBy("_digest", "rating").agg(F.min("row_id").alias("_first"), F.count("*").alias("_n"))
-        .where("_n > 1").withColumnsRenamed({"_digest": "_d", "rating": "_r"}), "repeated")
-    same = marked["_digest"].eqNullSafe(groups["_d"]) & marked["rating"].eqNullSafe(groups["_r"])
-    repeats = materialize(marked.join(groups, same).where("row_id > _first").select("row_id"), "repeats")
-    return df.join(repeats, "row_id", "left_anti")
+    marked = materialize(df.select("row_id", "rating", F.sha2("review_data", 256).alias("digest")), "digests")
+    return df.join(small(repeated_ids(marked, ["digest", "rating"])), "row_id", "left_anti")
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

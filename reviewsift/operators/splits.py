@@ -26,13 +26,17 @@ def split_dataset(df: DataFrame, train_n: int, val_n: int, test_n: int) -> DataF
 
     Only ids are sorted; the wide rows are compared with three ids per category.
     """
+    # one row per category: the wide rows are not shuffled for it
+    return split_by(df, small(materialize(split_limits(df, train_n, val_n, test_n), "split_limits")))
+
+
+def split_by(df: DataFrame, limits: DataFrame) -> DataFrame:
+    """Add ``split`` by the ``limits`` of each category (see ``split_limits``); rows behind the last are dropped."""
     before = lambda end: F.col(end).isNull() | (F.col("row_id") < F.col(end))
     split = (
         F.when(before("_train_end"), "train").when(before("_val_end"), "val")
         .when(before("_test_end"), "test")
     )
-    # one row per category: the wide rows are not shuffled for it
-    limits = small(materialize(split_limits(df, train_n, val_n, test_n), "split_limits"))
     return (
         df.join(limits, "category").withColumn("split", split)
         .where(F.col("split").isNotNull())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewsift.operators.dedup import drop_duplicate_rows
+from reviewsift.operators.dedup import row_digest
 from reviewsift.operators.validate import complete_rows, take_first
 from reviewsift.schemas import CATEGORIES, RAW_META, RAW_REVIEW
 from reviewsift.sources.csv_records import read_by_header, read_records
@@ -128,7 +128,10 @@ def drop_file_duplicates(df: DataFrame, source_in_key: bool) -> DataFrame:
     if source_in_key:
         return df.dropDuplicates()
     keys = [c for c in df.columns if c != "source_file"]
-    return df.groupBy(*keys).agg(F.min("source_file").alias("source_file"))
+    # digests are the keys; equal rows are one value that each task keeps once
+    return df.groupBy(row_digest(df, keys).alias("_digest")).agg(
+        F.first(F.struct(*[F.col(f"`{c}`") for c in keys])).alias("_row"), F.min("source_file").alias("source_file")
+    ).select("_row.*", "source_file")
 
 
 def dataset_profile(reviews: DataFrame) -> DataFrame:

@@ -88,3 +88,14 @@ def test_without_user_column_nothing_is_kept(spark):
     reviews = spark.createDataFrame([(0, "a", 5.0)], "row_id long, asin string, rating double")
     lookup = spark.createDataFrame([("a", 2.0, 1)], "parent_asin string, average_rating double, refs long")
     assert enrich.enrich(reviews, lookup).count() == 0
+
+
+def test_full_row_repeats_by_digest(spark):
+    from reviewsift.operators import dedup
+    rows = [(1, "a", None, 0.0, [1], b"x"), (2, "a", None, -0.0, [1], b"x"), (3, None, "a", 0.0, [1], b"x"), (4, "a", "", 0.0, [1], b"x"),
+            (5, "a", None, 0.0, [1, 1], b"x"), (6, "a", None, 0.0, [1], b"y"), (7, "1:a", "-", float("nan"), None, None), (8, "1:a", "-", float("nan"), None, None),
+            (9, None, None, None, None, None), (10, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "row_id long, s string, t string, d double, a array<int>, b binary")
+    assert sorted(r.row_id for r in dedup.drop_duplicate_rows(df).collect()) == [1, 3, 4, 5, 6, 7, 9]
+    plan = dedup.drop_duplicate_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(s" not in plan and "HashAggregate(keys=[s" not in plan

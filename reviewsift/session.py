@@ -55,4 +55,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_path = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later step reads, so a long plan holds few of them at a time."""
+    for df in tables:
+        path = getattr(df, "stored_path", None)
+        if path is None:
+            raise ValueError("not a stored table")
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

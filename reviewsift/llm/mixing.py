@@ -156,8 +156,9 @@ def mix(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights: Sequence[float] = WEIGHTS, repeat: float = MAX_REPEAT, block: int = 512) -> DataFrame:
-    """``(id, source, size, source_size, target, taken)`` for every row of ``docs``.
+                weights: Sequence[float] = WEIGHTS, repeat: float = MAX_REPEAT, block: int = 512,
+                carry: Sequence[str] = ()) -> DataFrame:
+    """``(id, source, size, source_size, target, taken)`` for every row of ``docs``, with its ``carry`` columns.
 
     Texts that are null or have no words take part with size 0 and are never taken. A null source is a source,
     the last one; null and repeated ids are rows like any other. An empty table gives no rows. The words
@@ -165,7 +166,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     sized = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"))
+        word_count(F.col(text_col)).alias("size"), *carry)
     sized = materialize(sized, "sizes")
     sources = targets(sized, weights, repeat)
     small = F.broadcast(sources.select("number", F.col("source").alias("_s"), "source_size", "target"))
@@ -176,4 +177,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = mix(placed, schedule(sources, block), block).groupBy("row").agg(F.sum("words").alias("taken"))
     out = placed.join(taken, "row", "left").join(small, "number")
     return out.select("id", "source", "size", "source_size", "target",
-                      F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+                      F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"), *carry)

@@ -1,15 +1,17 @@
-"""Near-duplicate classes by shingle similarity, with an exact prefix-filtered join.
-
-A text is the set of its shingles. In any order of all shingles, two sets with a Jaccard similarity of at
-least ``NUM / DEN`` share one of their first ``n - ceil(n * NUM / DEN) + 1``, so these prefixes are the
-equality keys of the candidate search and every candidate is verified on the whole sets. Shingles that are
-common in a sample come last in the order; the sample decides how many candidates there are, never which
-pairs are found.
-
-Texts of the same words collapse first. The members of a key are compared with its least one. Others are compared
-among themselves only where they are not both linked to it and where their distances to it, by the
-triangle inequality, leave a link possible; so a group of near copies makes no pairs. What prefixes share
-bounds what sets share, so few candidates need their whole sets.
+"""Near-duplicate classes by shingle similarity: SimHash finds the closest, an exact prefix join the rest.
+
+A text is the set of its shingles; texts with a Jaccard similarity of at least ``NUM / DEN`` are linked. Two fingerprints
+of such texts may differ in 15 bits, far beyond the reach of deletion variants, so these find only the near copies at
+two bits or fewer (``simhash.links``, here of shingles of this width); each is verified on the whole sets.
+
+The rest is found exactly. In any order of all shingles, two linked sets share one of their first
+``n - ceil(n * NUM / DEN) + 1``, at places behind which enough shingles follow in both, so these prefixes are the equality
+keys of the search and every candidate is verified on the whole sets. Shingles that are common in a sample come
+last in the order, the commonest at the very end; the sample decides how many candidates there are, never which pairs
+are found.
+
+Texts of the same words collapse first. The members of a key are compared with its least one, and then only
+where they lie in different components; so a group of near copies makes no pairs.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewsift.llm import simhash
 from reviewsift.llm.common import bounded, per_value, row_key
 from reviewsift.operators.components import connected_components
-from reviewsift.session import materialize
+from reviewsift.session import discard, materialize
 
 SEED, WIDTH = 42, 5
 #: Similarity from which two texts are near copies, as a fraction.
@@ -62,35 +65,39 @@ def shingles(text: Column, width: int = WIDTH) -> Column:
 _SKETCH = pa.struct([("d", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
 
-def _sketch(text: bytes | None, width: int, common: np.ndarray) -> dict:
+def _sketch(text: bytes | None, width: int, common: np.ndarray, rank: np.ndarray) -> dict:
     words = _words(text)
     found = _set(words, width)
     at = np.searchsorted(common, found)
     last = common[at] == found  # ``common`` ends with a guard
     size = len(found) - -(-len(found) * NUM // DEN) + 1
+    behind = found[last][np.argsort(rank[at[last]], kind="stable")]
     return {"d": np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).view(np.int64), "n": len(found),
-            "prefix": np.concatenate((found[~last], found[last]))[:size]}
+            "prefix": np.concatenate((found[~last], behind))[:size]}
 
 
-def sketch(text: Column, width: int, common: np.ndarray) -> Column:
-    """``d`` (hash of the words), ``n`` (size of the set) and the prefix of the set."""
+def sketch(text: Column, width: int, common: np.ndarray, rank: np.ndarray) -> Column:
+    """``d`` (hash of the words), ``n`` (size of the set) and the prefix of the set, in order."""
 
     @F.arrow_udf("struct<d long, n int, prefix array<long>>")
     def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return per_value(batches, _SKETCH, lambda texts: [_sketch(t, width, common) for t in texts])
+        return per_value(batches, _SKETCH, lambda texts: [_sketch(t, width, common, rank) for t in texts])
 
     return sketches(text.cast("binary"))
 
 
-def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of the shingles ``_t`` has in many texts of a sample, and the greatest number."""
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles ``_t`` has in many texts of a sample, and the greatest number; their ranks,
+    the commonest last."""
     every = max(1, min(EVERY, texts.count() // SAMPLE))
     sample = texts.where(F.pmod("key", F.lit(every)) == 0).dropDuplicates(["key"])
     counted = (
         sample.select(F.explode(shingles(F.col("_t"), width)).alias("s")).groupBy("s").count()
         .where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(LISTED))
-    listed = np.sort(counted.select("s").toArrow()["s"].to_numpy().astype(np.int64))
-    return np.append(listed, np.iinfo(np.int64).max)
+    listed = counted.select("s").toArrow()["s"].to_numpy().astype(np.int64)
+    order = np.argsort(listed)
+    rank = (len(listed) - order).astype(np.int32)
+    return np.append(listed[order], np.iinfo(np.int64).max), np.append(rank, np.int32(0))
 
 
 def _near(common: Column, a: Column, b: Column) -> Column:
@@ -102,34 +109,44 @@ def _alike(a: Column, b: Column) -> Column:
     return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
 
 
-def _bounded_by_prefix(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``(u, v, low, open)`` of distinct pairs ``(u, v)``: the least distance that their prefixes leave, and
-    whether they leave a link.
-
-    One of two prefixes ends first in the order of shingles. What it shares with the other set lies in the other
-    prefix, so the sets share no more than the prefixes do and the rest of that set.
-    """
-    side = lambda name: prefixes.select(
-        F.col("d").alias(name), F.col("n").cast("long").alias(f"_n{name}"), F.col("prefix").alias(f"_p{name}"))
-    rest = lambda name: F.col(f"_n{name}") - F.size(f"_p{name}")
-    most = F.size(F.array_intersect("_pu", "_pv")) + F.greatest(rest("u"), rest("v"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v").select(
-        "u", "v", F.col("_nu").alias("a"), F.col("_nv").alias("b"), F.least(most, "_nu", "_nv").alias("i"))
-    return both.select("u", "v", _away().alias("low"), _near(F.col("i"), F.col("a"), F.col("b")).alias("open"))
-
+def _fits(n: str, place: str, m: str, other: str) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles can be near copies whose first common shingle is at these places."""
+    rest = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other))
+    return _alike(F.col(n), F.col(m)) & _near(rest, F.col(n), F.col(m))
 
-def _away() -> Column:
-    return 1 - F.col("i") / (F.col("a") + F.col("b") - F.col("i"))
 
-
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(u, v, away, near)`` of distinct pairs ``(u, v)``: their distance, and whether they are near copies."""
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """The pairs ``(u, v)`` that are near copies, by their whole sets."""
+    sets = _sets(texts, classes, pairs, width)
     one = sets.select(F.col("d").alias("u"), F.col("set").alias("_u"))
     two = sets.select(F.col("d").alias("v"), F.col("set").alias("_v"))
     both = pairs.join(one, "u").join(two, "v").select(
         "u", "v", F.size("_u").cast("long").alias("a"), F.size("_v").cast("long").alias("b"),
         F.size(F.array_intersect("_u", "_v")).cast("long").alias("i"))
-    return both.select("u", "v", _away().alias("away"), _near(F.col("i"), F.col("a"), F.col("b")).alias("near"))
+    found = materialize(both.where(_near(F.col("i"), F.col("a"), F.col("b"))).select("u", "v"), "verified")
+    discard(sets)
+    return found
+
+
+def _sets(texts: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """``(d, set)`` of the texts in ``pairs``."""
+    named = pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct().join(classes, "d")
+    wanted = bounded(materialize(
+        named.select("d", "rows", F.col("least.id").alias("_id"), F.col("least.key").alias("_key")), "compared"))
+    found = texts.join(wanted, texts["id"].eqNullSafe(wanted["_id"]) & (texts["key"] == wanted["_key"]))
+    found = found.where("rows = 1").unionByName(found.where("rows > 1").dropDuplicates(["d"]))
+    return materialize(found.select("d", shingles(F.col("_t"), width).alias("set")), "sets")
+
+
+def _closest(classes: DataFrame) -> DataFrame:
+    """Candidates ``(u, v)`` of ``classes(d, fp)`` whose fingerprints differ in two bits or fewer: each text with
+    the least of its fingerprint, and the least ones of near fingerprints."""
+    least = materialize(classes.groupBy("fp").agg(F.min("d").alias("rep")), "fingerprints")
+    near = materialize(simhash.links(least.select("fp")), "near_fingerprints")
+    end = lambda name: least.select(F.col("fp").alias(f"_{name}"), F.col("rep").alias(name))
+    across = near.select(F.col("u").alias("_u"), F.col("v").alias("_v")).join(end("u"), "_u").join(end("v"), "_v").select("u", "v")
+    same = classes.join(least, "fp").where("d <> rep").select(F.col("rep").alias("u"), F.col("d").alias("v"))
+    return across.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -141,50 +158,42 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts are copies of each other. An empty table gives an empty result. Other columns are not read.
     """
     texts = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).alias("_t"))
-    common = common_shingles(texts, width)
+    common, rank = common_shingles(texts, width)
     marked = materialize(
-        texts.select("id", "key", sketch(F.col("_t"), width, common).alias("s")).select("id", "key", "s.*"), "sketches")
+        texts.select("id", "key", sketch(F.col("_t"), width, common, rank).alias("s"), simhash.fingerprint(F.col("_t"), width).alias("fp"))
+        .select("id", "key", "s.*", "fp"), "sketches")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     classes = materialize(
-        marked.groupBy("d").agg(F.min(place).alias("least"), F.count("*").alias("rows")), "classes")
+        marked.groupBy("d").agg(F.min(place).alias("least"), F.count("*").alias("rows"), F.min("fp").alias("fp")), "classes")
     # one row speaks for texts of the same words
     copied = bounded(materialize(
         classes.where("rows > 1").select(F.col("d").alias("_d"), F.col("least.id").alias("_id"), F.col("least.key").alias("_key")), "copied"))
     chosen = marked.join(copied, marked["d"] == copied["_d"], "left")
     spoken = chosen.where(F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).dropDuplicates(["d"])
     single = chosen.where(F.col("_d").isNull()).unionByName(spoken).select("d", "n", "prefix")
-    postings = single.select("d", "n", F.explode("prefix").alias("token"))
-    shared = bounded(materialize(postings.groupBy("token").count().where("count > 1").select("token"), "shared"))
-    members = materialize(postings.join(shared, "token").distinct(), "members")
+    postings = single.select("d", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("place", "token"))
     heads = materialize(
-        members.groupBy("token").agg(F.min(F.struct("d", "n")).alias("h"), F.count("*").alias("size"))
-        .where("size > 1").select("token", F.col("h.d").alias("head"), F.col("h.n").alias("head_n"), "size"), "heads")
-    of_head = members.join(heads, "token").where("d <> head")
-    star = of_head.where(_alike(F.col("n"), F.col("head_n"))).select(
-        F.col("head").alias("u"), F.col("d").alias("v")).distinct()
-    star = materialize(_bounded_by_prefix(star, _prefixes(single, star)), "star")
-    open_star = star.where("open").select("u", "v")
-    first = materialize(_measured(open_star, _sets(texts, classes, open_star, width)), "first")
-    known = materialize(star.join(first, ["u", "v"], "left").select(
-        "u", "v", F.coalesce("away", "low").alias("low"), F.coalesce("away", F.lit(1.0)).alias("high"),
-        F.coalesce("near", F.lit(False)).alias("near")), "known")
-    by_size = 1 - F.least("n", "head_n") / F.greatest("n", "head_n")
-    placed = materialize(
-        of_head.where("size > 2").join(known, (F.col("head") == F.col("u")) & (F.col("d") == F.col("v")), "left")
-        .select("token", "d", "n", F.coalesce("low", by_size).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"),
-                F.coalesce("near", F.lit(False)).alias("near")), "placed")
-    a, b = placed.alias("a"), placed.alias("b")
-    reach = 1 - NUM / DEN + 1e-9
-    rest = materialize(
-        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.d") < F.col("b.d"))
-               & ~(F.col("a.near") & F.col("b.near")) & _alike(F.col("a.n"), F.col("b.n"))
-               & (F.col("a.low") - F.col("b.high") <= reach) & (F.col("b.low") - F.col("a.high") <= reach))
-        .select(F.col("a.d").alias("u"), F.col("b.d").alias("v")).distinct()
-        .join(known.select("u", "v"), ["u", "v"], "left_anti"), "rest")
-    open_rest = materialize(_bounded_by_prefix(rest, _prefixes(single, rest)).where("open").select("u", "v"), "open")
-    second = _measured(open_rest, _sets(texts, classes, open_rest, width))
-    links = first.unionByName(second).where("near").select("u", "v")
-    member = materialize(connected_components(links), "components")
+        postings.groupBy("token").agg(F.min(F.struct("d", "n", "place")).alias("h"), F.count("*").alias("size")).where("size > 1")
+        .select("token", F.col("h.d").alias("head"), F.col("h.n").alias("head_n"), F.col("h.place").alias("head_place")), "heads")
+    members = materialize(postings.join(bounded(heads), "token"), "members")
+    star = members.where((F.col("d") != F.col("head")) & _fits("n", "place", "head_n", "head_place")).select(
+        F.col("head").alias("u"), F.col("d").alias("v"))
+    star = materialize(star.unionByName(_closest(classes)).distinct(), "star")
+    first = _verified(star, texts, classes, width)
+    # what the least ones did not bring together
+    part = materialize(connected_components(first).select(F.col("node").alias("d"), "component"), "parts")
+    placed = materialize(members.join(part, "d", "left").select(
+        "token", "d", "n", "place", F.coalesce("component", "d").alias("part")), "placed")
+    apart = materialize(
+        placed.groupBy("token").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b").select("token"), "apart")
+    split = materialize(placed.join(bounded(apart), "token"), "split")
+    side = lambda x: split.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("d", "n", "place", "part")])
+    rest = side("u").join(side("v"), "token").where("d_u < d_v and part_u <> part_v").where(
+        _fits("n_u", "place_u", "n_v", "place_v")).select(F.col("d_u").alias("u"), F.col("d_v").alias("v")).distinct()
+    rest = materialize(rest.join(star, ["u", "v"], "left_anti"), "rest")
+    second = _verified(rest, texts, classes, width)
+    discard(heads, members, placed, split, star, rest)
+    member = materialize(connected_components(first.unionByName(second)), "components")
     named = member.join(classes, member["node"] == classes["d"])
     groups = named.groupBy("component").agg(F.min("least").alias("rep"))
     linked = member.join(groups, "component").select(F.col("node").alias("d"), "rep")
@@ -192,19 +201,3 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes.join(linked, "d", "left").select("d", F.coalesce("rep", "least").alias("rep")), "labels")
     return marked.select("id", "key", "d").join(labels, "d").select(
         "id", "key", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"))
-
-
-def _prefixes(single: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(d, n, prefix)`` of the texts in ``pairs``."""
-    named = bounded(materialize(pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct(), "named"))
-    return single.join(named, "d").select("d", "n", "prefix")
-
-
-def _sets(texts: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``(d, set)`` of the texts in ``pairs``."""
-    named = pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct().join(classes, "d")
-    wanted = bounded(materialize(
-        named.select("d", "rows", F.col("least.id").alias("_id"), F.col("least.key").alias("_key")), "compared"))
-    found = texts.join(wanted, texts["id"].eqNullSafe(wanted["_id"]) & (texts["key"] == wanted["_key"]))
-    found = found.where("rows = 1").unionByName(found.where("rows > 1").dropDuplicates(["d"]))
-    return materialize(found.select("d", shingles(F.col("_t"), width).alias("set")), "sets")

@@ -8,8 +8,8 @@ the candidate search. Candidates whose similarity, estimated from all registers
 that agree by chance, is far below the threshold are dropped; the others are verified on their whole sets.
 
 Sets, not texts, are compared: texts with one set of shingles collapse first. The members of a band key are
-compared with one of them, its head, so a group of near copies makes no pairs, and then only where they lie in
-different components. Keys with more than ``DENSE`` such members go an exact way: the shingles of these
+compared with the one of them that shares most keys, so a group of near copies makes no pairs, and then only
+where they lie in different components. Keys with more than ``DENSE`` such members go an exact way: the shingles of these
 members are counted, and sets that share one of their rarest at fitting positions are compared (prefix
 filter), which needs no bands.
 """
@@ -40,8 +40,8 @@ BANDS = BUCKETS // BAND
 #: that about five of the real ones, so about one link in a million at the threshold is lost.
 ERRORS = 6.0
 #: Members of a key, in different components, up to which they are compared with each other. Both ways find
-#: the same links.
-DENSE = 32
+#: the same links; the exact way makes fewer rows of a group that lies just below the threshold.
+DENSE = 4
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -148,7 +148,7 @@ def shingle_sets(text: Column, width: int = WIDTH) -> Column:
 # --- candidates ------------------------------------------------------------------------------
 
 def band_keys(sets: DataFrame) -> DataFrame:
-    """``(key, d)``: the band keys of each sketch of ``sets(d, registers)``."""
+    """``(key, d, n)``: the band keys of each sketch of ``sets(d, n, registers)``."""
 
     @F.arrow_udf("array<long>")
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -160,7 +160,7 @@ def band_keys(sets: DataFrame) -> DataFrame:
                     out[row, band] = np.uint64(xxhash.xxh64_intdigest(b[at:at + 2 * BAND], band)).view(np.int64)
             yield pa.ListArray.from_arrays(np.arange(0, out.size + 1, BANDS, dtype=np.int32), pa.array(out.ravel()))
 
-    return sets.select("d", F.explode(keys("registers")).alias("key")).select("key", "d")
+    return sets.select("d", "n", F.explode(keys("registers")).alias("key")).select("key", "d", "n")
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -232,25 +232,30 @@ def links(sets: DataFrame, texts: DataFrame, width: int = WIDTH, dense: int = DE
     """``(u, v)``: linked pairs of ``sets(d, n, registers, place, copies)``; enough of them that two sets are connected by
     these exactly if they are connected by all. ``sets`` and ``texts(place, text)`` are stored tables.
     """
+    one = F.struct("d", "n")
     keys = materialize(
-        band_keys(sets).groupBy("key")
-        .agg(F.count("*").alias("m"), F.min("d").alias("u"), F.max("d").alias("v")).where("m > 1"), "keys")
-    larger = bounded(keys.where("m > 2").select("key", F.col("u").alias("head")))
+        band_keys(sets).groupBy("key").agg(F.count("*").alias("m"), F.min(one).alias("u"), F.max(one).alias("v")).where("m > 1"), "keys")
+    larger = bounded(keys.where("m > 2").select("key"))
     members = materialize(band_keys(sets).join(larger, "key"), "members")
-    star = keys.where("m = 2").select("u", "v").unionByName(
-        members.where("d <> head").select(F.col("head").alias("u"), F.col("d").alias("v"))).distinct()
+    # the member with most shared keys is a key's head: what a group varies heads most of the group's keys
+    shared = materialize(members.groupBy("d").agg(F.count("*").alias("_shared")), "shared")
+    heads = materialize(members.join(bounded(shared), "d").groupBy("key").agg(F.max(F.struct("_shared", "d", "n")).alias("h"))
+                        .select("key", F.col("h.d").alias("head"), F.col("h.n").alias("_n")), "heads")
+    led = members.join(bounded(heads), "key").where((F.col("d") != F.col("head")) & _alike(F.col("n"), F.col("_n")))
+    star = keys.where((F.col("m") == 2) & _alike(F.col("u.n"), F.col("v.n"))).select(F.col("u.d").alias("u"), F.col("v.d").alias("v"))
+    star = star.unionByName(led.select(F.least("d", "head").alias("u"), F.greatest("d", "head").alias("v"))).distinct()
     star = materialize(likely(star, sets), "star")
     first = materialize(verified(star, sets, texts, width), "first")
     # what the heads did not bring together
     part = materialize(connected_components(first).select(F.col("node").alias("d"), "component"), "parts")
     placed = materialize(
-        members.join(part, "d", "left").select("key", "d", F.coalesce("component", "d").alias("part")), "placed")
+        members.join(part, "d", "left").select("key", "d", "n", F.coalesce("component", "d").alias("part")), "placed")
     apart = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b")
     apart = bounded(materialize(apart.select("key", "m"), "apart"))
     split = materialize(placed.join(apart, "key"), "split")
     few = split.where(F.col("m") <= dense)
-    among = few.select("key", F.col("d").alias("u"), F.col("part").alias("_u")).join(
-        few.select("key", F.col("d").alias("v"), F.col("part").alias("_v")), "key").where("u < v and _u <> _v").select("u", "v").distinct()
+    side = lambda x: few.select("key", F.col("d").alias(x), F.col("part").alias(f"_p{x}"), F.col("n").alias(f"_n{x}"))
+    among = side("u").join(side("v"), "key").where("u < v and _pu <> _pv").where(_alike(F.col("_nu"), F.col("_nv"))).select("u", "v").distinct()
     second = likely(among, sets)
     many = materialize(split.where(F.col("m") > dense).select("d", "part").distinct(), "dense")
     whole = materialize(_whole_sets(many.select("d"), sets, texts, width), "dense-sets")

@@ -67,6 +67,14 @@ def piece_count(text: Column | str) -> Column:
     return F.regexp_count(text, F.lit(PIECE)) + 2
 
 
+def first_pieces(text: Column | str, pieces: int) -> Column:
+    """``text`` up to the end of its piece number ``pieces`` (see ``piece_count``); shorter texts stay whole."""
+    col = F.col(text) if isinstance(text, str) else text
+    # possessive: no piece is tried twice
+    head = rf"^(?:\s*+(?:[\p{{L}}\p{{N}}_]++|[^\p{{L}}\p{{N}}_\s])){{0,{pieces}}}+"
+    return F.when(F.regexp_count(col, F.lit(PIECE)) <= pieces, col).otherwise(F.regexp_extract(col, head, 0))
+
+
 def external_token_count(make_tokenizer: Callable[[], Callable[[str], Sequence]]):
     """Token count by a tokenizer of the caller's; built once per task, fed Arrow batches."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,12 @@ from reviewsift.functions.text import category_slug
 from reviewsift.operators.validate import take_first
 
 SAMPLE_FORMATS = ("json", "csv")
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def csv_writer(df: DataFrame):
     """CSV with a header and doubled quotes; blanks around values are kept."""
-    return df.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False,
-                            ignoreTrailingWhiteSpace=False)
+    return df.write.options(**CSV)
 
 
 def save_sample(df: DataFrame, path: str, num_samples: int = 1000, fmt: str = "csv") -> DataFrame:
@@ -32,21 +34,32 @@ def save_sample(df: DataFrame, path: str, num_samples: int = 1000, fmt: str = "c
     return sample
 
 
+def by_partition(df: DataFrame, keys: Sequence[str]):
+    """A writer into folders by ``keys`` with files of bounded size, that can be repeated.
+
+    Rows are gathered by partition and rebalanced, so a small partition is one file and a large one is split at the
+    advisory partition size. A repeated or resumed run replaces the partitions it writes and leaves the others.
+    """
+    writer = df.hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite")
+    return writer.option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+
+
 def write_splits(df: DataFrame, path: str, fmt: str = "parquet", csv_too: bool = False) -> None:
-    """All splits under ``split=.../category_name=...``."""
+    """All splits under ``split=.../category_name=...`` (see ``by_partition``)."""
     named = df.withColumn("category_name", category_slug("category"))
-    named.write.partitionBy("split", "category_name").format(fmt).save(f"{path}/{fmt}")
+    keys = ["split", "category_name"]
+    by_partition(named, keys).format(fmt).options(**(CSV if fmt == "csv" else {})).save(f"{path}/{fmt}")
     if csv_too and fmt != "csv":
-        csv_writer(named).partitionBy("split", "category_name").csv(f"{path}/csv")
+        by_partition(named, keys).options(**CSV).csv(f"{path}/csv")
 
 
 def write_anomalies(anomalies: DataFrame, path: str, eps: float, min_samples: int,
                     batch_size: int | None) -> None:
-    """Anomalies with the run's parameters as columns, in a folder named after them."""
+    """Anomalies with the run's parameters as columns, in a folder named after them; a repeated run replaces it."""
     (
         anomalies.withColumn("eps", F.lit(eps)).withColumn("min_samples", F.lit(min_samples))
-        .withColumn("batch_size", F.lit(batch_size).cast("bigint"))
-        .write.parquet(f"{path}_eps_{eps}_min_samples_{min_samples}_batch_size_{batch_size}")
+        .withColumn("batch_size", F.lit(batch_size).cast("bigint")).hint("rebalance")
+        .write.mode("overwrite").parquet(f"{path}_eps_{eps}_min_samples_{min_samples}_batch_size_{batch_size}")
     )
 
 

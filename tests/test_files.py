@@ -73,8 +73,44 @@ def test_split_folders(spark, tmp_path):
     assert (tmp_path / "s" / "csv" / "split=test" / "category_name=a_and_b").is_dir()
 
 
+def test_files_of_a_split_are_bounded_and_runs_repeat(spark, tmp_path):
+    df = spark.range(0, 60_000, 1, 24).select(
+        F.col("id").alias("row_id"), F.concat(F.lit("C"), F.when(F.col("id") < 40_000, 0).otherwise(F.col("id") % 5)).alias("category"),
+        F.when(F.col("id") % 7 == 0, "test").otherwise("train").alias("split"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        sinks.write_splits(df, str(tmp_path / "s"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    files = {p: sorted(p.glob("part-*")) for p in (tmp_path / "s" / "parquet").glob("split=*/category_name=*")}
+    assert len(files) == 10 and all(f.stat().st_size < 6_000_000 for fs in files.values() for f in fs)
+    counts = {f"{p.parent.name}/{p.name}": len(fs) for p, fs in files.items()}
+    assert counts["split=train/category_name=c0"] > 1 and sum(counts.values()) < 40  # not a file per task and partition
+    again = df.where("split = 'test'").withColumn("row_id", F.col("row_id") + 1)
+    for _ in range(2):  # replaces its own partitions only
+        sinks.write_splits(again, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s" / "parquet"))
+    assert back.count() == 60_000 and back.where("split = 'test'").agg(F.min("row_id")).first()[0] == 1
+    assert back.where("split = 'train'").agg(F.sum("row_id")).first()[0] == df.where("split = 'train'").agg(F.sum("row_id")).first()[0]
+
+
+def test_texts_are_cut_for_the_model(spark):
+    from reviewsift.functions.text import first_pieces, piece_count
+    rows = [("a b, c",), ("",), (None,), ("  x--y  z ",), ("one\ntwo three!",), ("word " * 300_000,), ("ü_1 漢字 é",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [r[0] for r in df.select(first_pieces("t", 3)).collect()]
+    assert got[:5] == ["a b,", "", None, "  x--", "one\ntwo three"] and got[6] == "ü_1 漢字 é"
+    long = df.where("length(t) > 1000").select(first_pieces("t", 510).alias("t"))
+    assert long.select(piece_count("t")).first()[0] == 512
+    scored = M.score_with(df.where("t is not null").selectExpr("t as review_data", "1.0 as rating"),
+                          lambda: lambda texts: [float(len(t)) for t in texts], max_tokens=5)
+    assert scored.agg(F.max("predicted_rating")).first()[0] == len("word word word")
+
+
 def test_anomaly_and_metric_sinks(spark, tmp_path):
-    sinks.write_anomalies(spark.range(2), str(tmp_path / "out"), 0.6, 12, None)
+    for _ in range(2):
+        sinks.write_anomalies(spark.range(2), str(tmp_path / "out"), 0.6, 12, None)
     back = spark.read.parquet(str(tmp_path / "out_eps_0.6_min_samples_12_batch_size_None"))
     assert tuple(back.select("eps", "min_samples", "batch_size").first()) == (0.6, 12, None)
     rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], "section string, key string, value double")

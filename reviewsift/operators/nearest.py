@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewsift.operators.dbscan import BLOCK_ROWS, Clustering
-from reviewsift.operators.features import Z_COLUMNS, Scale, apply_scale, feature_matrix, fit_scale
+from reviewsift.operators.features import Z_COLUMNS, apply_scale, feature_matrix, fit_scale
 from reviewsift.operators.grid import (
-    BOX_COLUMNS, MARGIN, REP_COLUMNS, Grid, distance_to_box, flags_column, squared_distance, summarize,
+    BOX_COLUMNS, MARGIN, REP_COLUMNS, distance_to_box, squared_distance, summarize,
 )
-from reviewsift.operators.ordering import hot_keys, join_hot, small, spread_join, with_position
+from reviewsift.operators.kdtree import LEAF, kth_distances
+from reviewsift.operators.ordering import join_hot, small, with_position
 from reviewsift.operators.quantiles import exact_quantiles, melt
-from reviewsift.schemas import FEATURES
 from reviewsift.session import materialize
 
 DISTANCE_DIGITS = 9  # distances are rounded to this before ranking, so rounding noise is a tie
@@ -130,153 +127,21 @@ def rank_anomalies(c: Clustering) -> DataFrame:
 # --- k-distance --------------------------------------------------------------------------
 
 
-def _block_kernel(k: int, reach: float):
-    """For each query of a bucket: its up to ``k`` nearest targets per tile block within ``reach``.
-
-    A bucket holds whole tile blocks; both sides are cut into them by sorting.
-    """
-
-    def slices(frame: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
-        frame = frame.sort_values(["tile", "block"], kind="stable")
-        tile, block = frame["tile"].to_numpy(), frame["block"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (block[1:] != block[:-1])])
-        return frame, {(tile[i], block[i]): (i, j) for i, j in zip(starts, np.r_[starts[1:], len(frame)])}
-
-    def run(queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
-        ids, dists, copies = [np.empty(0, "int64")], [np.empty(0)], [np.empty(0, "int64")]
-        if len(queries) and len(targets):
-            queries, asked = slices(queries)
-            targets, offered = slices(targets)
-            vid, qz = queries["vid"].to_numpy(), queries[Z_COLUMNS].to_numpy()
-            tw, tz = targets["copies"].to_numpy(), targets[Z_COLUMNS].to_numpy()
-            for key, (lo, hi) in asked.items():
-                if key not in offered:
-                    continue
-                t_lo, t_hi = offered[key]
-                t, w = tz[t_lo:t_hi], tw[t_lo:t_hi]
-                step = max(1, 1_000_000 // len(t))
-                for start in range(lo, hi, step):
-                    q = qz[start:min(hi, start + step)]
-                    d2 = sum((q[:, n, None] - t[None, :, n]) ** 2 for n in range(q.shape[1]))
-                    keep = min(k, len(t))
-                    nearest = np.argpartition(d2, keep - 1, axis=1)[:, :keep]
-                    found = np.take_along_axis(d2, nearest, axis=1)
-                    rows, cols = np.nonzero(found <= reach * reach)
-                    ids.append(vid[start + rows])
-                    dists.append(found[rows, cols])
-                    copies.append(w[nearest[rows, cols]])
-        return pd.DataFrame({"vid": np.concatenate(ids), "d2": np.concatenate(dists),
-                             "copies": np.concatenate(copies)})
-
-    return run
-
-
-BUCKET_ROWS = 200_000  # queries and targets that one call of the kernel takes, about
-
-
-def _kth(near: DataFrame, k: int) -> DataFrame:
-    """``(vid, d2)``: where the copies, nearest first, reach ``k``."""
-    by_distance = Window.partitionBy("vid").orderBy("d2").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        near.withColumn("seen", F.sum("copies").over(by_distance))
-        .where(F.col("seen") >= k)
-        .groupBy("vid").agg(F.min("d2").alias("d2"))
-    )
-
-
-def _bucket_count(slices: int, asked: int, offered: int) -> int:
-    """Buckets of about ``BUCKET_ROWS`` rows of both sides together."""
-    return max(slices, math.ceil((asked + offered) / BUCKET_ROWS))
-
-
-def _kth_within(queries: DataFrame, points: DataFrame, tiles: DataFrame, grid: Grid, k: int) -> DataFrame:
-    """``(vid, d2)`` of the k-th neighbour of each query, where one tile side reaches it.
-
-    Every query meets the points of its own and the adjacent tiles; tiles with many points are
-    cut into blocks and each block returns at most ``k`` rows per query.
-    """
-    homes = queries.groupBy(F.col("tile").alias("home")).agg(F.count("*").alias("queries"))
-    meets = materialize(
-        grid.near_tiles(homes.withColumn("tile", F.col("home"))).join(tiles.select("tile", "points"), "tile"),
-        "knn_tiles")
-    last_block = F.floor((F.col("points") - 1) / BLOCK_ROWS)
-    slices = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = meets.select("tile", "points").distinct()
-    work = meets.agg(F.sum(F.col("queries") * (last_block + 1))).first()[0] or 0
-    offer = wanted.agg(F.sum("points")).first()[0] or 0
-    buckets = _bucket_count(slices, work, offer)
-    bucket = F.pmod(F.xxhash64("tile", "block"), F.lit(buckets)).alias("bucket")
-    asked = (
-        queries.select("vid", F.col("tile").alias("home"), *Z_COLUMNS).join(meets.drop("queries"), "home")
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
-        .select(bucket, "vid", "tile", "block", *Z_COLUMNS)
-    )
-    offered = (
-        spread_join(points, wanted, ["tile"], hot_keys(tiles, ["tile"], "points"), "vid")
-        .withColumn("block", F.pmod(F.xxhash64("vid"), last_block + 1))
-        .select(bucket, "tile", "block", "copies", *[F.col(z).alias(z) for z in Z_COLUMNS])
-    )
-    near = (
-        asked.groupBy("bucket").cogroup(offered.groupBy("bucket"))
-        .applyInPandas(_block_kernel(k, grid.radius), "vid long, d2 double, copies long")
-    )
-    return _kth(near, k)
-
-
-def _radii(points: DataFrame, scale: Scale, k: int, levels: int = 24) -> list[float]:
-    """Search radii, doubling, from where no tile holds many rows up to the whole spread."""
-    widest = math.sqrt(sum((scale.high[f] - scale.low[f]) ** 2 for f in FEATURES)) or 1.0
-    radii = [widest * (1 + MARGIN) / 2 ** n for n in range(levels)]
-    radii = [r for r in radii if Grid.fits(scale, r)]
-    numbered = points.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("n"), Grid.fit(scale, r).tile().alias("tile"))
-        for n, r in enumerate(radii)])).alias("t"), "copies")
-    crowded = (
-        numbered.groupBy("t").agg(F.sum("copies").alias("rows"))
-        .groupBy("t.n").agg(F.max("rows").alias("rows")).where(F.col("rows") > 16 * k)
-        .agg(F.max("n")).first()[0]  # one number: the finest level that still has a crowded tile
-    )
-    finest = 0 if crowded is None else min(crowded + 1, len(radii) - 1)
-    return radii[finest::-1]
-
-
-def k_distances(df: DataFrame, k: int = 16) -> DataFrame:
+def k_distances(df: DataFrame, k: int = 16, leaf: int = LEAF) -> DataFrame:
     """``(row_id, k_distance)``: distance of every row to its k-th neighbour, itself included.
 
-    Equal rows collapse to one weighted point. The search radius doubles from round to round.
-    A point joins in when its own tile holds about ``k/4`` rows, so it meets few points
-    wherever it lies; a k-th neighbour within the radius is final, as everything that near is
-    in an adjacent tile, and the rest go on. The last few outliers are compared with all
-    points. Null where there are fewer than ``k`` rows.
+    Equal rows collapse to one weighted point; the points' neighbours are found over a k-d tree of
+    partitions (``kdtree``). Null where there are fewer than ``k`` rows.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     features = materialize(feature_matrix(df, complete=True), "knn_features")
     if features.isEmpty():
         return features.select("row_id", F.lit(None).cast("double").alias("k_distance"))
-    scale = fit_scale(features)
-    scaled = apply_scale(features, scale)
+    scaled = apply_scale(features, fit_scale(features))
     points = materialize(
-        scaled.withColumn("flags", flags_column())
-        .groupBy("flags", *Z_COLUMNS).agg(F.count("*").alias("copies"), F.min("row_id").alias("vid"))
-        .withColumn("batch_id", F.lit(0).cast("long")), "knn_points")
-    waiting, settled = points, []
-    radii = _radii(points, scale, k)
-    for radius in radii:
-        if waiting.isEmpty():
-            break
-        grid = Grid.fit(scale, radius)
-        placed = points.withColumn("tile", grid.tile())
-        tiles = materialize(
-            placed.groupBy("tile").agg(F.count("*").alias("points"), F.sum("copies").alias("rows")), "tiles")
-        queries = waiting.withColumn("tile", grid.tile())
-        if radius != radii[-1]:
-            crowded = tiles.select("tile").where(F.col("rows") * 4 >= k)
-            queries = queries.join(crowded, "tile", "left_semi")
-        found = materialize(_kth_within(queries, placed, tiles, grid, k), "knn_found")
-        settled.append(found)
-        waiting = materialize(waiting.join(found.select("vid"), "vid", "left_anti"), "knn_waiting")
-    known = reduce(DataFrame.unionByName, settled)
+        scaled.groupBy(*Z_COLUMNS).agg(F.count("*").alias("copies"), F.min("row_id").alias("vid")), "knn_points")
+    known = kth_distances(points, Z_COLUMNS, k, leaf)
     result = materialize(
         points.join(known, "vid", "left")
         .select(*Z_COLUMNS, "copies", F.sqrt("d2").alias("k_distance")), "knn_result")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewsift import fixtures as fx
-from reviewsift.operators import dbscan as D, grid as G, nearest as N
+from reviewsift.operators import dbscan as D, grid as G, kdtree as K, nearest as N
 from reviewsift.operators.features import Z_COLUMNS
 from reviewsift.plans.detection import cluster_summary, detect_anomalies
 from reviewsift.schemas import FEATURES
@@ -194,25 +194,36 @@ def test_nearest_core_shuffles_nothing_by_batch_alone(spark):
 
 
 def test_few_outliers_do_not_gather_the_table(spark, monkeypatch):
-    """At a large radius a few points want every tile; buckets grow in number with what is offered."""
-    sizes = []
-    kernel = N._block_kernel
-    monkeypatch.setattr(N, "BUCKET_ROWS", 40)
-    monkeypatch.setattr(N, "BLOCK_ROWS", 20)
-    monkeypatch.setattr(N, "_bucket_count", lambda *a, f=N._bucket_count: sizes.append(f(*a)) or sizes[-1])
+    """Leaves stay small, a leaf that many want is taken in parts, and the result does not depend on the cuts."""
+    monkeypatch.setattr(K, "VISITS", 30)
     x = blobs(9)
     d = np.sort(brute(scaled(x), 1, 1)[0], axis=1)
-    got = N.k_distances(frame(spark, x), 16).toPandas().sort_values("row_id")
-    assert np.allclose(got.k_distance, d[:, 15], atol=1e-9)
-    assert max(sizes) > 10 and kernel is N._block_kernel
+    for leaf in (5, 40, 10_000):
+        got = N.k_distances(frame(spark, x), 16, leaf).toPandas().sort_values("row_id")
+        assert np.allclose(got.k_distance, d[:, 15], atol=1e-9)
+
+
+def test_leaves_of_the_tree():
+    rng = np.random.default_rng(2)
+    points = np.c_[rng.standard_normal((5000, 2)), rng.integers(0, 2, 5000), np.zeros(5000), np.round(rng.random(5000), 1)]
+    tree = K.Tree.of(points[:1000], 32)
+    found = tree.leaf_of(points)
+    assert tree.leaves == 32 and set(found) == set(range(32))
+    assert np.bincount(found).max() < 4 * 5000 / 32
+    boxes = [(points[found == i].min(0), points[found == i].max(0)) for i in range(32)]
+    for i, (lo, hi) in enumerate(boxes):  # boxes of leaves do not overlap beyond their faces
+        other = points[found != i]
+        assert not ((other > lo) & (other < hi)).all(axis=1).any()
+    same = K.Tree.of(np.ones((50, 3)), 8)
+    assert same.leaves == 1 and set(same.leaf_of(np.ones((4, 3)))) == {0}
+    assert K.Tree.of(np.empty((0, 3)), 1).leaves == 1
 
 
 def test_k_distances_of_nothing(spark):
     assert N.k_distances(frame(spark, blobs(1, 40)).where("false"), 4).count() == 0
 
 
-def test_k_distances(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK_ROWS", 50)
+def test_k_distances(spark):
     x = blobs(9)
     d = np.sort(brute(scaled(x), 1, 1)[0], axis=1)
     for k in (1, 16, 400):

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewsift import fixtures as fx
 from reviewsift.catalog.base import (
     CHECKED, NON_SPACES, RAW, REVIEWS, clean_sql, on_enriched, r, rounded, with_views,
 )
-from reviewsift.functions.text import category_from_path, category_slug, clean_text, piece_count, word_count
-from reviewsift.operators import dedup, splits, validate
+from reviewsift.functions.text import (
+    category_from_path, category_slug, clean_text, computed_once, first_pieces, piece_count, word_count)
+from reviewsift.operators import dedup, sketches, splits, validate
 from reviewsift.plans.dataset import build_dataset
 from reviewsift.session import materialize, scratch_path
 from reviewsift.sources import readers, sinks
@@ -55,6 +59,30 @@ def dataset_profile(spark, sf):
     return readers.dataset_profile(fx.scored_reviews(spark, sf))
 
 
+def profile_sketches(spark, sf):
+    """Distinct values of all reviews from one sketch per rating, beside the exact counts, and whether the quantiles
+    of the predicted rating have ranks within the sketch's bound."""
+    reviews = materialize(fx.scored_reviews(spark, sf).select("rating", "user_id", "asin", "predicted_rating"), "profiled")
+    kept = materialize(sketches.slice_sketches(reviews, ["rating"], ["user_id", "asin"], ["predicted_rating"]), "sketches")
+    found = sketches.sketch_profile(sketches.merge_sketches(kept), [0.25, 0.5, 0.75]).first()  # one row
+    near = lambda c: F.abs(F.col(c) - F.lit(found[f"distinct_{c}"])) <= 4 * sketches.distinct_error() * F.col(c)
+    value, ranked = F.col("predicted_rating"), []
+    for q, at in zip((0.25, 0.5, 0.75), found["quantiles_predicted_rating"]):
+        ranked += [F.avg((value < at).cast("double")) <= q + sketches.RANK_ERROR, F.avg((value <= at).cast("double")) >= q - sketches.RANK_ERROR]
+    exact = reviews.agg(F.count("*").alias("rows"), F.countDistinct("user_id").alias("user_id"), F.countDistinct("asin").alias("asin"),
+                        reduce(Column.__and__, ranked).alias("quantiles_within"))
+    return exact.select("rows", F.col("user_id").alias("users"), F.col("asin").alias("items"), near("user_id").alias("users_within"),
+                        near("asin").alias("items_within"), "quantiles_within")
+
+
+def truncate_tokens(spark, sf):
+    """What a model of 512 tokens reads of each document."""
+    docs = fx.spread(fx.table(spark, sf, "documents"), "doc_id")
+    cut = computed_once(docs.select("doc_id", "text"), head=first_pieces("text", validate.MAX_TOKENS - 2))
+    return cut.select("doc_id", F.length("head").cast("bigint").alias("chars"), F.md5("head").alias("digest"),
+                      piece_count("head").cast("bigint").alias("token_count"))
+
+
 def save_sample(spark, sf):
     path = scratch_path(spark, "sample")
     sinks.save_sample(fx.raw_reviews(spark, sf), path, 1000, "json")
@@ -175,6 +203,7 @@ QUERIES = {
     "filter_token_count": filter_token_count, "reject_counts": reject_counts, "word_count": word_counts,
     "dedup_full_row": dedup_full_row, "dedup_review_rating": dedup_review_rating, "dedup_counts": dedup_counts,
     "split_dataset": split_dataset, "build_dataset": built_dataset, "stream_validate": stream_validate,
+    "profile_sketches": profile_sketches, "truncate_tokens": truncate_tokens,
 }
 
 _N = "(SELECT max(n) FROM (SELECT count(*) AS n FROM reviews GROUP BY category))"
@@ -213,6 +242,12 @@ ORACLES = {
     "dataset_profile": with_views(
         """SELECT count(*) AS total_reviews, count(DISTINCT user_id) AS total_users, count(DISTINCT asin) AS total_items,
         min("timestamp") AS first_timestamp, max("timestamp") AS last_timestamp FROM reviews""", REVIEWS),
+    "profile_sketches": with_views(
+        """SELECT count(*) AS rows, count(DISTINCT user_id) AS users, count(DISTINCT asin) AS items, TRUE AS users_within,
+        TRUE AS items_within, TRUE AS quantiles_within FROM reviews""", REVIEWS),
+    "truncate_tokens": r"""SELECT doc_id, CAST(length(head) AS BIGINT) AS chars, md5(head) AS digest, CAST(least(len(p), 510) + 2 AS BIGINT) AS token_count
+        FROM (SELECT doc_id, p, CASE WHEN len(p) <= 510 THEN text ELSE array_to_string(list_slice(p, 1, 510), '') END AS head
+          FROM (SELECT doc_id, text, regexp_extract_all(text, '\s*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])') AS p FROM documents))""",
     "save_sample": with_views(
         "SELECT category, count(*) AS n FROM (SELECT category FROM raw ORDER BY row_id LIMIT 1000) GROUP BY category",
         REVIEWS, RAW),

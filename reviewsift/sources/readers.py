@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewsift.operators.dedup import row_digest
+from reviewsift.operators.sketches import REGISTERS
 from reviewsift.operators.validate import complete_rows, take_first
 from reviewsift.schemas import CATEGORIES, RAW_META, RAW_REVIEW
 from reviewsift.sources.csv_records import read_by_header, read_records
@@ -134,12 +135,16 @@ def drop_file_duplicates(df: DataFrame, source_in_key: bool) -> DataFrame:
     ).select("_row.*", "source_file")
 
 
-def dataset_profile(reviews: DataFrame) -> DataFrame:
-    """Totals of a review table: rows, distinct users, products and categories, time span."""
-    return reviews.agg(
-        F.count("*").alias("total_reviews"),
-        F.countDistinct("user_id").alias("total_users"),
-        F.countDistinct("asin").alias("total_items"),
-        F.min("timestamp").alias("first_timestamp"),
-        F.max("timestamp").alias("last_timestamp"),
-    )
+def dataset_profile(reviews: DataFrame, approx: bool = False) -> DataFrame:
+    """Totals of a review table: rows, distinct users and products, time span.
+
+    ``approx`` counts the distinct values by sketches (see ``operators.sketches``), in one pass that shuffles a few
+    kilobytes a task; the exact way shuffles each task's distinct values.
+    """
+    span = [F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp")]
+    if approx:
+        distinct = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), F.lit(REGISTERS)))
+    else:
+        distinct = F.countDistinct
+    return reviews.agg(F.count("*").alias("total_reviews"), distinct("user_id").alias("total_users"),
+                       distinct("asin").alias("total_items"), *span)

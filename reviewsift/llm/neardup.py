@@ -42,14 +42,28 @@ def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # of bytes: A-Z only, ASCII white space only
 
 
-def _set(words: list[bytes], width: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; fewer words than ``width`` are one shingle."""
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of the shingles, repeats included; fewer words than ``width`` are one shingle."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - width + 1)
     first, last = [0, *(ends[:n - 1] + 1).tolist()], ends[len(words) - n:].tolist() or [0]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(first, last)], np.uint64).view(np.int64))
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(first, last)), np.uint64, n)
+
+
+def _set(words: list[bytes], width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(_hashes(words, width).view(np.int64))
+
+
+def _fingerprint(hashes: np.ndarray) -> int:
+    """SimHash: a bit is one if it is set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), simhash.SLAB):
+        h = hashes[at:at + simhash.SLAB].astype(">u8")
+        counts += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
 
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
@@ -62,24 +76,25 @@ def shingles(text: Column, width: int = WIDTH) -> Column:
     return sets(text.cast("binary"))
 
 
-_SKETCH = pa.struct([("d", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+_SKETCH = pa.struct([("d", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
 
 def _sketch(text: bytes | None, width: int, common: np.ndarray, rank: np.ndarray) -> dict:
     words = _words(text)
-    found = _set(words, width)
+    hashes = _hashes(words, width)
+    found = np.unique(hashes.view(np.int64))
     at = np.searchsorted(common, found)
     last = common[at] == found  # ``common`` ends with a guard
     size = len(found) - -(-len(found) * NUM // DEN) + 1
     behind = found[last][np.argsort(rank[at[last]], kind="stable")]
-    return {"d": np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).view(np.int64), "n": len(found),
+    return {"d": np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).view(np.int64), "n": len(found), "fp": _fingerprint(hashes),
             "prefix": np.concatenate((found[~last], behind))[:size]}
 
 
 def sketch(text: Column, width: int, common: np.ndarray, rank: np.ndarray) -> Column:
-    """``d`` (hash of the words), ``n`` (size of the set) and the prefix of the set, in order."""
+    """``d`` (hash of the words), ``n`` (size of the set), ``fp`` (SimHash) and the prefix of the set, in order."""
 
-    @F.arrow_udf("struct<d long, n int, prefix array<long>>")
+    @F.arrow_udf("struct<d long, n int, fp long, prefix array<long>>")
     def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return per_value(batches, _SKETCH, lambda texts: [_sketch(t, width, common, rank) for t in texts])
 
@@ -160,8 +175,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).alias("_t"))
     common, rank = common_shingles(texts, width)
     marked = materialize(
-        texts.select("id", "key", sketch(F.col("_t"), width, common, rank).alias("s"), simhash.fingerprint(F.col("_t"), width).alias("fp"))
-        .select("id", "key", "s.*", "fp"), "sketches")
+        texts.select("id", "key", sketch(F.col("_t"), width, common, rank).alias("s")).select("id", "key", "s.*"), "sketches")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     classes = materialize(
         marked.groupBy("d").agg(F.min(place).alias("least"), F.count("*").alias("rows"), F.min("fp").alias("fp")), "classes")

@@ -104,3 +104,30 @@ def test_the_stage_drops_rows_not_ids(spark, sf):
 def test_no_rows(spark):
     got = neardup.similar_classes(spark.createDataFrame([], "doc_id long, text string"))
     assert got.count() == 0 and got.columns == ["id", "key", "rep_id", "rep_key"]
+
+
+def test_fingerprints_are_those_of_the_simhash_operator(spark):
+    from reviewsift.llm import simhash
+    texts = [t for t in texts_of()[3:60]]
+    for t in texts:
+        words = neardup._words(t.encode())
+        assert neardup._fingerprint(neardup._hashes(words, 5)) == simhash._simhash(t.encode(), 5)
+
+
+def test_a_group_below_the_threshold_makes_few_candidates(spark, monkeypatch):
+    """Texts at four new words of 120 from one base are no near copies of each other; their pairs must not be made."""
+    compared = {}
+    real = neardup._verified
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    for m in (100, 400):
+        texts = []
+        for _ in range(m):
+            new = {30 * i + rng.randrange(4, 20): f"new{rng.randrange(10 ** 6)}" for i in range(4)}
+            texts.append(" ".join(new.get(i, w) for i, w in enumerate(base)))
+        seen = []
+        monkeypatch.setattr(neardup, "_verified", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+        got = neardup.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert got.select("rep_id").distinct().count() == m
+        compared[m] = sum(seen)
+    assert compared[400] <= 4 * 400

@@ -18,6 +18,7 @@ from reviewsift.plans.dataset import build_dataset
 from reviewsift.session import materialize, scratch_path
 from reviewsift.sources import readers, sinks
 from reviewsift.streaming.ingest import start_validated_ingest
+from reviewsift.streaming.quota import read_ingested, start_quota_ingest
 
 RAW_COLUMNS = ["row_id", "category", "rating", "title", "asin", "user_id", "helpful_vote"]
 BUILT = ["row_id", "split", "review_data", "rating", "token_count", "category", "title", "text", "has_images",
@@ -194,6 +195,20 @@ def stream_validate(spark, sf):
     return rounded(spark.read.parquet(target))
 
 
+STREAM_QUOTA = 1000
+
+
+def stream_quota(spark, sf):
+    """Files arrive in three parts, each read by a run of its own."""
+    source, target, state = (scratch_path(spark, n) for n in ("quota_in", "quota_out", "quota_state"))
+    raw = materialize(fx.raw_reviews(spark, sf), "quota_raw")
+    top = raw.agg(F.max("row_id")).first()[0] or 0
+    for part in range(3):
+        raw.where(F.expr(f"row_id * 3 div {top + 1} = {part}")).write.mode("append").json(source)
+        start_quota_ingest(spark, source, target, state, STREAM_QUOTA).awaitTermination()
+    return rounded(read_ingested(spark, target).select(*[c for c in BUILT if c != "split"]))
+
+
 QUERIES = {
     "scan_reviews": scan_reviews, "scan_metadata": scan_metadata, "take_first_n": take_first_n,
     "invalid_categories": invalid_categories, "dataset_profile": dataset_profile, "save_sample": save_sample,
@@ -203,7 +218,7 @@ QUERIES = {
     "filter_token_count": filter_token_count, "reject_counts": reject_counts, "word_count": word_counts,
     "dedup_full_row": dedup_full_row, "dedup_review_rating": dedup_review_rating, "dedup_counts": dedup_counts,
     "split_dataset": split_dataset, "build_dataset": built_dataset, "stream_validate": stream_validate,
-    "profile_sketches": profile_sketches, "truncate_tokens": truncate_tokens,
+    "profile_sketches": profile_sketches, "truncate_tokens": truncate_tokens, "stream_quota": stream_quota,
 }
 
 _N = "(SELECT max(n) FROM (SELECT count(*) AS n FROM reviews GROUP BY category))"
@@ -229,6 +244,8 @@ built AS (
 _RAW_ALL = RAW.replace("raw AS (", "raw_all AS (", 1)
 _BUILT_COLUMNS = ", ".join(f'"{c}"' if c != "rating" else r("rating", "rating") for c in BUILT)
 
+_QUOTA_COLUMNS = ", ".join(f'"{c}"' if c != "rating" else r("rating", "rating") for c in BUILT if c != "split")
+
 ORACLES = {
     "scan_reviews": with_views(
         "SELECT row_id, category, rating, title, asin, user_id, helpful_vote FROM raw WHERE category = 'en'", REVIEWS, RAW),
@@ -289,4 +306,8 @@ ORACLES = {
         SELECT row_id, category, row_number() OVER (PARTITION BY category ORDER BY row_id) AS pos FROM reviews)""", REVIEWS),
     "build_dataset": with_views(f"SELECT {_BUILT_COLUMNS} FROM built", REVIEWS, _RAW_ALL, _BUILT),
     "stream_validate": _VALID_ROWS,
+    "stream_quota": with_views(
+        f"""SELECT {_QUOTA_COLUMNS} FROM (
+        SELECT *, row_number() OVER (PARTITION BY category ORDER BY row_id) AS k FROM (
+          SELECT min(row_id) AS row_id, * EXCLUDE (row_id) FROM valid GROUP BY ALL)) WHERE k <= {STREAM_QUOTA}""", REVIEWS, RAW, CHECKED),
 }

@@ -93,15 +93,18 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return registers
 
 
-def _by_chance() -> np.ndarray:
-    """Probability that registers of different least hashes agree, by the sizes (powers of two) of both sets."""
+def _by_chance(parts: int = 16) -> np.ndarray:
+    """Probability that registers of different least hashes agree, by the sizes (powers of two) of both sets.
+
+    Each power of two is cut into ``parts``, in which the mantissa's cells are equally likely.
+    """
     rate = 2.0 ** (np.arange(0, 33) - BUCKET_BITS)[:, None]  # shingles a bucket
-    zeros, mantissa = np.arange(0, _REST - MANTISSA), np.arange(1 << MANTISSA)
-    low = 2.0 ** (-1.0 - zeros)[:, None] * (1 + mantissa / (1 << MANTISSA))[None, :]
-    high = low + 2.0 ** (-1.0 - zeros - MANTISSA)[:, None]
+    zeros, part = np.arange(0, _REST - MANTISSA), np.arange(parts)
+    low = 2.0 ** (-1.0 - zeros)[:, None] * (1 + part / parts)[None, :]
+    high = low + 2.0 ** (-1.0 - zeros)[:, None] / parts
     share = np.exp(-rate * low.ravel()) - np.exp(-rate * high.ravel())
     share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
-    return share @ share.T
+    return share @ share.T * parts / (1 << MANTISSA)
 
 
 _CHANCE = _by_chance()
@@ -176,7 +179,9 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
         block = lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), BUCKETS)
-        agree = (block(a) == block(b)).sum(axis=1)
+        agree = np.empty(len(a), np.int64)
+        for at in range(0, len(a), 1024):
+            agree[at:at + 1024] = (block(a.slice(at, 1024)) == block(b.slice(at, 1024))).sum(axis=1)
         return pa.array(estimate(agree, n.to_numpy(zero_copy_only=False), m.to_numpy(zero_copy_only=False)) >= limit)
 
     side = lambda name: sets.select(

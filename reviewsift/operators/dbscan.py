@@ -269,9 +269,9 @@ class Clustering:
         limit = self.eps * self.eps
         near, far = box_distances("a", "b")
         met = (
-            self.grid.near_tiles(nodes).alias("a").join(shuffled(nodes).alias("b"), "tile")
-            .where((F.col("a.node") < F.col("b.node")) & (near <= limit * (1 + MARGIN)))
-            .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"),
+            self.grid.near_tiles(nodes, half=True).alias("a").join(shuffled(nodes).alias("b"), "tile")
+            .where((~F.col("home") | (F.col("a.node") < F.col("b.node"))) & (near <= limit * (1 + MARGIN)))
+            .select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"),
                     (F.least(far * (1 + MARGIN), rep_distance("a", "b")) <= limit).alias("sure"))
         )
         met = materialize(met, "node_pairs")

@@ -145,13 +145,20 @@ class Grid:
         digits = [F.floor(i / F.lit(self.per_tile)) + 1 for i in self._indexes()]
         return self._number(digits, self._tiles)
 
-    def near_tiles(self, df: DataFrame) -> DataFrame:
-        """One copy of each row for its tile and every adjacent one, in column ``tile``."""
+    def near_tiles(self, df: DataFrame, half: bool = False) -> DataFrame:
+        """One copy of each row for its tile and every adjacent one, in column ``tile``.
+
+        With ``half``, for a join of a table with itself: of two tiles that are neighbours only one is named, and
+        ``home`` marks the copies for the row's own tile, in which pairs still come up both ways.
+        """
         steps = [0]
         for size in self._tiles:
             steps = [s * size + o for s in steps for o in (-1, 0, 1)]
+        if half:
+            steps = [s for s in steps if s >= 0]
         around = F.explode(F.array(*[F.lit(s * 4).cast("long") for s in steps]))
-        moved = df.withColumn("_s", around).withColumn("tile", F.col("tile") + F.col("_s")).drop("_s")
+        moved = df.withColumn("_s", around).withColumn("tile", F.col("tile") + F.col("_s"))
+        moved = (moved.withColumn("home", F.col("_s") == 0) if half else moved).drop("_s")
         if self.flips == (0,):
             return moved
         flags = F.pmod(F.col("tile"), F.lit(4))

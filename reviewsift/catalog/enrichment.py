@@ -8,8 +8,8 @@ from reviewsift import fixtures as fx
 from reviewsift.catalog.base import (
     ENRICHED, FEATURES, LOOKUP, REVIEWS, SCALED, enriched, on_enriched, r, remember, rounded, with_views,
 )
-from reviewsift.operators import enrich, features, rating_model, regression
-from reviewsift.session import materialize
+from reviewsift.operators import enrich, features, rating_model, rating_training, regression
+from reviewsift.session import materialize, scratch_path
 
 
 def _inputs(spark, sf):
@@ -86,6 +86,13 @@ def train_rating_model(spark, sf):
     return rounded(rating_model.evaluate_rating_model(_model(spark, sf), held_out))
 
 
+def train_rating_epochs(spark, sf):
+    """Validation error of each epoch, trained on the other rows."""
+    folder, rows = scratch_path(spark, "epochs"), fx.reviews(spark, sf)
+    rating_training.train_epochs(rows.where(~_validation()), rows.where(_validation()), folder, epochs=3)
+    return rounded(rating_training.epoch_errors(spark, folder))
+
+
 def _by_length():
     """A stand-in for a model that SQL can repeat: the rating follows the length of the text."""
     return lambda texts: [1.0 + len(t) % 401 / 100.0 for t in texts]
@@ -111,7 +118,7 @@ QUERIES = {
     "enrichment_coverage": enrichment_coverage, "winsorize_p99": winsorize_p99,
     "feature_matrix": feature_matrix, "scaled_features": scaled_features, "outlier_check": outlier_check,
     "top5_values": top5_values, "regression_metrics": regression_metrics,
-    "train_rating_model": train_rating_model, "score_ratings": score_ratings, "score_unscored": score_unscored,
+    "train_rating_model": train_rating_model, "train_rating_epochs": train_rating_epochs, "score_ratings": score_ratings, "score_unscored": score_unscored,
 }
 
 _CLIP = ", ".join(r(f"least({c}, quantile_cont({c}, 0.99) OVER ())", c) for c in ("helpful_vote", "reviewer_review_count"))

@@ -10,8 +10,8 @@ keys of the search and every candidate is verified on the whole sets. Shingles t
 last in the order, the commonest at the very end; the sample decides how many candidates there are, never which pairs
 are found.
 
-Texts of the same words collapse first. The members of a key are compared with its least one, and then only
-where they lie in different components; so a group of near copies makes no pairs.
+Texts of the same words collapse first. The members of a key are compared with the one of them that shares most
+shingles, and then only where they lie in different components; so a group of near copies makes no pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ SEED, WIDTH = 42, 5
 NUM, DEN = 4, 5
 #: Every so manieth text is sampled for common shingles (all of fewer texts than ``SAMPLE``).
 EVERY, SAMPLE = 16, 10_000
+#: Bytes of sets that are broadcast at most; beyond, the same join shuffles.
+HEAD_BYTES = 48 << 20
 #: Sampled texts from which a shingle is common, and how many of the commonest are put last.
 COMMON, LISTED = 4, 1_000_000
 
@@ -135,7 +137,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int
     sets = _sets(texts, classes, pairs, width)
     one = sets.select(F.col("d").alias("u"), F.col("set").alias("_u"))
     two = sets.select(F.col("d").alias("v"), F.col("set").alias("_v"))
-    both = pairs.join(one, "u").join(two, "v").select(
+    # heads are few beside the pairs: where their sets are small they are broadcast, and no pair carries one through a shuffle
+    heads = materialize(one.join(pairs.select("u").distinct(), "u"), "head_sets")
+    entries = heads.agg(F.sum(F.size("_u"))).first()[0] or 0
+    heads = F.broadcast(heads) if entries * 8 <= HEAD_BYTES else heads
+    both = pairs.join(two, "v").join(heads, "u").select(
         "u", "v", F.size("_u").cast("long").alias("a"), F.size("_v").cast("long").alias("b"),
         F.size(F.array_intersect("_u", "_v")).cast("long").alias("i"))
     found = materialize(both.where(_near(F.col("i"), F.col("a"), F.col("b"))).select("u", "v"), "verified")
@@ -186,15 +192,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spoken = chosen.where(F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).dropDuplicates(["d"])
     single = chosen.where(F.col("_d").isNull()).unionByName(spoken).select("d", "n", "prefix")
     postings = single.select("d", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("place", "token"))
+    shared = bounded(materialize(postings.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token"), "shared"))
+    found = materialize(postings.join(shared, "token"), "postings")
+    # the member with most shared shingles heads a key: what a group varies heads most of its keys
+    degree = materialize(found.groupBy("d").agg(F.count("*").alias("_shared")), "degree")
+    ranked = found.join(bounded(degree), "d")
     heads = materialize(
-        postings.groupBy("token").agg(F.min(F.struct("d", "n", "place")).alias("h"), F.count("*").alias("size")).where("size > 1")
+        ranked.groupBy("token").agg(F.max(F.struct("_shared", "d", "n", "place")).alias("h"))
         .select("token", F.col("h.d").alias("head"), F.col("h.n").alias("head_n"), F.col("h.place").alias("head_place")), "heads")
-    members = materialize(postings.join(bounded(heads), "token"), "members")
+    members = materialize(found.join(bounded(heads), "token"), "members")
+    discard(found)
     star = members.where((F.col("d") != F.col("head")) & _fits("n", "place", "head_n", "head_place")).select(
         F.col("head").alias("u"), F.col("d").alias("v"))
     star = materialize(star.unionByName(_closest(classes)).distinct(), "star")
     first = _verified(star, texts, classes, width)
-    # what the least ones did not bring together
+    # what the heads did not bring together
     part = materialize(connected_components(first).select(F.col("node").alias("d"), "component"), "parts")
     placed = materialize(members.join(part, "d", "left").select(
         "token", "d", "n", "place", F.coalesce("component", "d").alias("part")), "placed")

@@ -110,3 +110,42 @@ def test_graph_sizes(spark):
 def test_no_text_at_all(spark):
     df = spark.createDataFrame([(0, 1, None), (1, 1, "")], "row_id long, user_id long, text string")
     assert S.SpamAnalysis(df).spam_users().count() == 0
+
+
+def test_large_users_give_the_same_pairs(spark):
+    df = spark.createDataFrame(posts(9, 220, 3), "row_id long, user_id long, text string")
+    found = [sorted(map(tuple, S.SpamAnalysis(df, threshold=0.6, whole=w).user_pairs().collect())) for w in (10**6, 20, 0)]
+    assert found[0] == found[1] == found[2] and len({p[0] for p in found[0]}) > 1
+
+
+def test_pairs_never_meet_the_rows_of_their_vectors(spark, monkeypatch):
+    """A user's 300 texts share most words but are no similar pairs: no stored step has a row per pair."""
+    rng = random.Random(2)
+    common = [f"word{i}" for i in range(40)]
+    df = spark.createDataFrame([(i, i % 2, " ".join(rng.sample(common, 14))) for i in range(600)], "row_id long, user_id long, text string")
+    stored = {}
+    monkeypatch.setattr(S, "materialize", lambda t, name: stored.setdefault(name, materialize(t, name)))
+    S.SpamAnalysis(df).pairs.count()
+    assert "candidates" not in stored and max(t.count() for t in stored.values()) <= 600 * 30
+
+
+def test_frequent_terms_are_exact_for_any_number_of_buckets(spark):
+    rows = [(i, i % 5, text) for i, _, text in posts(4, 200)]
+    texts = S.distinct_texts(spark.createDataFrame(rows, "row_id long, user_id long, text string"))
+    terms = materialize(S.doc_terms(texts), "terms")
+    full = S.vocabulary(S.term_stats(terms, texts, 0.3), texts, 15).collect()
+    for buckets in (1, 7, 1 << 17):
+        frequent = S.frequent_stats(terms, texts, 15, 0.3, buckets)
+        assert S.vocabulary(frequent, texts, 15).collect() == full
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    rows = [(0, 1, "red shoe red shoe blue"), (1, 1, None), (2, 2, ""), (3, 1, "shoe")]
+    texts = materialize(spark.createDataFrame(rows, "text_id long, copies long, text string"), "t")
+    found = S.doc_terms(texts)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.where("text_id = 0").select("term", "tf").collect())) == [
+        ("blue", 1), ("red", 2), ("red shoe", 2), ("shoe", 2), ("shoe blue", 1), ("shoe red", 1)]
+    assert found.count() == 7
+    twice = S.doc_terms(texts.unionByName(texts).unionByName(texts.selectExpr("cast(null as long) text_id", "copies", "text")))
+    assert {tuple(r) for r in twice.where("text_id = 0 and term like 'red%'").select("term", "tf").collect()} == {("red", 4), ("red shoe", 4)}

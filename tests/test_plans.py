@@ -69,3 +69,9 @@ def test_every_check_has_a_query():
 def test_query_equals_sql(spark, sf, name):
     got = queries()[name](spark, sf).toPandas()
     assert differences(got, connect(sf).execute(oracle_sql()[name]).df()) == ""
+
+
+def test_ngram_terms_are_counted_inside_the_rows(spark, sf):
+    from reviewsift.catalog import texts
+    plan = texts.ngram_terms(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning(row_id" in plan.replace("doc_id", "row_id")

@@ -190,7 +190,7 @@ def built_dataset(spark, sf):
 
 def stream_validate(spark, sf):
     source, target, state = (scratch_path(spark, n) for n in ("stream_in", "stream_out", "stream_state"))
-    fx.raw_reviews(spark, sf).repartition(6).write.json(source)
+    fx.raw_reviews(spark, sf).write.json(source)
     start_validated_ingest(spark, source, target, state).awaitTermination()
     return rounded(spark.read.parquet(target))
 

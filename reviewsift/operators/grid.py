@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewsift.operators.features import Z_COLUMNS, Scale
+from reviewsift.operators.ordering import whole
 from reviewsift.schemas import FEATURES, FLAG_FEATURES
 
 # Bounds computed from boxes are trusted only outside this relative margin; in between the
@@ -74,11 +75,6 @@ def summarize(points: DataFrame, *keys: str, id_column: str = "row_id",
     )
 
 
-def whole(number: Column, divisor: int) -> Column:
-    """Integer division of non-negative BIGINTs, exact for all of them (no detour through DOUBLE)."""
-    return F.call_function("div", number, F.lit(divisor).cast("long"))
-
-
 @dataclass(frozen=True)
 class Grid:
     """Cells for one radius, numbered by one BIGINT each.

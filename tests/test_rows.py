@@ -99,3 +99,16 @@ def test_full_row_repeats_by_digest(spark):
     assert sorted(r.row_id for r in dedup.drop_duplicate_rows(df).collect()) == [1, 3, 4, 5, 6, 7, 9]
     plan = dedup.drop_duplicate_rows(df)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(s" not in plan and "HashAggregate(keys=[s" not in plan
+
+
+def test_likely_members_keeps_all_members_and_few_others(spark):
+    from pyspark.sql import functions as F
+
+    from reviewsift.operators.ordering import likely_members
+    from reviewsift.session import materialize
+    rows = spark.range(200_000).select((F.col("id") * 7919).alias("row_id"), F.lit("x").alias("text"))
+    rows = rows.unionByName(rows.where("row_id < 7919")).unionByName(spark.sql("select cast(null as long) row_id, 'n' text"))
+    members = materialize(rows.where("row_id % 10 = 0").select("row_id").distinct(), "members")
+    found = likely_members(rows, "row_id", members)
+    assert found.columns == rows.columns and found.join(members, "row_id").count() == 20_001
+    assert found.count() < 20_001 + 180_000 // 8

@@ -204,7 +204,10 @@ def stream_quota(spark, sf):
     raw = materialize(fx.raw_reviews(spark, sf), "quota_raw")
     top = raw.agg(F.max("row_id")).first()[0] or 0
     for part in range(3):
-        raw.where(F.expr(f"row_id * 3 div {top + 1} = {part}")).write.mode("append").json(source)
+        arrived = raw.where(F.expr(f"row_id * 3 div {top + 1} = {part}"))
+        # compressed files are read by one task each, so their rows are bounded
+        arrived.write.mode("append").options(**{"maxRecordsPerFile": 50_000, "zlib.compress.level": "BEST_SPEED"}).json(
+            source, compression="gzip")
         start_quota_ingest(spark, source, target, state, STREAM_QUOTA).awaitTermination()
     return rounded(read_ingested(spark, target).select(*[c for c in BUILT if c != "split"]))
 

@@ -41,3 +41,11 @@ def test_a_batch_that_runs_again_takes_the_same_rows(spark, tmp_path, sf):
     assert got.select(*expected.columns).exceptAll(expected).isEmpty() and got.count() == expected.count()
     Q.take_batch(raw.limit(0), 2, out, state, 60)
     assert Q.read_ingested(spark, out).count() == expected.count()
+
+
+def test_staged_files_are_compressed_and_bounded(spark, sf, monkeypatch, tmp_path):
+    from reviewsift.catalog import ingest
+    monkeypatch.setattr(ingest, "scratch_path", lambda _, name: str(tmp_path / name))
+    assert ingest.stream_quota(spark, sf).count() > 0
+    staged = [p.name for p in (tmp_path / "quota_in").iterdir() if p.name.startswith("part-")]
+    assert staged and all(name.endswith(".json.gz") for name in staged)

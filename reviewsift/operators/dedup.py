@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewsift.operators.ordering import small
+from reviewsift.operators.ordering import without_ids
 from reviewsift.session import materialize
 
 
@@ -52,19 +52,19 @@ def repeated_ids(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     """Full-row duplicates out (all columns but ``row_id``), first kept. Rows are compared by their digests, so
-    no text is a shuffle key, and only the ids of repeats meet the wide rows.
+    no text is a shuffle key, and only the ids of repeats meet the wide rows, which are not shuffled.
     """
     columns = [c for c in df.columns if c != "row_id"]
     marked = materialize(df.select("row_id", row_digest(df, columns).alias("digest")), "digests")
-    return df.join(small(repeated_ids(marked, ["digest"])), "row_id", "left_anti")
+    return without_ids(df, "row_id", repeated_ids(marked, ["digest"]), marked)
 
 
 def drop_duplicate_reviews(df: DataFrame) -> DataFrame:
     """First row of each text and rating. Texts are compared by their SHA-256 digests, so no text is a shuffle
-    key, and the repeats (few beside the rows) are what the wide rows are joined with.
+    key; the wide rows are compared with the ids of repeats, however many, where they are (see ``without_ids``).
     """
     marked = materialize(df.select("row_id", "rating", F.sha2("review_data", 256).alias("digest")), "digests")
-    return df.join(small(repeated_ids(marked, ["digest", "rating"])), "row_id", "left_anti")
+    return without_ids(df, "row_id", repeated_ids(marked, ["digest", "rating"]), marked)
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

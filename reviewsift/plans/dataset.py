@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewsift.operators.dedup import repeated_ids, row_digest
-from reviewsift.operators.ordering import small
+from reviewsift.operators.ordering import small, without_ids
 from reviewsift.operators.splits import split_by, split_dataset, split_limits
 from reviewsift.operators.validate import valid_reviews
 from reviewsift.session import materialize
@@ -31,5 +31,5 @@ def build_dataset(raw: DataFrame, train_n: int, val_n: int, test_n: int, **optio
     limits = small(materialize(split_limits(marks, train_n, val_n, test_n), "split_limits"))
     train = split_by(marks, limits).where(F.col("split") == "train").select("row_id", "_text", "rating")
     repeats = repeated_ids(materialize(train, "train_marks"), ["_text", "rating"])
-    dropped = small(materialize(copies.unionByName(repeats), "dropped"))
-    return split_by(valid.drop("_row", "_text"), limits).join(dropped, "row_id", "left_anti")
+    dropped = materialize(copies.unionByName(repeats), "dropped")
+    return without_ids(split_by(valid.drop("_row", "_text"), limits), "row_id", dropped, valid)

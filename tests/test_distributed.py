@@ -105,3 +105,33 @@ def test_spearman_with_ties(spark):
     assert np.isclose(row.spearman, np.corrcoef(ranks(y), ranks(p))[0, 1])
     assert np.isclose(row.mae, np.abs(y - p).mean()) and np.isclose(row.rmse, np.sqrt(((y - p) ** 2).mean()))
     assert np.isclose(row.r2, 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+
+
+@pytest.mark.parametrize("share", [2, 40])
+def test_ids_are_dropped_without_shuffling_the_rows(spark, share):
+    from reviewsift.session import materialize
+
+    rows = materialize(spark.range(20000).select(
+        F.when(F.col("id") % 997 != 0, F.col("id") * 7).alias("row_id"), F.lit("wide").alias("text")), "rows")
+    ids = materialize(rows.where(F.col("row_id") % share == 0).select("row_id"), "ids")
+    kept = ordering.without_ids(rows, "row_id", ids, rows.select("row_id"), rows=20)
+    assert kept.columns == rows.columns
+    plain = rows.join(ids, "row_id", "left_anti").select(*rows.columns)
+    assert sorted(kept.collect(), key=str) == sorted(plain.collect(), key=str)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_repeats_beyond_a_broadcast_shuffle_no_text(spark, monkeypatch):
+    from reviewsift.operators import dedup
+
+    monkeypatch.setattr(ordering, "BROADCAST_ROWS", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(3000).select(F.col("id").alias("row_id"), F.concat(F.lit("t"), F.col("id") % 700).alias("review_data"),
+                                        F.lit(1.0).alias("rating"))
+        kept = dedup.drop_duplicate_reviews(rows)
+        assert sorted(r.row_id for r in kept.collect()) == list(range(700))
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -112,3 +112,21 @@ def test_likely_members_keeps_all_members_and_few_others(spark):
     found = likely_members(rows, "row_id", members)
     assert found.columns == rows.columns and found.join(members, "row_id").count() == 20_001
     assert found.count() < 20_001 + 180_000 // 8
+
+
+def test_reject_counts_equal_the_reasons_of_the_rows(spark):
+    faults = [{}, {"title": None}, {"text": "<br/>"}, {"text": " "}, {"text": "​<a>\x00", "rating": "9"}, {"rating": "six", "text": "< \t"},
+              {"helpful_vote": "-1"}, {"timestamp": 0}, {"asin": " ", "title": "<p>"}, {"user_id": "\t"}, {"text": "w " * 600},
+              {"text": "<b>" * 20000 + "x"}, {"text": "​" * 50000, "asin": ""}]
+    rows = raw(spark, *faults)
+    expected = {}
+    for r in validate.check_reviews(rows).collect():
+        expected[r.reject_reason or "valid"] = expected.get(r.reject_reason or "valid", 0) + 1
+    assert {r.reject_reason: r.n for r in validate.reject_counts(rows).collect()} == expected
+    assert validate.valid_reviews(rows).count() == expected["valid"]
+
+
+def test_rejected_rows_are_not_cleaned(spark):
+    """The filter on the other columns stands below the cleaning, so it runs first."""
+    plan = validate.valid_reviews(raw(spark, {}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("try_cast(rating") > plan.rindex("Generate")

@@ -77,3 +77,30 @@ def test_category_names_are_in_title_case(spark):
     for i, n in enumerate(names):
         stem = re.sub("_(test|train|val)$", "", n) if n else ".csv"
         assert got[i] == stem.replace("_", " ").title(), n
+
+
+def test_fast_character_classes_equal_the_plain_ones(spark):
+    """Every character alone, doubled and between letters: cleaned, counted and cut as by the plain patterns."""
+    from reviewsift.functions import text as t
+
+    plain = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+    codes = spark.range(0x110000).where("id not between 55296 and 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    rows = codes.select(F.explode(F.array("c", F.concat("c", "c"), F.concat(F.lit("a"), "c", F.lit("b  - "), "c"))).alias("t"))
+    cleaned = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", "<[^>]+>", ""), r"(?U)[\s\x1c-\x1f]+", " "), r"\p{C}", "")
+    wrong = rows.where(
+        (t.clean_text("t") != F.when(F.col("t") == " ", "").otherwise(cleaned))
+        | (t.cleans_to_nothing("t") != (t.clean_text("t") == ""))
+        | (t.piece_count("t") != F.regexp_count("t", F.lit(plain)) + 2)
+        | (F.array_join(t.tokens("t", []), "|") != F.array_join(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), "|"))
+        | (t.first_pieces("t", 2) != F.when(F.regexp_count("t", F.lit(plain)) <= 2, F.col("t")).otherwise(
+            F.regexp_extract("t", r"^(?:\s*+(?:[\p{L}\p{N}_]++|[^\p{L}\p{N}_\s])){0,2}+", 0))))
+    assert wrong.count() == 0
+
+
+def test_only_the_pieces_asked_for_are_read(spark):
+    """The rest of a long text is not split into pieces: cutting it takes no longer than its beginning."""
+    from reviewsift.functions.text import first_pieces
+
+    plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(first_pieces("t", 5))
+    assert "regexp_extract_all" not in plan._jdf.queryExecution().optimizedPlan().toString()

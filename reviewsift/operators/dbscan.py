@@ -22,12 +22,13 @@ from reviewsift.operators.grid import (
     BOX_COLUMNS, MARGIN, REP_COLUMNS, Grid, box_diagonal, box_distances, distance_to_box,
     prepare_points, rep_distance, squared_distance, summarize,
 )
+from reviewsift.operators.kdtree import ball_counts
 from reviewsift.operators.ordering import drop_members, join_hot, with_position
 from reviewsift.session import materialize
 
 BLOCK_ROWS = 100_000  # rows of one dense cell per task when its rows are needed
 PAIR_LIMIT = 10_000_000  # row pairs of two cells settled in one join
-LEAF_POINTS = 64  # a cut box with so many different points or fewer is compared point by point
+LEAF_POINTS = 32  # different points of a box that is compared point by point where a sphere cuts it
 
 
 @dataclass
@@ -136,50 +137,13 @@ class Clustering:
     def neighbour_counts(self) -> DataFrame:
         """``(row_id, neighbours, is_core)``: the exact number of rows within eps of every row, itself included.
 
-        Equal rows collapse to a weighted point. A point counts the boxes inside its sphere whole; a box that
-        the sphere cuts is replaced by boxes four times finer per axis, until few different points are
-        left in it, which are compared one by one. So only the rim of a sphere is ever compared.
+        Equal rows collapse to a weighted point; points are packed into boxes, which count whole boxes within eps
+        and compare only those at the rim point by point (``kdtree.ball_counts``).
         """
-        limit = self.eps * self.eps
-        near, far = distance_to_box("p", "b")
         points = materialize(
-            self.points.groupBy("tile", "cell", *Z_COLUMNS)
-            .agg(F.count("*").alias("copies"), F.min("row_id").alias("vid")), "different_points")
-        whose = ["p.vid", *[f"p.{z}" for z in Z_COLUMNS]]
-        cut = lambda met: met.where(~F.col("inside"))
-        found = []
-
-        def compared(pairs: DataFrame, members: DataFrame) -> DataFrame:
-            return (
-                pairs.alias("p").join(members.alias("q"), "box")
-                .where(squared_distance("p", "q") <= F.lit(limit)).select("p.vid", F.col("q.copies").alias("n")))
-
-        def tested(pairs: DataFrame, boxes: DataFrame, key: str, child: str) -> DataFrame:
-            """Pairs of points and boxes that the sphere reaches, with whether it holds the box."""
-            met = pairs.alias("p").join(shuffled(boxes).alias("b"), key).where(near <= limit * (1 + MARGIN))
-            return materialize(met.select(
-                *whose, F.col(f"b.{child}").alias("box"), "b.rows", "b.kinds",
-                (far <= limit * (1 - MARGIN)).alias("inside")), "sphere_boxes")
-
-        boxes = _weighed(points.withColumn("box", F.col("cell")), "tile", "box")
-        met = tested(self.grid.near_tiles(points), boxes, "tile", "box")
-        members, side = points.withColumn("box", F.col("cell")), self.grid.side
-        while True:
-            found.append(met.where("inside").select("vid", F.col("rows").alias("n")))
-            found.append(compared(cut(met).where(F.col("kinds") <= LEAF_POINTS), members))
-            pairs = cut(met).where(F.col("kinds") > LEAF_POINTS).drop("rows", "kinds", "inside")
-            if pairs.isEmpty():
-                break
-            side /= 4
-            wanted = pairs.select("box").distinct()
-            finer = members.join(wanted, "box", "left_semi").withColumn("piece", F.struct(*[
-                F.floor(F.col(z) / F.lit(side)).alias(f"c{i}") for i, z in enumerate(self.grid.axes)]))
-            boxes = materialize(_weighed(finer, "box", "piece"), "finer_boxes")
-            met = tested(pairs, boxes, "box", "first_row")
-            members = materialize(
-                finer.join(boxes.select("box", "piece", "first_row"), ["box", "piece"])
-                .drop("box", "piece").withColumnRenamed("first_row", "box"), "finer_points")
-        counts = reduce(DataFrame.unionByName, found).groupBy("vid").agg(F.sum("n").alias("neighbours"))
+            self.points.groupBy("batch_id", "cell", *Z_COLUMNS)
+            .agg(F.count("*").alias("copies")).withColumn("vid", F.monotonically_increasing_id()), "different_points")
+        counts = ball_counts(points, Z_COLUMNS, self.eps * self.eps, LEAF_POINTS).withColumnRenamed("n", "neighbours")
         known = materialize(
             points.join(counts, "vid").select("cell", *Z_COLUMNS, "copies", "neighbours"), "neighbour_counts")
         return join_hot(self.points, known, ["cell", *Z_COLUMNS], "copies", "row_id", how="inner").select(
@@ -376,12 +340,6 @@ class Clustering:
         return outside.unionByName(inside)
 
 
-def _weighed(points: DataFrame, *keys: str) -> DataFrame:
-    """``summarize`` of weighted points, with the number of different ones as ``kinds``."""
-    return summarize(points.withColumn("row_id", F.col("vid")), *keys, weight=F.col("copies")).join(
-        points.groupBy(*keys).agg(F.count("*").alias("kinds")), list(keys))
-
-
 def shuffled(df: DataFrame) -> DataFrame:
     """Join side that is to be shuffled: the work of these joins is in the pairs, and a small
     side sent to the few tasks that read the other one would leave most cores idle.

@@ -257,3 +257,34 @@ def test_larger_radius_has_less_noise(spark):
     x = blobs(12)
     rows = lambda eps: {r.row_id for r in D.dbscan(frame(spark, x), eps, 8).noise.collect()}
     assert rows(0.9) <= rows(0.5)
+
+
+def test_balls_over_many_chunks_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(K, "COMPARED", 60)
+    rng = np.random.default_rng(8)
+    z = np.unique(np.round(rng.normal(0, 1, (600, 3)), 1), axis=0)
+    batch, copies = rng.integers(0, 2, len(z)), rng.integers(1, 4, len(z))
+    points = materialize(spark.createDataFrame(
+        [(i, int(b), int(c), *map(float, r)) for i, (b, c, r) in enumerate(zip(batch, copies, z))],
+        "vid long, batch_id long, copies long, a double, b double, c double"), "points")
+    got = K.ball_counts(points, ["a", "b", "c"], 0.49, size=4, leaf=2).toPandas().sort_values("vid")
+    near = sum((z[:, None, n] - z[None, :, n]) ** 2 for n in range(3)) <= 0.49
+    want = (near & (batch[:, None] == batch)) @ copies
+    assert got.vid.tolist() == list(range(len(z))) and got.n.tolist() == want.tolist()
+
+
+def test_neighbour_counts_store_no_row_per_point_and_box(spark, monkeypatch):
+    sizes = []
+
+    def counting(df, name):
+        stored = materialize(df, name)
+        sizes.append(stored.count())
+        return stored
+
+    n = 3000
+    x = np.random.default_rng(9).random((n, 6)) * [20, 0, 0, 2, 20, 3]
+    c = D.dbscan(frame(spark, x), 1.0, 8)
+    for module in (D, K):
+        monkeypatch.setattr(module, "materialize", counting)
+    assert c.neighbour_counts().count() == n
+    assert max(sizes) <= n  # before, a table of pairs held several times as many

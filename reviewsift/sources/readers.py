@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewsift.operators.dedup import row_digest
+from reviewsift.operators.ordering import without_ids
 from reviewsift.operators.sketches import REGISTERS
 from reviewsift.operators.validate import complete_rows, take_first
 from reviewsift.schemas import CATEGORIES, RAW_META, RAW_REVIEW
+from reviewsift.session import materialize
 from reviewsift.sources.csv_records import read_by_header, read_records
 
 
@@ -88,17 +90,23 @@ def combine_folder(spark: SparkSession, folder: str, use_parquet: bool = True, s
         rows = read_by_header(spark, root, pathGlobFilter="*.csv", recursiveFileLookup="true")
     else:
         return None
-    if rows is None or rows.columns == ["file"]:
+    if rows is None or not set(rows.columns) - {"file", _AT}:
         return None
-    return drop_file_duplicates(rows.withColumn("source_file", place).drop("file"), source_in_key)
+    rows = rows.withColumn("source_file", place)
+    if _AT not in rows.columns:
+        return drop_file_duplicates(rows.drop("file"), source_in_key)
+    if source_in_key:
+        return drop_file_duplicates(rows.drop("file", _AT), source_in_key)
+    return _without_repeats(rows.withColumn(_AT, F.struct("file", _AT)).drop("file"))
 
 
+_AT = "_row_in_file"
 _BELOW = {"pathGlobFilter": "*.parquet", "recursiveFileLookup": "true"}
 
 
 def _combined_parquet(spark: SparkSession, root: str, skip_unreadable: bool) -> DataFrame | None:
-    """Rows of all Parquet files below ``root`` by column name, with ``file``."""
-    named = lambda df: df.withColumn("file", F.col("_metadata.file_path"))
+    """Rows of all Parquet files below ``root`` by column name, with ``file`` and the row's place in it."""
+    named = lambda df: df.withColumns({"file": F.col("_metadata.file_path"), _AT: F.col("_metadata.row_index")})
     try:
         return named(spark.read.options(**_BELOW, mergeSchema="true").parquet(root))
     except Exception:  # a file that is none, or one column of several types: look at the files one by one
@@ -135,6 +143,19 @@ def drop_file_duplicates(df: DataFrame, source_in_key: bool) -> DataFrame:
     ).select("_row.*", "source_file")
 
 
+def _without_repeats(rows: DataFrame) -> DataFrame:
+    """Of equal rows the one with the least ``source_file``. Rows are compared by digests and known by their place in
+    the files, so the wide rows are not shuffled: they meet the places of repeats where they are (see ``without_ids``).
+    """
+    keys = [c for c in rows.columns if c not in ("source_file", _AT)]
+    marked = materialize(rows.select(_AT, "source_file", F.unhex(row_digest(rows, keys)).alias("digest")), "digests")
+    first = materialize(marked.groupBy("digest").agg(
+        F.min(F.struct("source_file", _AT))[_AT].alias("_first"), F.count("*").alias("_n"))
+        .where("_n > 1").select("digest", "_first"), "repeated")
+    repeats = materialize(marked.join(first, "digest").where(F.col(_AT) != F.col("_first")).select(_AT), "repeats")
+    return without_ids(rows, _AT, repeats, marked).drop(_AT)
+
+
 def dataset_profile(reviews: DataFrame, approx: bool = False) -> DataFrame:
     """Totals of a review table: rows, distinct users and products, time span.
 

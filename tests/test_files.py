@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewsift import fixtures as fx
-from reviewsift.operators import rating_model as M
+from reviewsift.operators import ordering, rating_model as M
 from reviewsift.operators.validate import valid_reviews
 from reviewsift.sources import readers, sinks
 from reviewsift.streaming.ingest import start_validated_ingest
@@ -141,3 +141,17 @@ def test_rating_model_learns_and_resumes(spark):
     assert len(done) == 200 and all((r.predicted_rating == 9.0) == (r.row_id < 50) for r in done)
     external = M.score_with(df, lambda: lambda texts: [float(len(t)) for t in texts])
     assert external.where(F.col("predicted_rating") != F.length("review_data")).isEmpty()
+
+
+@pytest.mark.parametrize("few", [1, 50_000])
+def test_repeats_across_files_leave_without_a_shuffle_of_the_rows(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(ordering, "BROADCAST_ROWS", few)
+    rows = spark.range(60).select((F.col("id") % 40).alias("n"), F.when(F.col("id") % 2 == 0, F.col("id") % 8).alias("m"))
+    rows.coalesce(2).write.parquet(str(tmp_path / "all" / "a.parquet"))
+    rows.select("m", "n").coalesce(1).write.parquet(str(tmp_path / "all" / "b.parquet"))
+    rows.select("n").coalesce(1).write.parquet(str(tmp_path / "all" / "c.parquet"))
+    got = readers.combine_folder(spark, str(tmp_path / "all"))
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(r.n, r.m): "a.parquet" for r in rows.collect()}
+    want |= {(n, None): "c.parquet" for n in range(40) if (n, None) not in want}
+    assert got.count() == len(want) and {(r.n, r.m): r.source_file for r in got.collect()} == want

@@ -3,8 +3,8 @@
 Whether a line begins a record depends on the quotes of all lines before it. Each task reads its chunk of a file line
 by line under both assumptions, that the chunk begins outside quotes and inside, and notes for both where records begin
 and in which state the chunk ends. One row per chunk is then folded along its file, which settles every
-chunk's assumption. Records of one line, nearly all, are ready where they are; only lines of records that span
-several are grouped.
+chunk's assumption. Records of one line are ready where they are; lines of a longer record are joined by the task that
+reads them one after the other, and only pieces of records that lie in several tasks or chunks are grouped.
 """
 
 from __future__ import annotations
@@ -27,6 +27,11 @@ _LINES = pa.schema([
 _LINES_DDL = ("file string, block long, line long, value string, start0 long, start1 long, end0 long, end1 long, "
               "begun0 long, begun1 long")
 
+_PIECES = pa.schema([
+    ("file", pa.string()), ("at_block", pa.int64()), ("at_line", pa.int64()), ("block", pa.int64()), ("line", pa.int64()),
+    ("value", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_PIECES_DDL = "file string, at_block long, at_line long, block long, line long, value string, start long, end long"
+
 
 def line_ends(sep: str = ",") -> Callable[[str], tuple[bool, bool]]:
     """Tells of a line whether a quoted field is open behind it: if none was before it, and if one was.
@@ -70,6 +75,31 @@ def _read_chunks(sep: str):
     return read
 
 
+def _joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a record that come one after the other as one piece, with the states before and after it."""
+    piece, values, last = None, [], None
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(_PIECES)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
+
+    def closed(end: int) -> list[tuple]:
+        return [(*piece[:5], "\n".join(values), piece[6], end)] if piece else []
+
+    end = 0
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (*row[:4], row[4] - 1) == last:
+                values.append(row[5])
+            else:
+                out += closed(end)
+                piece, values = row, [row[5]]
+            last, end = row[:5], row[7]
+        yield batch_of(out)
+    yield batch_of(closed(end))
+
+
 def _fold(chunks: pd.DataFrame) -> pd.DataFrame:
     """State and latest record before each chunk of one file (a row per chunk)."""
     state, record, out = 0, (0, 0), []
@@ -87,6 +117,11 @@ def csv_records(spark: SparkSession, path: str, sep: str = ",", **options: str)
     Lines end with ``\\n`` or ``\\r\\n``; blank records are left out. A quote that is never closed makes the rest of its
     file one record. ``options`` go to Spark's text reader. A compressed file is one chunk.
     """
+    return _records(_placed_lines(spark, path, sep, **options))
+
+
+def _placed_lines(spark: SparkSession, path: str, sep: str, **options: str) -> DataFrame:
+    """Lines with the place where their record begins and the states before and after them, columns as ``_PIECES``."""
     lines = materialize(
         spark.read.options(**options).option("lineSep", "\n").text(path)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
@@ -98,16 +133,21 @@ def csv_records(spark: SparkSession, path: str, sep: str = ",", **options: str)
     of = lambda name: F.when(F.col("state") == 1, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
     known = lines.join(chunks, ["file", "block"])
     inside = of("begun") >= 0
-    placed = known.select(
+    return known.select(
         "file", F.when(inside, F.col("block")).otherwise(F.col("last_block")).alias("at_block"),
         F.when(inside, of("begun")).otherwise(F.col("last_line")).alias("at_line"),
-        "block", "line", "value", ((of("start") == 0) & (of("end") == 0)).alias("whole"))
-    whole = placed.where("whole").select("file", "block", "line", F.col("value").alias("record"))
-    several = placed.where("not whole").groupBy("file", "at_block", "at_line").agg(
+        "block", "line", "value", of("start").alias("start"), of("end").alias("end"))
+
+
+def _records(placed: DataFrame) -> DataFrame:
+    whole = (F.col("start") == 0) & (F.col("end") == 0)
+    pieces = placed.where(~whole).mapInArrow(_joined_lines, _PIECES_DDL)
+    ready = placed.where(whole).unionByName(pieces.where(whole)).select("file", "block", "line", F.col("value").alias("record"))
+    several = pieces.where(~whole).groupBy("file", "at_block", "at_line").agg(
         F.sort_array(F.collect_list(F.struct("block", "line", "value"))).alias("parts")).select(
         "file", F.col("at_block").alias("block"), F.col("at_line").alias("line"),
         F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("record"))
-    return whole.unionByName(several).withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> ''")
+    return ready.unionByName(several).withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> ''")
 
 
 def first_records(records: DataFrame) -> DataFrame:
@@ -133,19 +173,22 @@ def _ddl(schema: T.StructType) -> str:
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType, null_token: str = "", sep: str = ",") -> DataFrame:
     """The rows of CSV files with a header line, typed by ``schema`` column by column."""
-    records = csv_records(spark, path, sep)
-    heads = small(materialize(first_records(records), "csv_heads"))
+    lines = _placed_lines(spark, path, sep)
+    records = _records(lines)
+    heads = small(materialize(first_records(_records(lines.where("at_block = 0"))), "csv_heads"))
     return _body(records, heads).select(_parsed("record", schema, null_token, sep).alias("_r")).select("_r.*")
 
 
-def read_by_header(spark: SparkSession, path: str, sep: str = ",", **options: str) -> DataFrame:
-    """The rows of CSV files whose headers differ: strings by column name, missing ones null, with ``file``.
+def read_by_header(spark: SparkSession, path: str, sep: str = ",", place: str | None = None, **options: str) -> DataFrame:
+    """The rows of CSV files whose headers differ: strings by column name, missing ones null, with ``file`` and, on
+    request, the chunk and line where the record begins as ``place``.
 
     The headers are a table and the names an aggregate of it, so thousands of files take no more jobs than
     one. Columns come in the order of their first file.
     """
-    records = csv_records(spark, path, sep, **options)
-    heads = materialize(first_records(records), "csv_heads")
+    lines = _placed_lines(spark, path, sep, **options)
+    records = _records(lines)
+    heads = materialize(first_records(_records(lines.where("at_block = 0"))), "csv_heads")
     seps = F.length("head") - F.length(F.replace("head", F.lit(sep)))
     width = (heads.agg(F.max(seps)).first()[0] or 0) + 1
     wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
@@ -156,4 +199,5 @@ def read_by_header(spark: SparkSession, path: str, sep: str = ",", **options: st
         F.min(F.struct("file", "at")).alias("first")).orderBy("first").select("name").collect()  # the table's columns
     rows = _body(records, heads).withColumn("_r", _parsed("record", wide, sep=sep)).withColumn("_v", fields(F.col("_r")))
     value = lambda n: F.try_element_at(F.col("_v"), F.nullif(F.array_position("names", F.lit(n)), F.lit(0)).cast("int"))
-    return rows.select(*[value(r.name).alias(r.name) for r in names], "file")
+    return rows.select(*[value(r.name).alias(r.name) for r in names], "file",
+                       *([F.struct("block", "line").alias(place)] if place else []))

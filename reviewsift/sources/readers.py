@@ -87,17 +87,13 @@ def combine_folder(spark: SparkSession, folder: str, use_parquet: bool = True, s
     if use_parquet and not _files(spark, root, ".parquet").isEmpty():
         rows = _combined_parquet(spark, root, skip_unreadable)
     elif not _files(spark, root, ".csv").isEmpty():
-        rows = read_by_header(spark, root, pathGlobFilter="*.csv", recursiveFileLookup="true")
+        rows = read_by_header(spark, root, place=_AT, pathGlobFilter="*.csv", recursiveFileLookup="true")
     else:
         return None
     if rows is None or not set(rows.columns) - {"file", _AT}:
         return None
-    rows = rows.withColumn("source_file", place)
-    if _AT not in rows.columns:
-        return drop_file_duplicates(rows.drop("file"), source_in_key)
-    if source_in_key:
-        return drop_file_duplicates(rows.drop("file", _AT), source_in_key)
-    return _without_repeats(rows.withColumn(_AT, F.struct("file", _AT)).drop("file"))
+    rows = rows.withColumns({"source_file": place, _AT: F.struct("file", _AT)}).drop("file")
+    return _without_repeats(rows, source_in_key)
 
 
 _AT = "_row_in_file"
@@ -143,11 +139,11 @@ def drop_file_duplicates(df: DataFrame, source_in_key: bool) -> DataFrame:
     ).select("_row.*", "source_file")
 
 
-def _without_repeats(rows: DataFrame) -> DataFrame:
-    """Of equal rows the one with the least ``source_file``. Rows are compared by digests and known by their place in
+def _without_repeats(rows: DataFrame, source_in_key: bool) -> DataFrame:
+    """``drop_file_duplicates`` of rows read from files. Rows are compared by digests and known by their place in
     the files, so the wide rows are not shuffled: they meet the places of repeats where they are (see ``without_ids``).
     """
-    keys = [c for c in rows.columns if c not in ("source_file", _AT)]
+    keys = [c for c in rows.columns if c != _AT and (source_in_key or c != "source_file")]
     marked = materialize(rows.select(_AT, "source_file", F.unhex(row_digest(rows, keys)).alias("digest")), "digests")
     first = materialize(marked.groupBy("digest").agg(
         F.min(F.struct("source_file", _AT))[_AT].alias("_first"), F.count("*").alias("_n"))

@@ -4,6 +4,7 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,13 @@ def test_columns_of_several_types_and_bad_files(spark, tmp_path):
         spark.range(2).select(F.col("id").cast(kind).alias("x")).coalesce(1).write.parquet(str(folder / f"{i}.parquet"))
     got = readers.combine_folder(spark, str(folder))
     assert sorted(str(r.x) for r in got.collect()) == ["0", "1"]
+
+
+def test_lines_of_a_record_are_joined_within_a_task():
+    rows = [("f", 0, 1, 0, 1, 'a,"b', 0, 1), ("f", 0, 1, 0, 2, "", 1, 1), ("f", 0, 1, 0, 3, 'c"', 1, 0),
+            ("f", 0, 5, 0, 5, '"d', 0, 1), ("f", 0, 5, 9, 0, 'e"', 1, 0), ("f", 9, 7, 9, 8, 'h"', 1, 0), ("f", 9, 7, 9, 7, '"g', 0, 1)]
+    batches = [pa.Table.from_pylist([dict(zip(R._PIECES.names, r)) for r in part], schema=R._PIECES).to_batches()[0]
+               for part in (rows[:2], rows[2:])]
+    got = [tuple(r.values()) for b in R._joined_lines(iter(batches)) for r in b.to_pylist()]
+    assert got == [("f", 0, 1, 0, 1, 'a,"b\n\nc"', 0, 0), *rows[3:]]  # other chunks and orders are left to the grouping
+    assert not any(b.num_rows for b in R._joined_lines(iter([])))

@@ -10,6 +10,10 @@ keys of the search and every candidate is verified on the whole sets. Shingles t
 last in the order, the commonest at the very end; the sample decides how many candidates there are, never which pairs
 are found.
 
+Beside its prefix a text keeps an outline of its whole set: the parity of the shingles in each of about as many places as
+there are shingles. Places in which two outlines differ hold a shingle that only one set has, so they bound the
+similarity from above; pairs that it rules out never meet with their sets, and the others are verified.
+
 Texts of the same words collapse first. The members of a key are compared with the one of them that shares most
 shingles, and then only where they lie in different components; so a group of near copies makes no pairs.
 """
@@ -25,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewsift.llm import simhash
-from reviewsift.llm.common import bounded, per_value, row_key
+from reviewsift.llm.common import BROADCAST_ROWS, bounded, per_value, row_key
 from reviewsift.operators.components import connected_components
+from reviewsift.operators.ordering import likely_members
 from reviewsift.session import discard, materialize
 
 SEED, WIDTH = 42, 5
@@ -36,6 +41,8 @@ NUM, DEN = 4, 5
 EVERY, SAMPLE = 16, 10_000
 #: Bytes of sets that are broadcast at most; beyond, the same join shuffles.
 HEAD_BYTES = 48 << 20
+#: Places of an outline at least (a power of two).
+PLACES = 64
 #: Sampled texts from which a shingle is common, and how many of the commonest are put last.
 COMMON, LISTED = 4, 1_000_000
 
@@ -78,7 +85,32 @@ def shingles(text: Column, width: int = WIDTH) -> Column:
     return sets(text.cast("binary"))
 
 
-_SKETCH = pa.struct([("d", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+def _outline(found: np.ndarray) -> bytes:
+    """Parity of the numbers of shingles in as many places as the power of two from their number on."""
+    places = max(PLACES, 1 << (len(found) - 1).bit_length())
+    return np.packbits(np.bincount(found & (places - 1), minlength=places) % 2 == 1).tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Places in which two outlines differ, the longer folded to the other's places: at most the shingles of one set only."""
+    one, two = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    one, two = (one, two) if len(one) >= len(two) else (two, one)
+    folded = np.bitwise_xor.reduce(one.reshape(-1, len(two)), axis=0)
+    return int(np.bitwise_count(folded ^ two).sum())
+
+
+def differing(a: Column, b: Column) -> Column:
+    """``_differing`` of two columns of outlines."""
+
+    @F.arrow_udf("long")
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return per_value(batches, pa.int64(), lambda ends: [_differing(e["a"], e["b"]) for e in ends])
+
+    return counts(F.struct(a.alias("a"), b.alias("b")))
+
+
+_SKETCH = pa.struct([("d", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64())),
+                     ("outline", pa.binary())])
 
 
 def _sketch(text: bytes | None, width: int, common: np.ndarray, rank: np.ndarray) -> dict:
@@ -90,13 +122,14 @@ def _sketch(text: bytes | None, width: int, common: np.ndarray, rank: np.ndarray
     size = len(found) - -(-len(found) * NUM // DEN) + 1
     behind = found[last][np.argsort(rank[at[last]], kind="stable")]
     return {"d": np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).view(np.int64), "n": len(found), "fp": _fingerprint(hashes),
-            "prefix": np.concatenate((found[~last], behind))[:size]}
+            "prefix": np.concatenate((found[~last], behind))[:size], "outline": _outline(found)}
 
 
 def sketch(text: Column, width: int, common: np.ndarray, rank: np.ndarray) -> Column:
-    """``d`` (hash of the words), ``n`` (size of the set), ``fp`` (SimHash) and the prefix of the set, in order."""
+    """``d`` (hash of the words), ``n`` (size of the set), ``fp`` (SimHash), the prefix of the set, in order, and its
+    ``outline``."""
 
-    @F.arrow_udf("struct<d long, n int, fp long, prefix array<long>>")
+    @F.arrow_udf("struct<d long, n int, fp long, prefix array<long>, outline binary>")
     def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return per_value(batches, _SKETCH, lambda texts: [_sketch(t, width, common, rank) for t in texts])
 
@@ -132,8 +165,17 @@ def _fits(n: str, place: str, m: str, other: str) -> Column:
     return _alike(F.col(n), F.col(m)) & _near(rest, F.col(n), F.col(m))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+def _possible(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
+    """The pairs ``(u, v)`` that can be near copies by ``outlines(d, n, outline)`` of their sets; none that is one is lost."""
+    end = lambda name: outlines.select(F.col("d").alias(name), F.col("n").alias(f"n_{name}"), F.col("outline").alias(f"_{name}"))
+    both = pairs.join(end("u"), "u").join(end("v"), "v").where(_alike(F.col("n_u"), F.col("n_v")))
+    apart = both.select("u", "v", (F.col("n_u") + F.col("n_v")).alias("n"), differing(F.col("_u"), F.col("_v")).alias("apart"))
+    return apart.where(_near(F.col("n") - F.col("apart"), F.col("n"), F.col("n"))).select("u", "v")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, outlines: DataFrame, width: int) -> DataFrame:
     """The pairs ``(u, v)`` that are near copies, by their whole sets."""
+    pairs = materialize(_possible(pairs, outlines), "possible")
     sets = _sets(texts, classes, pairs, width)
     one = sets.select(F.col("d").alias("u"), F.col("set").alias("_u"))
     two = sets.select(F.col("d").alias("v"), F.col("set").alias("_v"))
@@ -145,7 +187,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int
         "u", "v", F.size("_u").cast("long").alias("a"), F.size("_v").cast("long").alias("b"),
         F.size(F.array_intersect("_u", "_v")).cast("long").alias("i"))
     found = materialize(both.where(_near(F.col("i"), F.col("a"), F.col("b"))).select("u", "v"), "verified")
-    discard(sets)
+    discard(sets, pairs)
     return found
 
 
@@ -190,10 +232,13 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes.where("rows > 1").select(F.col("d").alias("_d"), F.col("least.id").alias("_id"), F.col("least.key").alias("_key")), "copied"))
     chosen = marked.join(copied, marked["d"] == copied["_d"], "left")
     spoken = chosen.where(F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).dropDuplicates(["d"])
-    single = chosen.where(F.col("_d").isNull()).unionByName(spoken).select("d", "n", "prefix")
-    postings = single.select("d", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("place", "token"))
-    shared = bounded(materialize(postings.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token"), "shared"))
-    found = materialize(postings.join(shared, "token"), "postings")
+    single = chosen.where(F.col("_d").isNull()).unionByName(spoken).select("d", F.col("n").cast("long").alias("n"), "prefix", "outline")
+    outlines = materialize(single.select("d", "n", "outline"), "outlines")
+    postings = single.select("d", "n", F.posexplode("prefix").alias("place", "token"))
+    shared = materialize(postings.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token"), "shared")
+    # most shingles are in one text only; where the shared ones are too many to be broadcast, a bitmap of them keeps these from the shuffle
+    held = postings if shared.count() <= BROADCAST_ROWS else likely_members(postings, "token", shared)
+    found = materialize(held.join(bounded(shared), "token"), "postings")
     # the member with most shared shingles heads a key: what a group varies heads most of its keys
     degree = materialize(found.groupBy("d").agg(F.count("*").alias("_shared")), "degree")
     ranked = found.join(bounded(degree), "d")
@@ -205,7 +250,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.where((F.col("d") != F.col("head")) & _fits("n", "place", "head_n", "head_place")).select(
         F.col("head").alias("u"), F.col("d").alias("v"))
     star = materialize(star.unionByName(_closest(classes)).distinct(), "star")
-    first = _verified(star, texts, classes, width)
+    first = _verified(star, texts, classes, outlines, width)
     # what the heads did not bring together
     part = materialize(connected_components(first).select(F.col("node").alias("d"), "component"), "parts")
     placed = materialize(members.join(part, "d", "left").select(
@@ -217,8 +262,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = side("u").join(side("v"), "token").where("d_u < d_v and part_u <> part_v").where(
         _fits("n_u", "place_u", "n_v", "place_v")).select(F.col("d_u").alias("u"), F.col("d_v").alias("v")).distinct()
     rest = materialize(rest.join(star, ["u", "v"], "left_anti"), "rest")
-    second = _verified(rest, texts, classes, width)
-    discard(heads, members, placed, split, star, rest)
+    second = _verified(rest, texts, classes, outlines, width)
+    discard(heads, members, placed, split, star, rest, outlines)
     member = materialize(connected_components(first.unionByName(second)), "components")
     named = member.join(classes, member["node"] == classes["d"])
     groups = named.groupBy("component").agg(F.min("least").alias("rep"))

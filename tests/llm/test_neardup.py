@@ -131,3 +131,37 @@ def test_a_group_below_the_threshold_makes_few_candidates(spark, monkeypatch):
         assert got.select("rep_id").distinct().count() == m
         compared[m] = sum(seen)
     assert compared[400] <= 4 * 400
+
+
+def test_outlines_bound_the_difference_of_sets():
+    rng = random.Random(5)
+    for n in (1, 3, 60, 64, 65, 300, 1000):
+        for m in (1, 64, 70, 500, 1100):
+            common = [rng.getrandbits(63) for _ in range(min(n, m) * 9 // 10)]
+            sets = [neardup.np.unique(neardup.np.array(common + [rng.getrandbits(63) for _ in range(k - len(common))], "int64")) for k in (n, m)]
+            apart = neardup._differing(*map(neardup._outline, sets))
+            assert apart == neardup._differing(*map(neardup._outline, sets[::-1]))
+            assert apart <= len(set(sets[0].tolist()) ^ set(sets[1].tolist()))
+
+
+def test_texts_far_apart_meet_without_their_sets(spark, monkeypatch):
+    """A head is a candidate with each of its group; none is a near copy, and the sets of few are read."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(200):
+        new = {30 * i + rng.randrange(4, 20): f"new{rng.randrange(10 ** 6)}" for i in range(4)}
+        texts.append(" ".join(new.get(i, w) for i, w in enumerate(base)))
+    candidates, read = [], []
+    verified, sets = neardup._verified, neardup._sets
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, *a: candidates.append(pairs.count()) or verified(pairs, *a))
+    monkeypatch.setattr(neardup, "_sets", lambda t, c, pairs, w: read.append(pairs.count()) or sets(t, c, pairs, w))
+    got = neardup.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got.select("rep_id").distinct().count() == 200
+    assert sum(candidates) >= 100 and sum(read) <= sum(candidates) // 10
+
+
+def test_a_bitmap_of_shared_shingles_loses_none(spark, monkeypatch):
+    rows = list(enumerate(texts_of()))
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    assert grouped(neardup.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_classes(rows)

@@ -63,6 +63,19 @@ def test_patterns(spark, seed, threshold, size):
         assert got[user][0] == n and np.isclose(got[user][1], mean)
 
 
+def test_patterns_hold_all_reviews_of_their_users(spark, monkeypatch):
+    rows = posts(2)
+    df = spark.createDataFrame(rows, "row_id long, user_id long, text string").repartition(5, "text")
+    analysis = S.SpamAnalysis(df, threshold=0.7)
+    expected = {u: sorted(i for i, user, _ in rows if user == u) for u in reference(rows, 0.7, 1000)}
+    got = analysis.pattern_reviews().collect()
+    assert {r.user_id: r.row_ids for r in got} == expected and all(r.review_count == len(r.row_ids) for r in got)
+    monkeypatch.setattr(ordering, "HOT_ROWS", 3)
+    assert {r.user_id: r.row_ids for r in analysis.pattern_reviews().collect()} == expected
+    plain = sorted((r.user_id, r.review_count, r.avg_similarity) for r in got)
+    assert plain == sorted(map(tuple, analysis.patterns().collect()))
+
+
 def test_hot_user_is_spread(spark, monkeypatch):
     rows = posts(3)
     df = spark.createDataFrame(rows, "row_id long, user_id long, text string")

@@ -188,9 +188,15 @@ def built_dataset(spark, sf):
     return rounded(build_dataset(fx.raw_reviews(spark, sf), **sizes(spark, sf)).select(*BUILT))
 
 
+def _arrive(raw, source) -> None:
+    """Add rows to a stream's folder. A compressed file is read by one task, so its rows are bounded."""
+    raw.write.mode("append").options(**{"maxRecordsPerFile": 50_000, "zlib.compress.level": "BEST_SPEED"}).json(
+        source, compression="gzip")
+
+
 def stream_validate(spark, sf):
     source, target, state = (scratch_path(spark, n) for n in ("stream_in", "stream_out", "stream_state"))
-    fx.raw_reviews(spark, sf).write.json(source)
+    _arrive(fx.raw_reviews(spark, sf), source)
     start_validated_ingest(spark, source, target, state).awaitTermination()
     return rounded(spark.read.parquet(target))
 
@@ -204,10 +210,7 @@ def stream_quota(spark, sf):
     raw = materialize(fx.raw_reviews(spark, sf), "quota_raw")
     top = raw.agg(F.max("row_id")).first()[0] or 0
     for part in range(3):
-        arrived = raw.where(F.expr(f"row_id * 3 div {top + 1} = {part}"))
-        # compressed files are read by one task each, so their rows are bounded
-        arrived.write.mode("append").options(**{"maxRecordsPerFile": 50_000, "zlib.compress.level": "BEST_SPEED"}).json(
-            source, compression="gzip")
+        _arrive(raw.where(F.expr(f"row_id * 3 div {top + 1} = {part}")), source)
         start_quota_ingest(spark, source, target, state, STREAM_QUOTA).awaitTermination()
     return rounded(read_ingested(spark, target).select(*[c for c in BUILT if c != "split"]))
 

@@ -26,7 +26,7 @@ def start_validated_ingest(spark: SparkSession, source: str, target: str, checkp
     return (
         valid_reviews(stream_reviews(spark, source, fmt), **options)
         .writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", checkpoint).option("path", target)
+        .option("checkpointLocation", checkpoint).option("path", target).option("compression", "zstd")
         .trigger(availableNow=True)
         .start()
     )

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewsift import fixtures as fx
+from reviewsift.catalog import ingest
 from reviewsift.operators import ordering, rating_model as M
 from reviewsift.operators.validate import valid_reviews
 from reviewsift.sources import readers, sinks
@@ -155,3 +156,13 @@ def test_repeats_across_files_leave_without_a_shuffle_of_the_rows(spark, tmp_pat
     want = {(r.n, r.m): "a.parquet" for r in rows.collect()}
     want |= {(n, None): "c.parquet" for n in range(40) if (n, None) not in want}
     assert got.count() == len(want) and {(r.n, r.m): r.source_file for r in got.collect()} == want
+
+
+def test_stream_validate_stages_and_stores_compressed_files(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "scratch_path", lambda _, name: str(tmp_path / name))
+    got = ingest.stream_validate(spark, sf)
+    fx.raw_reviews(spark, sf).write.json(str(tmp_path / "plain"))
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).glob("part-*"))
+    assert 2 * size("stream_in") < size("plain")
+    assert all(".zstd." in f.name for f in (tmp_path / "stream_out").glob("part-*"))
+    assert got.count() == valid_reviews(fx.raw_reviews(spark, sf)).count()

@@ -6,13 +6,18 @@ What remains (*sparse* rows, fewer than ``min_samples`` per cell) is bounded per
 neighbour join of sparse rows has no hot key however the data is distributed. Sparse rows meet
 dense cells through the cell's box first, and through its rows only where the box leaves the
 answer open.
+
+Batches of a bounded number of rows are settled by one task each, so no row is sent to its neighbour tiles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,7 @@ from reviewsift.session import materialize
 
 BLOCK_ROWS = 100_000  # rows of one dense cell per task when its rows are needed
 PAIR_LIMIT = 10_000_000  # row pairs of two cells settled in one join
+WHOLE_BATCH = 10_000  # rows of a batch that one task compares with each other
 LEAF_POINTS = 32  # different points of a box that is compared point by point where a sphere cuts it
 
 
@@ -340,6 +346,74 @@ class Clustering:
         return outside.unionByName(inside)
 
 
+def _settle_batch(limit: float, min_samples: int, apart: bool) -> Callable[[pa.Table], pa.Table]:
+    """Adds ``is_core``, ``is_noise`` and ``d2``, the squared distance of a row that is not core to the nearest core row, to
+    the rows of a batch. ``apart`` if rows that differ in a flag are farther apart than the radius. Made here, so it
+    reaches the tasks by value. Neighbours count by id, so a row without one is no core row.
+    """
+    columns, reach, step = Z_COLUMNS, limit ** 0.5 * (1 + MARGIN), 256
+
+    def squares(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(p), len(q)))
+        for i in range(p.shape[1]):  # in feature order, as in SQL
+            d = p[:, None, i] - q[None, :, i]
+            total += d * d
+        return total
+
+    def counted(z: np.ndarray) -> np.ndarray:
+        axis = np.ptp(z, axis=0).argmax()
+        order = np.argsort(z[:, axis], kind="stable")
+        z, out = z[order], np.zeros(len(z), np.int64)
+        for low in range(0, len(z), step):
+            part = z[low:low + step]
+            a, b = np.searchsorted(z[:, axis], (part[0, axis] - reach, part[-1, axis] + reach))
+            out[order[low:low + step]] = (squares(part, z[a:b]) <= limit).sum(1)
+        return out
+
+    def settle(rows: pa.Table) -> pa.Table:
+        z = np.column_stack([rows[c].to_numpy() for c in columns])
+        ids = rows["row_id"].combine_chunks().dictionary_encode().indices
+        known, of = ids.is_valid().to_numpy(False), ids.fill_null(0).to_numpy()
+        number, n = rows["flags"].to_numpy() if apart else np.zeros(len(z), np.int64), np.zeros(len(z), np.int64)
+        for flags in np.unique(number):
+            some = np.flatnonzero(number == flags)
+            n[some] = counted(z[some])
+        core = known & (np.bincount(of, n * known)[of] >= min_samples)
+        nearest, others = np.full(len(z), np.inf), np.flatnonzero(~core)
+        for low in range(0, len(others) if core.any() else 0, step):
+            some = others[low:low + step]
+            nearest[some] = squares(z[some], z[core]).min(1)
+        near = known & (nearest <= limit)
+        noise = ~core & ~(known & (np.bincount(of, near)[of] > 0))
+        return rows.append_column("is_core", pa.array(core)).append_column("is_noise", pa.array(noise)).append_column(
+            "d2", pa.array(nearest, mask=np.isinf(nearest)))
+
+    return settle
+
+
+class BatchClustering(Clustering):
+    """A run whose batches are settled by one task each: ``points`` has ``is_core``, ``is_noise`` and ``d2``, and no cell is
+    taken as dense.
+    """
+
+    @cached_property
+    def sparse_core(self) -> DataFrame:
+        return self.points.drop("is_noise", "d2")
+
+    @cached_property
+    def dense_links(self) -> DataFrame:
+        return self.points.where("false").select(
+            "row_id", F.col("row_id").alias("first_row"), F.lit(0).cast("long").alias("rows_near"), F.lit(True).alias("inside"))
+
+    @cached_property
+    def noise(self) -> DataFrame:
+        return self.points.where("is_noise").select("row_id", "batch_id", "cell", *Z_COLUMNS)
+
+    def nearest_core(self) -> DataFrame:
+        """``(row_id, batch_id, min_dist)`` of the noise rows; null in a batch without core rows."""
+        return self.points.where("is_noise").select("row_id", "batch_id", F.sqrt("d2").alias("min_dist"))
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """Join side that is to be shuffled: the work of these joins is in the pairs, and a small
     side sent to the few tasks that read the other one would leave most cores idle.
@@ -366,11 +440,22 @@ def dbscan(df: DataFrame, eps: float = 0.6, min_samples: int = 12,
     features = materialize(feature_matrix(df, complete=True), "features")
     scale = fit_scale(features)
     grid = Grid.fit(scale, eps, 1 + scale.rows // batch_size if batch_size else 1)
-    points = materialize(
-        prepare_points(with_batches(apply_scale(features, scale), batch_size), grid), "points")
+    placed = apply_scale(with_batches(features, batch_size), scale)
+    if batch_size and batch_size <= WHOLE_BATCH:
+        return _by_batch(placed, eps, min_samples, scale, grid)
+    points = materialize(prepare_points(placed, grid), "points")
     dense = materialize(
         summarize(points, "cell", "tile")
         .where((F.col("rows") >= min_samples) & (box_diagonal() <= F.lit(eps * eps * (1 - MARGIN)))),
         "dense_cells")
     sparse = materialize(drop_members(points, dense, "cell", "rows"), "sparse")
     return Clustering(eps, min_samples, scale, grid, points, dense, sparse)
+
+
+def _by_batch(placed: DataFrame, eps: float, min_samples: int, scale: Scale, grid: Grid) -> BatchClustering:
+    points = prepare_points(placed, grid).withColumn("flags", F.pmod("cell", F.lit(4)))
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in points.dtypes) + ", is_core boolean, is_noise boolean, d2 double"
+    settle = _settle_batch(eps * eps, min_samples, grid.flips == (0,))
+    points = materialize(points.groupBy("batch_id").applyInArrow(settle, schema).drop("flags"), "points")
+    dense = summarize(points.where("false"), "cell", "tile")
+    return BatchClustering(eps, min_samples, scale, grid, points, dense, points.drop("is_core", "is_noise", "d2"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewsift.operators.dbscan import BLOCK_ROWS, Clustering
+from reviewsift.operators.dbscan import BLOCK_ROWS, BatchClustering, Clustering
 from reviewsift.operators.features import Z_COLUMNS, apply_scale, feature_matrix, fit_scale
 from reviewsift.operators.grid import (
     BOX_COLUMNS, MARGIN, REP_COLUMNS, distance_to_box, squared_distance, summarize,
@@ -58,8 +58,10 @@ def nearest_core(c: Clustering, step: int = 1) -> DataFrame:
     Top-down search over nested boxes of core rows: each noise row keeps the boxes that can
     still hold its nearest core row (nearer than the closest representative seen so far) and
     replaces them by their children, until fine cells are left; only their rows are compared.
-    A noise row in a batch without core rows gets a null distance.
+    A noise row in a batch without core rows gets a null distance. Batches settled by one task each have the distances.
     """
+    if isinstance(c, BatchClustering):
+        return c.nearest_core()
     axes = range(len(c.grid.axes))
     cells = materialize(_core_cells(c), "core_cells")
     depth = math.ceil(math.log2(max([2, *c.grid.cells])) / step)

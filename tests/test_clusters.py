@@ -117,6 +117,27 @@ def test_batches(spark):
     assert total.clusters == sum(len(set(expected[i:i + size]) - {-1}) for i in range(0, len(z), size))
 
 
+@pytest.mark.parametrize("eps, seed", [(0.6, 6), (2.5, 14), (0.05, 3)])
+def test_batches_of_one_task_and_of_many_give_the_same(spark, monkeypatch, eps, seed):
+    df, found = frame(spark, blobs(seed)), []
+    for whole in (D.WHOLE_BATCH, 0):
+        monkeypatch.setattr(D, "WHOLE_BATCH", whole)
+        c = D.dbscan(df, eps, 8, batch_size=130)
+        assert isinstance(c, D.BatchClustering) == bool(whole)
+        found.append([sorted(map(tuple, t.collect()), key=str) for t in (
+            N.rank_anomalies(c), c.core_flags(), c.labels(), c.neighbour_counts(), c.noise)])
+    assert found[0] == found[1]
+
+
+def test_no_row_of_a_small_batch_is_sent_to_its_neighbour_tiles(spark, monkeypatch):
+    monkeypatch.setattr(G.Grid, "near_tiles", lambda *_, **__: pytest.fail("rows are copied"))
+    x = blobs(6)
+    z, size = scaled(x), 150
+    got = N.rank_anomalies(D.dbscan(frame(spark, x), 0.6, 8, size)).toPandas()
+    noise = np.concatenate([brute(z[i:i + size], 0.6, 8)[3] == -1 for i in range(0, len(z), size)])
+    assert sorted(got.row_id) == np.flatnonzero(noise).tolist()
+
+
 def test_no_core_row_keeps_row_order(spark):
     x = blobs(7, 60)
     ranked = N.rank_anomalies(D.dbscan(frame(spark, x), 0.01, 50)).orderBy("rank").collect()

@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,48 +59,80 @@ def line_ends(sep: str = ",") -> Callable[[str], tuple[bool, bool]]:
     return ends
 
 
+def _breaks(batch: pa.RecordBatch, columns: list[int]) -> np.ndarray:
+    """Whether a row differs from the one before it in one of the columns (false for the first)."""
+    out = np.zeros(batch.num_rows, bool)
+    for c in columns:
+        column = batch.column(c)
+        if not pa.types.is_integer(column.type):
+            column = column.dictionary_encode().indices
+        values = column.to_numpy(zero_copy_only=False)
+        out[1:] |= values[1:] != values[:-1]
+    return out
+
+
 def _read_chunks(sep: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, chunk = line_ends(sep), None
         for batch in batches:
-            out: list[list] = [[] for _ in _LINES]
-            for value, file, block in zip(*(c.to_pylist() for c in batch.columns)):
-                if (file, block) != chunk:
-                    chunk, line, state, begun = (file, block), 0, [0, 1], [-1, -1]
-                after = ends(value)
-                begun = [line if s == 0 else b for s, b in zip(state, begun)]
-                now = [int(after[s]) for s in state]
-                for column, v in zip(out, (file, block, line, value, *state, *now, *begun)):
-                    column.append(v)
-                state, line = now, line + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _LINES)], schema=_LINES)
+            quoted = pc.match_substring(batch.column(0), '"').to_numpy(zero_copy_only=False)
+            if not len(quoted):
+                continue
+            # only lines with a quote change the state
+            after = iter([ends(v) for v in batch.column(0).filter(pa.array(quoted)).to_pylist()])
+            cuts, parts = np.flatnonzero(_breaks(batch, [1, 2])), []
+            for low, high in zip([0, *cuts], [*cuts, len(quoted)]):
+                if (at := (batch.column(1)[low].as_py(), batch.column(2)[low].as_py())) != chunk:
+                    chunk, line, state, begun = at, 0, (0, 1), [-1, -1]
+                here, numbers = quoted[low:high], np.arange(line, line + high - low)
+                states = [state]
+                for _ in range(here.sum()):
+                    a = next(after)
+                    states.append((int(a[states[-1][0]]), int(a[states[-1][1]])))
+                of, past = np.array(states), np.cumsum(here)
+                start, end = of[past - here], of[past]
+                first = [np.maximum(np.maximum.accumulate(np.where(start[:, k] == 0, numbers, -1)), begun[k]) for k in (0, 1)]
+                parts.append((numbers, start[:, 0], start[:, 1], end[:, 0], end[:, 1], *first))
+                line, state, begun = line + high - low, states[-1], [int(f[-1]) for f in first]
+            numbers, *rest = (np.concatenate(c) for c in zip(*parts))
+            columns = [batch.column(1), batch.column(2), numbers, batch.column(0), *rest]
+            yield pa.RecordBatch.from_arrays([
+                c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _LINES)], schema=_LINES)
 
     return read
 
 
 def _joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of a record that come one after the other as one piece, with the states before and after it."""
-    piece, values, last = None, [], None
+    held: list[pa.RecordBatch] = []  # the lines of the last piece so far
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows) if rows else [()] * len(_PIECES)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
+    def begins(batch: pa.RecordBatch) -> np.ndarray:
+        line = batch.column(4).to_numpy()
+        return np.flatnonzero(_breaks(batch, [0, 1, 2, 3]) | np.r_[True, line[1:] != line[:-1] + 1])
 
-    def closed(end: int) -> list[tuple]:
-        return [(*piece[:5], "\n".join(values), piece[6], end)] if piece else []
+    def pieces(lines: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.concat_batches(lines)
+        at = begins(batch)
+        values = pa.ListArray.from_arrays(pa.array(np.r_[at, batch.num_rows], pa.int32()), batch.column(5))
+        first, last = batch.take(pa.array(at)), batch.column(7).take(pa.array(np.r_[at[1:], batch.num_rows] - 1))
+        return pa.RecordBatch.from_arrays([
+            *first.columns[:5], pc.binary_join(values, "\n"), first.column(6), last], schema=_PIECES)
 
-    end = 0
     for batch in batches:
-        out: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (*row[:4], row[4] - 1) == last:
-                values.append(row[5])
-            else:
-                out += closed(end)
-                piece, values = row, [row[5]]
-            last, end = row[:5], row[7]
-        yield batch_of(out)
-    yield batch_of(closed(end))
+        if not batch.num_rows:
+            continue
+        batch = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, _PIECES)], schema=_PIECES)
+        at = begins(batch)
+        if held and len(begins(pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]))) == 1:
+            at = at[1:]
+        if len(at):
+            done = [*held, batch.slice(0, at[-1])]
+            if any(b.num_rows for b in done):
+                yield pieces(done)
+            held = []
+        held.append(batch.slice(at[-1] if len(at) else 0))
+    if held:
+        yield pieces(held)
 
 
 def _fold(chunks: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +182,13 @@ def _records(placed: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("block", "line", "value"))).alias("parts")).select(
         "file", F.col("at_block").alias("block"), F.col("at_line").alias("line"),
         F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("record"))
-    return ready.unionByName(several).withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> ''")
+    return ready.unionByName(several).withColumn("record", _without_return("record")).where("record <> ''")
+
+
+def _without_return(record: str) -> Column:
+    """The record without a carriage return at its end; others are not searched for one."""
+    ended = reduce(Column.__or__, [F.col(record).endswith("\r" + end) for end in ("", "\n", "\x85", "\u2028", "\u2029")])
+    return F.when(ended, F.regexp_replace(record, "\r$", "")).otherwise(F.col(record))
 
 
 def first_records(records: DataFrame) -> DataFrame:
@@ -158,6 +199,15 @@ def first_records(records: DataFrame) -> DataFrame:
         "file", F.col("at.block").alias("head_block"), F.col("at.line").alias("head_line"), "head")
 
 
+def _heads(lines: DataFrame) -> DataFrame:
+    """``first_records`` of placed lines; only the lines of the first record that is not blank are joined."""
+    begun = lines.where("at_block = 0")
+    blank = (F.col("start") == 0) & (F.col("end") == 0) & F.col("value").isin("", "\r")
+    # a row per file
+    first = materialize(begun.where(~blank).groupBy("file").agg(F.min("at_line").alias("at_line")), "csv_first")
+    return first_records(_records(begun.join(small(first), ["file", "at_line"], "left_semi")))
+
+
 def _body(records: DataFrame, heads: DataFrame) -> DataFrame:
     return records.join(heads, "file").where("not (block = head_block and line = head_line)")
 
@@ -175,7 +225,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, null_toke
     """The rows of CSV files with a header line, typed by ``schema`` column by column."""
     lines = _placed_lines(spark, path, sep)
     records = _records(lines)
-    heads = small(materialize(first_records(_records(lines.where("at_block = 0"))), "csv_heads"))
+    heads = small(materialize(_heads(lines), "csv_heads"))
     return _body(records, heads).select(_parsed("record", schema, null_token, sep).alias("_r")).select("_r.*")
 
 
@@ -188,7 +238,7 @@ def read_by_header(spark: SparkSession, path: str, sep: str = ",", place: str |
     """
     lines = _placed_lines(spark, path, sep, **options)
     records = _records(lines)
-    heads = materialize(first_records(_records(lines.where("at_block = 0"))), "csv_heads")
+    heads = materialize(_heads(lines), "csv_heads")
     seps = F.length("head") - F.length(F.replace("head", F.lit(sep)))
     width = (heads.agg(F.max(seps)).first()[0] or 0) + 1
     wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])

@@ -162,3 +162,35 @@ def test_lines_of_a_record_are_joined_within_a_task():
     got = [tuple(r.values()) for b in R._joined_lines(iter(batches)) for r in b.to_pylist()]
     assert got == [("f", 0, 1, 0, 1, 'a,"b\n\nc"', 0, 0), *rows[3:]]  # other chunks and orders are left to the grouping
     assert not any(b.num_rows for b in R._joined_lines(iter([])))
+
+
+def test_lines_are_noted_as_by_a_plain_reader_however_batches_are_cut():
+    rng, ends = random.Random(4), R.line_ends()
+    text = ["".join(rng.choice('a",') for _ in range(rng.randrange(5))) for _ in range(400)]
+    rows = [(v, "fg"[i > 150], 100 * (i > 260)) for i, v in enumerate(text)]
+    want, chunk = [], None
+    for value, file, block in rows:
+        if (file, block) != chunk:
+            chunk, line, state, begun = (file, block), 0, [0, 1], [-1, -1]
+        now = [int(ends(value)[s]) for s in state]
+        begun = [line if s == 0 else b for s, b in zip(state, begun)]
+        want.append((file, block, line, value, *state, *now, *begun))
+        state, line = now, line + 1
+    for size in (1, 7, 400):
+        cut = [pa.RecordBatch.from_pydict(dict(zip("vfb", map(list, zip(*rows[i:i + size]))))) for i in range(0, 400, size)]
+        assert [tuple(r.values()) for b in R._read_chunks(",")(iter(cut)) for r in b.to_pylist()] == want
+
+
+def test_no_line_without_a_quote_is_looked_at(monkeypatch):
+    seen = []
+    monkeypatch.setattr(R, "line_ends", lambda sep: lambda v: seen.append(v) or (True, False))
+    batch = pa.RecordBatch.from_pydict({"v": ["a", '"b', "c", 'd"', "e"], "f": ["f"] * 5, "b": [0] * 5})
+    got = [r for b in R._read_chunks(",")(iter([batch])) for r in b.to_pylist()]
+    assert seen == ['"b', 'd"'] and [r["start0"] for r in got] == [0, 0, 1, 1, 0]
+
+
+def test_a_return_goes_only_at_the_end_of_a_record(spark):
+    values = ["a\r", "a", "\r", "a\rb", "a\r\n", "a\r\r", "\ra\x85", "a\r\u2028", "a\n"]
+    got = spark.createDataFrame([(v,) for v in values], "record string").select(
+        "record", R._without_return("record").alias("a"), F.regexp_replace("record", "\r$", "").alias("b"))
+    assert all(r.a == r.b for r in got.collect()) and got.where("a <> record").count() == 4

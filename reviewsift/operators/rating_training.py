@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewsift.functions.text import STOP_WORDS, computed_once, tokens, with_bigrams
+from reviewsift.functions.text import STOP_WORDS, computed_once, tokens
 from reviewsift.operators.rating_model import truncated
 from reviewsift.operators.validate import MAX_TOKENS
 
@@ -35,28 +35,62 @@ class RatingWeights:
     epoch: int
 
     def predict(self, terms: list[np.ndarray]) -> np.ndarray:
-        row, at, value = _sparse(terms, self.idf)
+        starts = np.cumsum([0, *map(len, terms)])
+        flat = np.concatenate([np.asarray(t, np.int64) for t in terms]) if len(terms) else np.empty(0, np.int64)
+        row, at, value = _sparse(flat, starts, self.idf)
         return self.intercept + np.bincount(row, weights=value * self.weights[at], minlength=len(terms))
 
 
-def _sparse(terms: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, buckets and values of unit TF-IDF vectors; a term that comes twice has two entries."""
-    size = np.fromiter(map(len, terms), np.int64, len(terms))
-    row = np.repeat(np.arange(len(terms)), size)
-    at = np.concatenate([np.asarray(t, np.int64) for t in terms]) if len(terms) else np.empty(0, np.int64)
-    count = np.unique(row * len(idf) + at, return_inverse=True, return_counts=True)
-    value = idf[at]
-    # a bucket's weight counts with its number in the row
-    square = np.bincount(row, weights=value * value * count[2][count[1]], minlength=len(terms))
+def _counted(flat: np.ndarray, starts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, their different buckets and how often each comes; the buckets of row ``i`` are ``flat[starts[i]:starts[i + 1]]``."""
+    key = np.repeat(np.arange(len(starts) - 1) * buckets, np.diff(starts)) + flat
+    if not (key[1:] >= key[:-1]).all():  # stored rows are sorted
+        key.sort()
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+    row, at = np.divmod(key[first], buckets)
+    return row, at, np.diff(np.r_[first, len(key)])
+
+
+def _sparse(flat: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, buckets and values of unit TF-IDF vectors."""
+    row, at, count = _counted(flat, starts, len(idf))
+    value = count * idf[at]
+    square = np.bincount(row, weights=value * value, minlength=len(starts) - 1)
     return row, at, value / np.sqrt(np.maximum(square, 1e-12))[row]
 
 
+def _flat(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all rows of a list column, and where each row's begin."""
+    starts = terms.offsets.to_numpy()
+    return terms.values.to_numpy()[starts[0]:starts[-1]].astype(np.int64), starts - starts[0]
+
+
 def hashed_terms(df: DataFrame, text_col: str, buckets: int, max_tokens: int | None = MAX_TOKENS) -> DataFrame:
     """Add ``terms``: the buckets of a text's words and word pairs; none for a null text."""
     text = truncated(F.coalesce(text_col, F.lit("")), max_tokens)
-    words = computed_once(df, _words=tokens(text, STOP_WORDS))
-    hashed = F.transform(with_bigrams("_words"), lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
-    return words.withColumn("terms", hashed).drop("_words")
+    found = computed_once(df, _words=tokens(text, STOP_WORDS))
+    bucket = lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
+    words, shorter = F.col("_words"), F.greatest(F.size("_words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), shorter), F.slice(words, F.lit(2), shorter),
+                       lambda a, b: bucket(F.concat(a, F.lit(" "), b)))
+    both = F.concat(F.transform(words, bucket), F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<int>")))
+    return found.withColumn("terms", F.sort_array(both)).drop("_words")
+
+
+def _document_counts(rows: DataFrame, buckets: int) -> np.ndarray:
+    """Rows that have a bucket, for every bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(buckets, np.int64)
+        for batch in batches:
+            seen += np.bincount(_counted(*_flat(batch.column(0)), buckets)[1], minlength=buckets)
+        kept = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(seen[kept])], ["i", "n"])
+
+    found = rows.select("terms").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(buckets)
+    out[found["i"].to_numpy()] = found["n"].to_numpy()  # a row per bucket at most
+    return out
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -78,14 +112,19 @@ def _epoch(rows: DataFrame, state: RatingWeights, rate: float, decay: float) ->
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b, n, past = state.weights.copy(), state.intercept, 0, np.zeros(buckets)
         for batch in batches:
-            label, terms = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for start in range(0, len(label), STEP_ROWS):
-                y = label[start:start + STEP_ROWS]
-                row, at, value = _sparse(terms[start:start + STEP_ROWS], state.idf)
-                off = b + np.bincount(row, weights=value * w[at], minlength=len(y)) - y
-                slope = np.bincount(at, weights=value * off[row], minlength=buckets) / len(y)
-                past += slope * slope  # steps of a weight shrink with its past slopes, so no rate diverges
-                w = w * (1 - rate * decay) - rate * slope / np.sqrt(past + 1e-12)
+            label, size = batch.column(0).to_numpy(), batch.num_rows
+            row, at, value = _sparse(*_flat(batch.column(1)), state.idf)
+            low = np.searchsorted(row, np.arange(0, size + STEP_ROWS, STEP_ROWS))
+            for k, start in enumerate(range(0, size, STEP_ROWS)):
+                y, some = label[start:start + STEP_ROWS], slice(low[k], low[k + 1])
+                r, a, v = row[some] - start, at[some], value[some]
+                off = b + np.bincount(r, weights=v * w[a], minlength=len(y)) - y
+                slope = np.bincount(a, weights=v * off[r], minlength=buckets) / len(y)
+                moved = np.flatnonzero(slope)
+                slope = slope[moved]
+                past[moved] += slope * slope  # steps of a weight shrink with its past slopes, so no rate diverges
+                w *= 1 - rate * decay
+                w[moved] -= rate * slope / np.sqrt(past[moved] + 1e-12)
                 b -= rate * off.mean()
                 n += len(y)
         if n:
@@ -132,9 +171,7 @@ def train_epochs(train: DataFrame, val: DataFrame, folder: str, epochs: int = 5,
     ).select("label", "terms")
     rows, held = _stored(rows_of(train), f"{folder}/train"), _stored(rows_of(val), f"{folder}/val")
     n, mean = rows.agg(F.count("*"), F.avg("label")).first()
-    df = rows.select(F.explode(F.array_distinct("terms")).alias("i")).groupBy("i").count().toPandas()
-    seen = np.zeros(buckets)
-    seen[df["i"].to_numpy(np.int64)] = df["count"].to_numpy()
+    seen = _document_counts(rows, buckets)
     state = RatingWeights(np.zeros(buckets), np.log((1 + n) / (1 + seen)) + 1, mean or 0.0, 0)
     best, least = state, _error(held, state)
     for epoch in range(1, epochs + 1):

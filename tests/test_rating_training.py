@@ -37,6 +37,38 @@ def test_learns_on_users_it_has_not_seen_and_resumes(spark, tmp_path):
     assert abs(rmse - errors[whole.epoch]) < 1e-6 and rmse < 0.7 * constant
 
 
+def test_steps_equal_plain_ones_on_dense_vectors(spark, tmp_path):
+    """One task's epoch, row by row in numpy; terms that come twice count twice."""
+    buckets, rng = 32, np.random.default_rng(1)
+    rows = [(float(rng.integers(1, 6)), sorted(map(int, rng.integers(0, buckets, rng.integers(0, 12))))) for _ in range(50)]
+    df = spark.createDataFrame(rows, "label double, terms array<int>").coalesce(1)
+    idf = 1 + rng.random(buckets)
+    tf = np.array([np.bincount(t, minlength=buckets) for _, t in rows])
+    assert R._document_counts(df, buckets).tolist() == (tf > 0).sum(0).tolist()
+    x, y = tf * idf, np.array([r[0] for r in rows])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+    w, b, past = np.zeros(buckets), 3.0, np.zeros(buckets)
+    for low in range(0, 50, R.STEP_ROWS):
+        part = slice(low, low + R.STEP_ROWS)
+        off = b + x[part] @ w - y[part]
+        slope = x[part].T @ off / len(off)
+        past += slope * slope
+        w, b = w * (1 - 0.2 * 0.01) - 0.2 * slope / np.sqrt(past + 1e-12), b - 0.2 * off.mean()
+    weights, intercept = R._epoch(df, R.RatingWeights(np.zeros(buckets), idf, 3.0, 0), 0.2, 0.01)
+    assert np.allclose(weights, w, atol=1e-12) and np.isclose(intercept, b)
+    model = R.RatingWeights(w, idf, b, 1)
+    assert np.allclose(model.predict([np.array(t[::-1]) for _, t in rows]), b + x @ w)
+
+
+def test_a_batch_of_rows_is_unpacked_once(spark, monkeypatch):
+    calls, sparse = [], R._sparse
+    monkeypatch.setattr(R, "_sparse", lambda *a: calls.append(1) or sparse(*a))
+    rows = spark.createDataFrame([(1.0, [i % 7, i % 5]) for i in range(200)], "label double, terms array<int>")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, f, _: [*f(df.toArrow().combine_chunks().to_batches())] and df.selectExpr("0L i", "0D v").limit(0))
+    R._epoch(rows, R.RatingWeights(np.zeros(8), np.ones(8), 0.0, 0), 0.2, 0.0)
+    assert len(calls) == 1
+
+
 def test_nothing_to_train_on(spark, tmp_path):
     df = reviews(spark, 20)
     constant = R.train_epochs(df, df.where("false"), str(tmp_path / "c"), epochs=0, buckets=64)

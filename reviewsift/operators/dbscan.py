@@ -349,7 +349,7 @@ class Clustering:
 def _settle_batch(limit: float, min_samples: int, apart: bool) -> Callable[[pa.Table], pa.Table]:
     """Adds ``is_core``, ``is_noise`` and ``d2``, the squared distance of a row that is not core to the nearest core row, to
     the rows of a batch. ``apart`` if rows that differ in a flag are farther apart than the radius. Made here, so it
-    reaches the tasks by value. Neighbours count by id, so a row without one is no core row.
+    reaches the tasks by value.
     """
     columns, reach, step = Z_COLUMNS, limit ** 0.5 * (1 + MARGIN), 256
 
@@ -372,19 +372,16 @@ def _settle_batch(limit: float, min_samples: int, apart: bool) -> Callable[[pa.T
 
     def settle(rows: pa.Table) -> pa.Table:
         z = np.column_stack([rows[c].to_numpy() for c in columns])
-        ids = rows["row_id"].combine_chunks().dictionary_encode().indices
-        known, of = ids.is_valid().to_numpy(False), ids.fill_null(0).to_numpy()
         number, n = rows["flags"].to_numpy() if apart else np.zeros(len(z), np.int64), np.zeros(len(z), np.int64)
         for flags in np.unique(number):
             some = np.flatnonzero(number == flags)
             n[some] = counted(z[some])
-        core = known & (np.bincount(of, n * known)[of] >= min_samples)
+        core = n >= min_samples
         nearest, others = np.full(len(z), np.inf), np.flatnonzero(~core)
         for low in range(0, len(others) if core.any() else 0, step):
             some = others[low:low + step]
             nearest[some] = squares(z[some], z[core]).min(1)
-        near = known & (nearest <= limit)
-        noise = ~core & ~(known & (np.bincount(of, near)[of] > 0))
+        noise = ~core & (nearest > limit)
         return rows.append_column("is_core", pa.array(core)).append_column("is_noise", pa.array(noise)).append_column(
             "d2", pa.array(nearest, mask=np.isinf(nearest)))
 
@@ -441,7 +438,7 @@ def dbscan(df: DataFrame, eps: float = 0.6, min_samples: int = 12,
     scale = fit_scale(features)
     grid = Grid.fit(scale, eps, 1 + scale.rows // batch_size if batch_size else 1)
     placed = apply_scale(with_batches(features, batch_size), scale)
-    if batch_size and batch_size <= WHOLE_BATCH:
+    if batch_size and batch_size <= WHOLE_BATCH and _unique(features, "row_id"):
         return _by_batch(placed, eps, min_samples, scale, grid)
     points = materialize(prepare_points(placed, grid), "points")
     dense = materialize(
@@ -452,6 +449,11 @@ def dbscan(df: DataFrame, eps: float = 0.6, min_samples: int = 12,
     return Clustering(eps, min_samples, scale, grid, points, dense, sparse)
 
 
+def _unique(df: DataFrame, key: str) -> bool:
+    """Whether no row lacks the key or shares it with another."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).isEmpty()
+
+
 def _by_batch(placed: DataFrame, eps: float, min_samples: int, scale: Scale, grid: Grid) -> BatchClustering:
     points = prepare_points(placed, grid).withColumn("flags", F.pmod("cell", F.lit(4)))
     schema = ", ".join(f"`{c}` {kind}" for c, kind in points.dtypes) + ", is_core boolean, is_noise boolean, d2 double"

@@ -129,6 +129,13 @@ def test_batches_of_one_task_and_of_many_give_the_same(spark, monkeypatch, eps,
     assert found[0] == found[1]
 
 
+def test_repeated_and_missing_ids_go_by_cells(spark):
+    df = frame(spark, blobs(6, 120))
+    assert isinstance(D.dbscan(df, 0.6, 8, 50), D.BatchClustering)
+    for more in (df.where("row_id = 7"), df.where("row_id = 7").withColumn("row_id", F.lit(None).cast("long"))):
+        assert not isinstance(D.dbscan(df.unionByName(more), 0.6, 8, 50), D.BatchClustering)
+
+
 def test_no_row_of_a_small_batch_is_sent_to_its_neighbour_tiles(spark, monkeypatch):
     monkeypatch.setattr(G.Grid, "near_tiles", lambda *_, **__: pytest.fail("rows are copied"))
     x = blobs(6)
